@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["text", "features"]
+MODULES = ["text", "features", "anomaly", "fusion"]
 
 
 class Catalog:
