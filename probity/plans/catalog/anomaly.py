@@ -73,7 +73,7 @@ def register(catalog):
         sql("ruled", "SELECT review_id, " + ", ".join(f"round({f}_anomaly, 4) AS {f}_anomaly" for f in FEATURES) + " FROM zed", FEAT, ZED),
     )
     def _(spark, folder):
-        df = P.features(P.reviews(spark, folder))
+        df = P.feature_table(spark, folder)
         names = A.all_features(A.resolve(df))
         z = A.z_scores(df, names)
         return z.select("review_id", *[F.round(f"{f}_anomaly", 4).alias(f"{f}_anomaly") for f in names])
@@ -86,7 +86,7 @@ def register(catalog):
 
     @add("category_summary", "A3", sql("ruled", body, FEAT, ZED, f"topz AS (SELECT {_cat_max(cats)} FROM zed)"))
     def _(spark, folder):
-        df = P.features(P.reviews(spark, folder))
+        df = P.feature_table(spark, folder)
         z = A.z_scores(df, A.all_features(cats))
         return A.category_summary(z).withColumn("anomaly_score", F.round("anomaly_score", 6))
 
@@ -98,7 +98,7 @@ def register(catalog):
 
     @add("top_row_per_feature", "A4", sql("ruled", body, FEAT, ZED))
     def _(spark, folder):
-        df = P.features(P.reviews(spark, folder))
+        df = P.feature_table(spark, folder)
         names = A.all_features(A.resolve(df))
         top = A.top_per_feature(A.z_scores(df, names), names)
         return top.select("feature", F.round("max_score", 4).alias("max_score"))
@@ -117,7 +117,7 @@ def register(catalog):
 
     @add("top_row_with_ids", "A4", sql("ruled", body, FEAT, ZED))
     def _(spark, folder):
-        z = A.z_scores(P.features(P.reviews(spark, folder)), picked)
+        z = A.z_scores(P.feature_table(spark, folder), picked)
         top = A.top_per_feature(z, picked)
         return top.withColumns(
             {"max_score": F.round("max_score", 4), "quality_risk": F.round("quality_risk", 6)}
@@ -157,16 +157,13 @@ def register(catalog):
         return df.select("review_id", *[F.round(c, 6).alias(c) for c in ("stars_scaled", "z0_scaled")])
 
     def forest_input(spark, folder):
-        df = P.features(P.reviews(spark, folder))
+        df = P.feature_table(spark, folder)
         names = A.model_features(df)
         return A.filled(df, names).select("review_id", "reviewer_id", "place_id", *names), names
 
     @add("isolation_forest", "A5 A8 A9 A13")
     def _(spark, folder):
-        from probity.session import cut_lineage
-
         df, names = forest_input(spark, folder)
-        df = cut_lineage(df)
         model = I.IsolationForest(names).fit(df)
         out = model.detect(df)
         return out.select(
@@ -272,7 +269,7 @@ def register(catalog):
 
     @add("category_flags", "A18", sql("ruled", f"SELECT review_id, {flags} FROM zed", FEAT, ZED))
     def _(spark, folder):
-        z = A.z_scores(P.features(P.reviews(spark, folder)), A.all_features(cats))
+        z = A.z_scores(P.feature_table(spark, folder), A.all_features(cats))
         return A.category_flags(z, cats).select("review_id", *[f"{c}_flag" for c in cats])
 
     @add(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from probity import constants as K
 from probity.functions import risk as R
+from probity.operators import decide as D
 from probity.operators import fusion as M
 
 from probity.plans import reviews as P
@@ -214,28 +215,17 @@ def register(catalog):
         "moderation_rules",
         "F26",
         sql(
-            "tested",
-            """SELECT review_id, CAST(text_confidence >= 0.8 AND p_bad > 0.7 AS INT) AS flag_for_review,
-            CAST(ur > 0.5 AND metadata_is_anomaly AS INT) AS investigate_user, CAST(br > 0.52 AS INT) AS alert_business
-            FROM (SELECT *, round(avg(p_bad) OVER (PARTITION BY reviewer_id), 9) AS ur, round(avg(p_bad) OVER (PARTITION BY place_id), 9) AS br FROM tested)""",
-        ).replace("text_confidence >= 0.8", "text_confidence > 0.7"),
+            "probs",
+            """SELECT review_id, CAST(confidence > 0.8 AND p_bad > 0.7 AS INT) AS flag_for_review,
+            CAST(ur > 0.5 AND odd AS INT) AS investigate_user, CAST(br > 0.7 AS INT) AS alert_business
+            FROM (SELECT *, coalesce(stars <= 1 OR stars >= 5, false) AS odd, round(avg(p_bad) OVER (PARTITION BY reviewer_id), 9) AS ur,
+            round(avg(p_bad) OVER (PARTITION BY place_id), 9) AS br FROM probs)""",
+        ),
     )
     def _(spark, folder):
-        from probity.operators import profiles as G
-
-        df = P.tested(spark, folder).select(
-            "review_id", "reviewer_id", "place_id", "text_confidence", "p_bad", "metadata_is_anomaly"
-        )
-        users = df.groupBy("reviewer_id").agg(F.round(F.avg("p_bad"), 9).alias("ur"))
-        places = df.groupBy("place_id").agg(F.round(F.avg("p_bad"), 9).alias("br"))
-        df = G.enrich(G.enrich(df, users, "reviewer_id"), places, "place_id")
-        return df.select(
-            "review_id",
-            # The rule scorer tops out at 0.8, so its confidence cut is 0.7.
-            ((F.col("text_confidence") > 0.7) & (F.col("p_bad") > 0.7)).cast("int").alias("flag_for_review"),
-            ((F.col("ur") > 0.5) & F.col("metadata_is_anomaly")).cast("int").alias("investigate_user"),
-            (F.col("br") > 0.52).cast("int").alias("alert_business"),
-        )
+        df = P.with_logits(spark, folder).withColumns(R.rating_rule(F.col("stars")))
+        out = D.moderation_flags(df, alert=0.7)
+        return out.select("review_id", "flag_for_review", "investigate_user", "alert_business")
 
     @add(
         "fusion_input_fill",
@@ -265,5 +255,3 @@ def register(catalog):
         df = P.reviews(spark, folder).filter("label IS NOT NULL")
         target = M.target_decision(F.col("label"), F.col("review_id"))
         return df.groupBy("label", target.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
-
-

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from probity.functions import content as C
 from probity.functions import temporal as D
+from probity.functions.text import is_bad
 from probity.operators import profiles as P
 from probity.operators import scoring as S
 from probity.operators import windows as W
+from probity.session import cut_lineage
 
 Z = [f"z{i}" for i in range(7)]
 
@@ -126,3 +128,32 @@ def features(df: DataFrame, drop_text: bool = True) -> DataFrame:
     out = W.rolling_stars(out, heavy=heavy)
     return P.with_profiles(out)
 
+
+
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The features written once: statistics, scores and models each make their own pass over them."""
+    return cut_lineage(features(reviews(spark, folder)))
+
+
+def judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled reviews with the prediction from the logits and a score on four places."""
+    df = with_logits(spark, folder).filter("text IS NOT NULL AND label IS NOT NULL")
+    return df.select(
+        "review_id", "category", "language", "published_at", "stars", "probs", "p_bad", "enhanced_prob", "relevancy",
+        "is_relevant", "text_confidence", F.col("text_prediction").alias("prediction"), F.col("label").alias("truth"),
+        F.round("p_bad", 4).alias("score"),
+        is_bad(F.col("label")).alias("y"),
+        is_bad(F.col("text_prediction")).alias("yhat"),
+    )
+
+
+def rule_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled reviews with the rule prediction and the rating rule as second stage."""
+    df = tested(spark, folder).filter("text IS NOT NULL AND label IS NOT NULL")
+    return df.select(
+        "review_id", F.col("label").alias("truth"), F.col("text_prediction").alias("prediction"), "text_confidence",
+        is_bad(F.col("label")).alias("y"),
+        is_bad(F.col("text_prediction")).alias("yhat"),
+        F.col("metadata_is_anomaly").cast("int").alias("stage2"),
+        "metadata_anomaly_score", "p_bad",
+    )
