@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probity.constants import (
     DECISIONS,
+    HIGH_RISK_VIOLATION,
     ROUTE_DESCRIPTIONS,
     ROUTES,
     SERVING_DECISION,
@@ -14,6 +15,7 @@ from probity.constants import (
     TIERS,
     TRUTH_DECISION,
     UNKNOWN_ROUTE,
+    VIOLATION_NAMES,
 )
 from probity.functions.vectors import argmax_index, label_array, lookup
 
@@ -65,7 +67,7 @@ def tier_confidence(risk: Column) -> Column:
 
 
 def decision_code(decision: Column) -> Column:
-    return lookup({d: F.lit(i) for i, d in enumerate(DECISIONS)}, decision, F.lit(0))
+    return lookup({d: i for i, d in enumerate(DECISIONS)}, decision, F.lit(0))
 
 
 def decision_name(code: Column) -> Column:
@@ -73,21 +75,21 @@ def decision_name(code: Column) -> Column:
 
 
 def route(decision: Column) -> Column:
-    return lookup({k: F.lit(v) for k, v in ROUTES.items()}, decision, F.lit(None).cast("string"))
+    return lookup(ROUTES, decision, F.lit(None).cast("string"))
 
 
 def route_description(route_name: Column) -> Column:
     return lookup(
-        {k: F.lit(v) for k, v in ROUTE_DESCRIPTIONS.items()}, route_name, F.lit(UNKNOWN_ROUTE)
+        ROUTE_DESCRIPTIONS, route_name, F.lit(UNKNOWN_ROUTE)
     )
 
 
 def serving_decision(label: Column) -> Column:
-    return lookup({k: F.lit(v) for k, v in SERVING_DECISION.items()}, label, F.lit("suspicious"))
+    return lookup(SERVING_DECISION, label, F.lit("suspicious"))
 
 
 def truth_decision(label: Column) -> Column:
-    return lookup({k: F.lit(v) for k, v in TRUTH_DECISION.items()}, label, F.lit("suspicious"))
+    return lookup(TRUTH_DECISION, label, F.lit("suspicious"))
 
 
 def argmax_decision(probs: Column) -> dict[str, Column]:
@@ -151,11 +153,9 @@ def vote(a: Column, b: Column, c: Column) -> Column:
 
 
 def violations(label: Column, p_bad: Column) -> Column:
-    from probity.constants import HIGH_RISK_VIOLATION, VIOLATION_NAMES
-
-    marks = [F.when(label == k, v) for k, v in VIOLATION_NAMES.items()]
-    marks.append(F.when(p_bad > 0.7, HIGH_RISK_VIOLATION))
-    return F.filter(F.array(*marks), lambda m: m.isNotNull())
+    named = lookup(VIOLATION_NAMES, label, F.lit(None).cast("string"))
+    marks = F.array(named, F.when(p_bad > 0.7, HIGH_RISK_VIOLATION))
+    return F.filter(marks, lambda m: m.isNotNull())
 
 
 def confidence_bin(confidence: Column) -> Column:

@@ -21,7 +21,7 @@ from probity.constants import (
     SPAM_TERMS,
     TEXT_CLASSES,
 )
-from probity.functions.vectors import label_array
+from probity.functions.vectors import label_array, lookup
 
 
 def lexicon_hits(lowered: Column, terms) -> Column:
@@ -71,20 +71,20 @@ def rule_signals(df, text: str = "text"):
             "negative_hits": lexicon_hits(low, NEGATIVE_TERMS),
             "has_link": F.contains(low, F.lit("http")),
             "rule_length": F.length(filled),
-            # Only a text with three extreme terms needs its words counted.
-            "rule_short": F.when(
-                lexicon_hits(low, EXTREME_TERMS) >= 3, word_count(filled) < 20
-            ).otherwise(F.lit(False)),
         }
     ).drop("_lower")
 
 
-def rule_class() -> Column:
-    """Ordered cascade over the columns of :func:`rule_signals`."""
+def rule_class(text: str = "text") -> Column:
+    """Ordered cascade over the columns of :func:`rule_signals`.
+
+    Words are counted only for a text with three extreme terms.
+    """
+    short = word_count(F.coalesce(F.col(text), F.lit(""))) < 20
     return (
         F.when((F.col("spam_hits") >= 2) | F.col("has_link"), "spam")
         .when(F.col("ad_hits") >= 2, "advertisement")
-        .when((F.col("extreme_hits") >= 3) & F.col("rule_short"), "fake_rant")
+        .when((F.col("extreme_hits") >= 3) & short, "fake_rant")
         .when(F.col("rule_length") < 10, "irrelevant")
         .when(F.col("inappropriate_hits") >= 1, "inappropriate")
         .when(F.col("negative_hits") > F.col("positive_hits"), "genuine_negative")
@@ -93,12 +93,16 @@ def rule_class() -> Column:
 
 
 def rule_confidence(label: Column) -> Column:
-    chain = None
-    for name in BAD_CLASSES:
-        cond = label == name
-        value = F.lit(RULE_CONFIDENCE[name])
-        chain = F.when(cond, value) if chain is None else chain.when(cond, value)
-    return chain.otherwise(F.lit(RULE_CONFIDENCE["genuine"]))
+    return lookup({c: RULE_CONFIDENCE[c] for c in BAD_CLASSES}, label, F.lit(RULE_CONFIDENCE["genuine"]))
+
+
+def rule_p_bad(label: Column) -> Column:
+    """Bad mass of the rule vector by class: (c + 4 base) / (c + 6 base) for a bad class of confidence c."""
+    rest = RULE_BASE_MASS * 4
+    total = RULE_BASE_MASS * 6
+    bad = {c: (RULE_CONFIDENCE[c] + rest) / (RULE_CONFIDENCE[c] + total) for c in BAD_CLASSES}
+    genuine = RULE_BASE_MASS * 5 / (RULE_CONFIDENCE["genuine"] + total)
+    return lookup(bad, label, F.lit(genuine))
 
 
 def rule_probs(label: Column, confidence: Column) -> Column:

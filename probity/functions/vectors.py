@@ -13,15 +13,16 @@ def label_array(labels=TEXT_CLASSES) -> Column:
 
 
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in mapping.items() for x in pair])
 
 
 def lookup(mapping: dict, key: Column, default) -> Column:
-    """Value of ``key`` in a small fixed mapping as one CASE, ``default`` where absent or NULL."""
-    chain = None
-    for k, v in mapping.items():
-        chain = F.when(key == k, v) if chain is None else chain.when(key == k, v)
-    return chain.otherwise(default)
+    """Value of ``key`` in a small fixed mapping, ``default`` where absent or NULL.
+
+    The key is named once: a CASE would repeat it per entry, and the whole text rule with it when a
+    filter on the result is pushed down.
+    """
+    return F.coalesce(F.try_element_at(literal_map(mapping), key), default)
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:

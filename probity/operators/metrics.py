@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from probity.constants import BAD_CLASSES, TEXT_CLASSES
 from probity.functions.vectors import label_array
-from probity.operators.ordered import global_cumsum
+from probity.operators.ordered import collapse, running_sums
 
 
 def known_labels(df: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
@@ -141,11 +141,12 @@ def score_steps(df: DataFrame, score: str = "score", y: str = "y", by: list[str]
     """Positives and negatives per distinct score with running sums from the highest score down."""
     pos = F.sum(F.col(y).cast("long"))
     neg = F.sum((1 - F.col(y)).cast("long"))
-    steps = global_cumsum(df, score, {"pos": pos, "neg": neg}, by, descending=True)
-    totals = df.groupBy(*(by or [])).agg(pos.alias("_p"), neg.alias("_n")) if by else None
+    flat = collapse(df, score, {"pos": pos, "neg": neg}, by)
+    steps = running_sums(flat, score, ["pos", "neg"], by, descending=True)
     if by:
+        totals = flat.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
         return steps.join(totals, by)
-    total = df.agg(F.struct(pos.alias("p"), neg.alias("n")).alias("t")).scalar()
+    total = flat.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
     return steps.withColumn("_t", total).withColumns({"_p": F.col("_t.p"), "_n": F.col("_t.n")}).drop("_t")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probity.session import cut_lineage
+
 INF = float("inf")
 
 
@@ -78,10 +80,14 @@ def _carry(totals: DataFrame, by: list[str], bucket: str, sums: list[str]) -> Da
 
 
 def global_row_number(
-    df: DataFrame, value: Column, tie: str, out: str = "rn", buckets: int | None = None
+    df: DataFrame, value: Column, tie: str, out: str = "rn", buckets: int | None = None, stored: bool = False
 ) -> DataFrame:
-    """1-based position of every row in the order (value, tie), both ascending, NULL first."""
-    cut = with_buckets(df, value, tie, buckets)
+    """1-based position of every row in the order (value, tie), both ascending, NULL first.
+
+    The rows are read three times (quantiles, bucket sizes, numbering), so they are written once before
+    that, unless ``stored`` says they come from a table already. Hand over only the columns needed.
+    """
+    cut = with_buckets(df if stored else cut_lineage(df), value, tie, buckets)
     totals = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     carry = _carry(totals, [], "_bucket", ["n"])
     order = [value.asc_nulls_first(), tie_number(df, tie).asc(), F.col(tie).asc()]
@@ -95,22 +101,21 @@ def global_row_number(
     )
 
 
-def global_cumsum(
-    df: DataFrame,
+def collapse(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """One stored row per distinct value (and group) with its sums: the only pass over the input."""
+    return cut_lineage(df.groupBy(*(by or []), value).agg(*[c.alias(n) for n, c in sums.items()]))
+
+
+def running_sums(
+    flat: DataFrame,
     value: str,
-    sums: dict[str, Column],
+    names: list[str],
     by: list[str] | None = None,
     descending: bool = False,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Running sums per distinct ``value`` (ties together), optionally inside small groups ``by``.
-
-    Returns one row per (by, value) with each sum as ``name`` and its inclusive running sum as
-    ``cum_name``. Rows are summed per distinct value before anything is ordered.
-    """
+    """Inclusive running sums ``cum_<name>`` over a table from :func:`collapse`."""
     by = by or []
-    names = list(sums)
-    flat = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
     sign = -F.col(value) if descending else F.col(value)
     cut = with_buckets(flat, sign, None, buckets)
     totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(n).alias(n) for n in names])
@@ -129,9 +134,21 @@ def global_cumsum(
     )
 
 
+def global_cumsum(
+    df: DataFrame,
+    value: str,
+    sums: dict[str, Column],
+    by: list[str] | None = None,
+    descending: bool = False,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Running sums per distinct ``value`` (ties together), optionally inside groups ``by``."""
+    return running_sums(collapse(df, value, sums, by), value, list(sums), by, descending, buckets)
+
+
 def gap_to_previous(df: DataFrame, ts_micros: Column, tie: str, buckets: int | None = None) -> DataFrame:
     """Adds ``prev_micros``: the time of the row before in the order (time, tie) of the whole table."""
-    cut = with_buckets(df.withColumn("_us", ts_micros), F.col("_us"), tie, buckets)
+    cut = with_buckets(cut_lineage(df.withColumn("_us", ts_micros)), F.col("_us"), tie, buckets)
     inside = Window.partitionBy("_bucket").orderBy(F.col("_us").asc_nulls_first(), tie_number(df, tie), tie)
     ends = cut.groupBy("_bucket").agg(F.max("_us").alias("_last"))
     step = Window.partitionBy(F.lit(0)).orderBy("_bucket")

@@ -130,10 +130,9 @@ def recommendations(overall: DataFrame) -> DataFrame:
     return overall.withColumn("recommendations", F.filter(marks, lambda m: m.isNotNull()))
 
 
-def genuine_examples(df: DataFrame, k: int = 5, width: int = 200) -> DataFrame:
-    """The first k genuine rows by key, text cut for display."""
-    first = df.filter(F.col("final_prediction") == "genuine").orderBy("review_id").limit(k)
-    return first.withColumn("text", F.substring("text", 1, width))
+def genuine_examples(df: DataFrame, k: int = 5) -> DataFrame:
+    """The first k genuine rows by key."""
+    return df.filter(F.col("final_prediction") == "genuine").orderBy("review_id").limit(k)
 
 
 def preview(df: DataFrame, k: int = 10, width: int = 150) -> DataFrame:
@@ -190,7 +189,8 @@ DECISION_FILTERS = {
 
 
 def page(
-    df: DataFrame, number: int, size: int = 10, decision: str = "all", min_confidence: float = 0.0
+    df: DataFrame, number: int, size: int = 10, decision: str = "all", min_confidence: float = 0.0,
+    stored: bool = False,
 ) -> DataFrame:
     """One page of the filtered rows in key order, with shown and total counts.
 
@@ -198,7 +198,7 @@ def page(
     """
     kept = df.filter(DECISION_FILTERS[decision](F.col("final_prediction")) & (F.col("final_confidence") >= min_confidence))
     total = kept.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = global_row_number(kept, F.col("review_id"), "review_id", "place")
+    ranked = global_row_number(kept, F.col("review_id"), "review_id", "place", stored=stored)
     low, high = (number - 1) * size, number * size
     out = ranked.filter((F.col("place") > low) & (F.col("place") <= high))
     return out.withColumn("total", total).withColumn("shown_to", F.least(F.lit(high), F.col("total")))

@@ -17,29 +17,23 @@ from probity.functions import vectors as V
 
 SCRATCH = [
     "spam_hits", "ad_hits", "extreme_hits", "inappropriate_hits", "positive_hits", "negative_hits",
-    "has_link", "rule_length", "rule_short",
+    "has_link", "rule_length",
 ]
 
 
 def rule_scores(df: DataFrame, text: str = "text", keep_signals: bool = False) -> DataFrame:
     """Adds text_prediction, text_confidence, class_probabilities, p_bad and model_type."""
     label, conf = F.col("text_prediction"), F.col("text_confidence")
-    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class())
+    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text))
     out = out.withColumn("text_confidence", X.rule_confidence(label))
     out = out.withColumn("probs", X.rule_probs(label, conf))
     out = out.withColumn("class_probabilities", V.as_map(F.col("probs")))
     out = out.withColumns(
-        {"p_bad": rule_p_bad(label, conf), "model_type": F.lit("rules")}
+        {"p_bad": X.rule_p_bad(label), "model_type": F.lit("rules")}
     )
     return out if keep_signals else out.drop(*SCRATCH)
 
 
-def rule_p_bad(label: Column, conf: Column) -> Column:
-    """Bad mass of the rule vector in closed form: no map is built where only the mass is needed."""
-    total = conf + 0.6
-    return F.when(X.is_bad(label) == 1, (conf + 0.4) / total).otherwise(0.5 / total)
-
-
 def text_features(df: DataFrame) -> DataFrame:
     """Confidence, risk and quality columns of the anomaly stage from a scored table."""
     probs = F.col("class_probabilities")
@@ -157,12 +151,12 @@ def term_count_model():
 
 def tester_scores(df: DataFrame, text: str = "text", stars: str = "stars") -> DataFrame:
     """The path every review takes: rules, rating rule, weighted fusion, tier."""
-    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class()).drop(*SCRATCH)
+    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text)).drop(*SCRATCH)
     label, conf = F.col("text_prediction"), F.col("text_confidence")
     out = out.withColumn("text_confidence", X.rule_confidence(label))
     out = out.withColumns(
         {
-            "p_bad": rule_p_bad(label, conf),
+            "p_bad": X.rule_p_bad(label),
             "text_binary": X.binary_class(label),
             "binary_confidence": X.binary_confidence(label, conf),
             **R.rating_rule(F.col(stars)),
@@ -181,12 +175,12 @@ def tester_scores(df: DataFrame, text: str = "text", stars: str = "stars") -> Da
 
 def serving_scores(df: DataFrame, text: str = "text") -> DataFrame:
     """The serving path: rules, class to decision, simple fusion, route and nested breakdown."""
-    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class()).drop(*SCRATCH)
+    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text)).drop(*SCRATCH)
     label, conf = F.col("text_prediction"), F.col("text_confidence")
     out = out.withColumn("text_confidence", X.rule_confidence(label))
     out = out.withColumns(
         {
-            "p_bad": rule_p_bad(label, conf),
+            "p_bad": X.rule_p_bad(label),
             "metadata_anomaly_score": F.lit(0.3),
             "final_prediction": R.serving_decision(label),
             "final_confidence": conf,

@@ -175,7 +175,10 @@ def register(catalog):
         sql("served", "SELECT review_id, substring(text, 1, 200) AS text, final_confidence FROM served WHERE final_prediction = 'genuine' ORDER BY review_id LIMIT 5"),
     )
     def _(spark, folder):
-        return B.genuine_examples(P.served(spark, folder)).select("review_id", "text", "final_confidence")
+        first = B.genuine_examples(P.scored_table(spark, folder)).select("review_id", "final_confidence")
+        # Five rows fetch their text from the reviews.
+        out = P.reviews(spark, folder).join(F.broadcast(first), "review_id")
+        return out.select("review_id", F.substring("text", 1, 200).alias("text"), "final_confidence")
 
     @add(
         "result_preview",
@@ -192,7 +195,7 @@ def register(catalog):
 
     @add("policy_violations", "R15", sql("served", "SELECT review_id, violation FROM violated", VIOLATION))
     def _(spark, folder):
-        return B.violation_rows(P.served(spark, folder)).select("review_id", "violation")
+        return B.violation_rows(P.scored_table(spark, folder)).select("review_id", "violation")
 
     @add(
         "violation_counts",
@@ -204,7 +207,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        return r6(B.violation_counts(P.served(spark, folder)), ["percent"])
+        return r6(B.violation_counts(P.scored_table(spark, folder)), ["percent"])
 
     @add(
         "risk_heat_map",
@@ -228,7 +231,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = P.served(spark, folder)
+        df = P.scored_table(spark, folder)
         as_of = df.agg(F.max("published_at").alias("t")).scalar()
         rows = B.violation_rows(df).select("review_id", "violation", "final_confidence", "published_at").withColumn("as_of", as_of)
         out = B.violation_filter(
@@ -254,7 +257,7 @@ def register(catalog):
         sql("served", "SELECT review_id, final_prediction, final_confidence FROM served WHERE final_prediction <> 'genuine' AND final_confidence >= 0.7"),
     )
     def _(spark, folder):
-        df = P.served(spark, folder)
+        df = P.scored_table(spark, folder)
         keep = B.DECISION_FILTERS["flagged"](F.col("final_prediction")) & (F.col("final_confidence") >= 0.7)
         return df.filter(keep).select("review_id", "final_prediction", "final_confidence")
 
@@ -268,8 +271,8 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = P.served(spark, folder).select("review_id", "final_prediction", "final_confidence")
-        return B.page(df, 3, decision="flagged").select("review_id", "final_prediction", "place", "total", "shown_to")
+        df = P.scored_table(spark, folder).select("review_id", "final_prediction", "final_confidence")
+        return B.page(df, 3, decision="flagged", stored=True).select("review_id", "final_prediction", "place", "total", "shown_to")
 
     @add(
         "daily_trend",

@@ -157,3 +157,13 @@ def rule_judged(spark: SparkSession, folder: str) -> DataFrame:
         F.col("metadata_is_anomaly").cast("int").alias("stage2"),
         "metadata_anomaly_score", "p_bad",
     )
+
+
+def scored_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Served scores stored once without the text. Filters, pages and violation lists read this table;
+    a filter on a score would otherwise be pushed down to the text rules and run them again."""
+    df = served(spark, folder).select(
+        "review_id", "reviewer_id", "place_id", "published_at", "category", "text_prediction", "text_confidence",
+        "p_bad", "final_prediction", "final_confidence", "fusion_score", "routing_decision",
+    )
+    return cut_lineage(df)
