@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from probity.constants import DECISIONS, FUSION_FEATURES
 from probity.functions import risk as R
+from probity.functions.vectors import lookup
 from probity.operators.anomaly import filled, standardise
 from probity.operators.ordered import global_row_number
 
@@ -86,6 +87,10 @@ def target_decision(label: Column, row_key: Column) -> Column:
     )
 
 
+def _stable_unit(row_key: str, seed: int = 11) -> Column:
+    return F.pmod(F.xxhash64(row_key, F.lit(seed)), F.lit(2**53)).cast("double") / float(2**53)
+
+
 def hash_folds(df: DataFrame, row_key: str, folds: int = 5, out: str = "fold") -> DataFrame:
     """Fold number by hash of the row: even in every class, and no row has to meet another."""
     return df.withColumn(out, F.pmod(F.xxhash64(row_key, F.lit(7)), F.lit(folds)).cast("int"))
@@ -94,11 +99,7 @@ def hash_folds(df: DataFrame, row_key: str, folds: int = 5, out: str = "fold") -
 def class_weights(df: DataFrame, label: str, out: str = "weight", given: dict | None = None) -> DataFrame:
     """Inverse class frequency weights, or given ones per class."""
     if given is not None:
-        chain = None
-        for k, v in given.items():
-            cond = F.col(label) == k
-            chain = F.when(cond, F.lit(v)) if chain is None else chain.when(cond, F.lit(v))
-        return df.withColumn(out, chain.otherwise(1.0))
+        return df.withColumn(out, lookup(given, F.col(label), F.lit(1.0)))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
     weights = counts.withColumn("_t", totals).select(

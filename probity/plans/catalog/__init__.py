@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["text", "features", "anomaly", "fusion", "evaluation", "reports", "labels", "tables", "described"]
+MODULES = ["text", "features", "anomaly", "fusion", "evaluation", "reports", "labels", "tables", "described", "models"]
 
 
 class Catalog:
