@@ -7,9 +7,13 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from probity.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["text", "features", "anomaly", "fusion", "evaluation", "reports", "labels", "tables", "described", "models"]
+MODULES = [
+    "text", "features", "anomaly", "fusion", "evaluation", "reports", "labels", "tables", "described", "models", "streams",
+]
 
 
 class Catalog:
@@ -24,7 +28,7 @@ class Catalog:
         def keep(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query registered twice: {name}")
-            self.queries[name] = fn
+            self.queries[name] = lambda spark, folder: fn(prepare(spark), folder)
             self.covers[name] = covers
             if sql is not None:
                 self.sql[name] = sql

@@ -21,11 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as reviews: the event gives reviewer, time, stars and place, a document gives the text."""
-    docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").withColumn("_labelled", F.lit(True))
+    return as_reviews(*(table(spark, folder, t) for t in ("events", "documents", "labels")))
+
+
+def as_reviews(events: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Events as reviews: the event gives reviewer, time, stars and place, a document gives the text.
+
+    ``events`` may be a stream; the other two are tables.
+    """
+    labels = labels.withColumn("_labelled", F.lit(True))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    events = table(spark, folder, "events").withColumn("_doc", F.col("event_id") % n_docs)
+    events = events.withColumn("_doc", F.col("event_id") % n_docs)
     docs = docs.join(labels, "doc_id", "left")
     e = F.col("event_id")
     text, lang = F.col("text"), F.col("lang")
