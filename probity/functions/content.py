@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.functions.text import mean_word_length, word_count
@@ -14,26 +14,26 @@ def has_image(urls: Column) -> Column:
 
 def image_count(urls: Column) -> Column:
     """Length of the list when the value is a list, otherwise 0."""
-    parsed = F.when(urls.startswith("["), F.from_json(urls, "array<string>"))
-    return F.coalesce(F.size(parsed), F.lit(0))
+    return F.when(urls.startswith("["), F.coalesce(F.json_array_length(urls), F.lit(0))).otherwise(0)
 
 
 def language_match(language: Column, original: Column) -> Column:
     return F.coalesce((language == original).cast("int"), F.lit(0))
 
 
-def content_columns() -> dict[str, Column]:
-    text = F.col("text")
-    return {
-        "has_image": has_image(F.col("review_image_urls")),
-        "image_count": F.when(
-            F.col("review_image_urls").isNull(), F.lit(0)
-        ).otherwise(image_count(F.col("review_image_urls"))),
-        "text_length": F.length(text),
-        "word_count": word_count(text),
-        "avg_word_length": mean_word_length(text),
-        "language_match": language_match(F.col("language"), F.col("original_language")),
-    }
+def with_content(df: DataFrame) -> DataFrame:
+    """Adds the content features. Words are counted once and the count is used by what follows."""
+    text, urls = F.col("text"), F.col("review_image_urls")
+    out = df.withColumns(
+        {
+            "has_image": has_image(urls),
+            "image_count": image_count(urls),
+            "text_length": F.length(text),
+            "word_count": word_count(text),
+            "language_match": language_match(F.col("language"), F.col("original_language")),
+        }
+    )
+    return out.withColumn("avg_word_length", mean_word_length(text, F.col("word_count")))
 
 
 def content_quality(risk: Column, confidence: Column) -> Column:

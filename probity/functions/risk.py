@@ -17,7 +17,7 @@ from probity.constants import (
     UNKNOWN_ROUTE,
     VIOLATION_NAMES,
 )
-from probity.functions.vectors import argmax_index, label_array, lookup
+from probity.functions.vectors import argmax_index, label_array, let, lookup
 
 
 def steps(value: Column, cuts, names) -> Column:
@@ -102,24 +102,30 @@ def argmax_decision(probs: Column) -> dict[str, Column]:
 
 def threshold_decision(probs: Column, spam=0.35, genuine=0.25, low_quality=0.15) -> dict[str, Column]:
     """Spam first, then genuine, then low quality; whatever is left is suspicious."""
-    g, s, q, x = (F.element_at(probs, i) for i in (1, 2, 3, 4))
+
+    def cascade(p: Column, values) -> Column:
+        return (
+            F.when(F.element_at(p, 4) >= spam, values[3])
+            .when(F.element_at(p, 1) >= genuine, values[0])
+            .when(F.element_at(p, 3) >= low_quality, values[2])
+            .otherwise(values[1])
+        )
+
     return {
-        "final_prediction": F.when(x >= spam, DECISIONS[3])
-        .when(g >= genuine, DECISIONS[0])
-        .when(q >= low_quality, DECISIONS[2])
-        .otherwise(DECISIONS[1]),
-        "final_confidence": F.when(x >= spam, x)
-        .when(g >= genuine, g)
-        .when(q >= low_quality, q)
-        .otherwise(s),
-        "fusion_score": x,
+        "final_prediction": let(probs, lambda p: cascade(p, DECISIONS)),
+        "final_confidence": let(probs, lambda p: cascade(p, [F.element_at(p, i) for i in (1, 2, 3, 4)])),
+        "fusion_score": F.element_at(probs, 4),
     }
 
 
 def decision_probs(text_probs: Column) -> Column:
     """4 decision masses from 7 class probabilities, by the evaluation map of classes."""
-    p = [F.element_at(text_probs, i + 1) for i in range(7)]
-    return F.array(p[0] + p[1], p[5], p[4], p[2] + p[3] + p[6])
+
+    def masses(v: Column) -> Column:
+        p = [F.element_at(v, i + 1) for i in range(7)]
+        return F.array(p[0] + p[1], p[5], p[4], p[2] + p[3] + p[6])
+
+    return let(text_probs, masses)
 
 
 def simple_fusion(p_bad: Column, anomaly: float = 0.3) -> Column:

@@ -36,16 +36,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+# Unicode white space, as the word pattern sees it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def word_count(text: Column) -> Column:
-    """White-space separated words; one regex pass that never builds the word array."""
+    """White-space separated words."""
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
-def mean_word_length(text: Column) -> Column:
+def mean_word_length(text: Column, n_words: Column) -> Column:
     """Characters outside white space over words; 0 for a text without words."""
-    n = word_count(text)
-    solid = F.length(F.regexp_replace(text, r"(?U)\s+", ""))
-    return F.when(n > 0, solid / n).otherwise(F.when(n.isNotNull(), F.lit(0.0)))
+    solid = F.length(F.translate(text, WHITE_SPACE, ""))
+    return F.coalesce(F.try_divide(solid, n_words), F.when(n_words.isNotNull(), F.lit(0.0)))
 
 
 def has_upper(text: Column) -> Column:

@@ -25,16 +25,32 @@ def lookup(mapping: dict, key: Column, default) -> Column:
     return F.coalesce(F.try_element_at(literal_map(mapping), key), default)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value named once, however often the body uses it.
+
+    Filters pushed below a projection repeat every named column in full; a lambda variable is evaluated
+    once per row instead.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, e: acc + e)
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda z: F.exp((z - top) / F.lit(float(temperature))))
-    total = F.aggregate(raised, F.lit(0.0), lambda acc, e: acc + e)
-    return F.transform(raised, lambda e: e / total)
+    def raised(v: Column, top: Column) -> Column:
+        return F.transform(v, lambda z: F.exp((z - top) / F.lit(float(temperature))))
+
+    def normalised(r: Column) -> Column:
+        return let(array_sum(r), lambda total: F.transform(r, lambda e: e / total))
+
+    return let(logits, lambda v: let(F.array_max(v), lambda top: let(raised(v, top), normalised)))
 
 
 def argmax_index(probs: Column) -> Column:
     """1-based position of the largest entry; the first one on ties."""
-    return F.array_position(probs, F.array_max(probs)).cast("int")
+    return let(probs, lambda p: F.array_position(p, F.array_max(p)).cast("int"))
 
 
 def argmax_label(probs: Column, labels=TEXT_CLASSES) -> Column:
@@ -66,7 +82,7 @@ def genuine_mass(prob_map: Column) -> Column:
 
 def class_weighted_score(probs: Column, weights=TEXT_CLASS_WEIGHTS) -> Column:
     w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(F.zip_with(probs, w, lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x)
+    return array_sum(F.zip_with(probs, w, lambda p, q: p * q))
 
 
 def entropy(probs: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from probity.operators.metrics import ratio
 from probity.operators.ordered import collapse, global_row_number, running_sums
+from probity.session import cut_lineage
 
 
 def band(p: Column, low: float, high: float) -> Column:
@@ -37,9 +38,10 @@ def budgeted(
             "priority": F.round(F.greatest("p_final", "p_meta", "burst"), 6),
         }
     )
+    out = cut_lineage(out)  # counted, ranked and joined back below
     seats = out.agg(F.floor(F.count(F.lit(1)) * budget).alias("k")).scalar()
     waiting = out.filter((F.col("gate") == 1) | (F.col("band") == "grey")).select(row_key, "gate", "priority")
-    ranked = global_row_number(waiting, -(F.col("gate") * 2 + F.col("priority")), row_key, "_place")
+    ranked = global_row_number(waiting, -(F.col("gate") * 2 + F.col("priority")), row_key, "_place", stored=True)
     routed = ranked.filter(F.col("_place") <= seats).select(row_key, F.lit(True).alias("_routed"))
     out = out.join(routed, row_key, "left")
     return out.withColumn(

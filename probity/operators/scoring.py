@@ -61,11 +61,7 @@ def logits_scores(df: DataFrame, logits: Column, temperature: float = 1.0) -> Da
         {
             "text_prediction": V.argmax_label(probs),
             "text_confidence": F.array_max(probs),
-            "p_bad": F.element_at(probs, 3)
-            + F.element_at(probs, 4)
-            + F.element_at(probs, 5)
-            + F.element_at(probs, 6)
-            + F.element_at(probs, 7),
+            "p_bad": V.array_sum(F.slice(probs, 3, 5)),
         }
     )
 

@@ -228,7 +228,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = P.reviews(spark, folder).withColumns(C.content_columns())
+        df = C.with_content(P.reviews(spark, folder))
         return df.select(
             "review_id", "has_image", "image_count", "text_length", "word_count",
             F.round("avg_word_length", 6).alias("avg_word_length"), "language_match",
@@ -250,7 +250,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = S.text_features(S.rule_scores(P.reviews(spark, folder))).withColumns(C.content_columns())
+        df = C.with_content(S.text_features(S.rule_scores(P.reviews(spark, folder))))
         conf, n, length = F.col("text_confidence"), F.col("word_count"), F.col("text_length")
         return df.select(
             "review_id",

@@ -43,7 +43,9 @@ def as_reviews(events: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFra
     place = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     kind = e % 20
     steps = [(7, 3, 101), (11, 5, 103), (13, 7, 107), (17, 11, 109), (19, 13, 113), (23, 17, 127), (29, 19, 131)]
-    joined = events.join(docs, F.col("_doc") == F.col("doc_id"))
+    # Both sides grow with the data, and the joined text is what later steps work on: a shuffle join by
+    # document spreads it over all tasks, a broadcast would leave it in the few tasks of one scan.
+    joined = events.join(docs.hint("merge"), F.col("_doc") == F.col("doc_id"))
     return joined.select(
         e.alias("review_id"),
         F.col("user_id").alias("reviewer_id"),
@@ -115,7 +117,7 @@ def features(df: DataFrame, drop_text: bool = True) -> DataFrame:
     Text is measured first and left behind, so the shuffles by reviewer and place carry numbers only.
     """
     out = S.text_features(S.rule_scores(df))
-    out = out.withColumns(C.content_columns())
+    out = C.with_content(out)
     ts = F.col("published_at")
     out = out.withColumns(
         {
