@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.operators.profiles import enrich
+from probity.session import cut_lineage
 
 
 def moderation_flags(
@@ -13,6 +14,7 @@ def moderation_flags(
 ) -> DataFrame:
     """Review, reviewer and business flags from text risk, anomaly flag and mean risks per key."""
     slim = df.select("review_id", "reviewer_id", "place_id", "text_confidence", "p_bad", "metadata_is_anomaly")
+    slim = cut_lineage(slim)  # read by both profiles and by the rows themselves
     users = slim.groupBy("reviewer_id").agg(F.round(F.avg("p_bad"), 9).alias("user_avg_risk"))
     places = slim.groupBy("place_id").agg(F.round(F.avg("p_bad"), 9).alias("business_avg_risk"))
     out = enrich(enrich(slim, users, "reviewer_id"), places, "place_id")

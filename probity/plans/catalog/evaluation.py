@@ -11,6 +11,7 @@ from probity.operators import complement as C
 from probity.operators import metrics as E
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import BAD, long_form, sql
+from probity.session import cut_lineage
 
 
 def r6(df, names):
@@ -317,7 +318,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = P.rule_judged(spark, folder).withColumn("yhat", F.col("stage2"))
+        df = cut_lineage(P.rule_judged(spark, folder).withColumn("yhat", F.col("stage2")))
         mean = df.agg(F.avg("metadata_anomaly_score").alias("m")).scalar()
         b = E.binary_metrics(df)
         n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
@@ -340,7 +341,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = fusion_judged(spark, folder)
+        df = cut_lineage(fusion_judged(spark, folder).select("decision", "final_prediction", "final_confidence"))
         mean = df.agg(F.avg("final_confidence").alias("m")).scalar()
         pc = E.per_class(df, "decision", "final_prediction", DECISIONS)
         out = r6(pc, ["precision", "recall", "f1"]).select("label", "precision", "recall", "f1", "support")
@@ -447,7 +448,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = P.judged(spark, folder)
+        df = cut_lineage(P.judged(spark, folder).select("score", "y", "yhat"))
         ranks = E.melt(E.ranking_metrics(df), ["roc_auc", "pr_auc"])
         return r6(E.melt(E.binary_metrics(df), BIN_NAMES).unionByName(ranks), ["value"])
 

@@ -12,6 +12,7 @@ from probity.operators import scoring as S
 from probity.operators import windows as W
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
+from probity.session import cut_lineage
 
 
 def rolling_sql(days) -> str:
@@ -37,13 +38,14 @@ SELECT review_id, reviewer_id, place_id, stars, text, p_bad AS risk, text_confid
   CASE WHEN text_prediction = 'spam' THEN text_confidence ELSE 0.1 END / (text_confidence + 0.6) AS spam FROM ruled)"""
 
 
-def risky(spark, folder):
+def risky(spark, folder, stored=False):
     """Numbers only: the text is reduced to its digest before any shuffle by key."""
     df = S.text_features(S.rule_scores(P.reviews(spark, folder)))
-    return df.select(
+    df = df.select(
         "review_id", "reviewer_id", "place_id", "stars", F.md5("text").alias("text"),
         "text_quality_risk", "text_confidence", "text_spam_prob",
     )
+    return cut_lineage(df) if stored else df
 
 
 def register(catalog):
@@ -194,7 +196,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = risky(spark, folder)
+        df = risky(spark, folder, stored=True)  # the rows meet a profile made of themselves
         out = G.enrich(df, G.business_profile(df, with_risk=True), "place_id")
         dev = G.deviation(F.col("text_quality_risk"), F.col("business_avg_quality_risk"))
         return out.select("review_id", F.round(dev, 6).alias("business_quality_risk_deviation"))

@@ -352,7 +352,7 @@ def register(catalog):
 
     @add("tester_report", "R28 S11")
     def _(spark, folder):
-        return B.tester_report(P.tested(spark, folder), "reviews")
+        return B.tester_report(P.tested_table(spark, folder), "reviews")
 
     @add("run_record", "R32")
     def _(spark, folder):

@@ -111,13 +111,9 @@ def with_logits(spark: SparkSession, folder: str) -> DataFrame:
     return S.logits_scores(reviews(spark, folder), F.array(*[F.col(z) for z in Z]))
 
 
-def features(df: DataFrame, drop_text: bool = True) -> DataFrame:
-    """Every feature of the anomaly stage on every row.
-
-    Text is measured first and left behind, so the shuffles by reviewer and place carry numbers only.
-    """
-    out = S.text_features(S.rule_scores(df))
-    out = C.with_content(out)
+def text_part(df: DataFrame) -> DataFrame:
+    """Everything that is measured on the text, with the text itself reduced to its digest."""
+    out = C.with_content(S.text_features(S.rule_scores(df)))
     ts = F.col("published_at")
     out = out.withColumns(
         {
@@ -129,15 +125,22 @@ def features(df: DataFrame, drop_text: bool = True) -> DataFrame:
             "spam_length_ratio": C.spam_length_ratio(F.col("text_spam_prob"), F.col("text_length")),
         }
     )
-    if drop_text:
-        out = out.withColumn("text", F.md5("text")).drop("class_probabilities", "probs")
-    heavy = W.heavy_keys(df.select("reviewer_id"), "reviewer_id")
+    return out.withColumn("text", F.md5("text")).drop("class_probabilities", "probs")
+
+
+def features(df: DataFrame) -> DataFrame:
+    """Every feature of the anomaly stage on every row.
+
+    The rows are used by the windows and by both profiles, so the text part is stored first: texts are
+    read once, and the shuffles by reviewer and place carry numbers only.
+    """
+    out = cut_lineage(text_part(df))
+    heavy = W.heavy_keys(out, "reviewer_id")
     out = W.days_since_previous(out, heavy=heavy)
     out = W.rolling_stars(out, heavy=heavy)
     return P.with_profiles(out)
 
 
-
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """The features written once: statistics, scores and models each make their own pass over them."""
     return cut_lineage(features(reviews(spark, folder)))
@@ -175,3 +178,12 @@ def scored_table(spark: SparkSession, folder: str) -> DataFrame:
         "p_bad", "final_prediction", "final_confidence", "fusion_score", "routing_decision",
     )
     return cut_lineage(df)
+
+
+def tested_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The tester path stored once without the text, for reports made of several summaries."""
+    keep = [
+        "review_id", "text_prediction", "text_confidence", "text_binary", "p_bad", "metadata_anomaly_score",
+        "metadata_is_anomaly", "metadata_risk_level", "fusion_risk_score", "fusion_prediction", "fusion_confidence",
+    ]
+    return cut_lineage(tested(spark, folder).select(*keep))
