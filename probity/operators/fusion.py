@@ -24,6 +24,7 @@ from probity.functions import risk as R
 from probity.functions.vectors import lookup
 from probity.operators.anomaly import filled, standardise
 from probity.operators.ordered import global_row_number
+from probity.session import cut_lineage
 
 
 def fusion_columns(
@@ -100,7 +101,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight", given: dict |
     """Inverse class frequency weights, or given ones per class."""
     if given is not None:
         return df.withColumn(out, lookup(given, F.col(label), F.lit(1.0)))
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
     weights = counts.withColumn("_t", totals).select(
         label, (F.col("_t.n") / (F.col("_t.k") * F.col("_n"))).alias(out)

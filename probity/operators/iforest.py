@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.operators.anomaly import clean, flag_share
+from probity.session import cut_lineage
 
 TREE_SCHEMA = (
     "tree int, rows int, feature array<int>, cut array<double>, left array<int>, right array<int>, "
@@ -162,7 +163,8 @@ class ForestModel:
 
     def detect(self, df: DataFrame, out: str = "ml_anomaly_score", flag: str = "ml_anomaly") -> DataFrame:
         """Score and the contamination cut. ``<out>_centred`` is the score less the cut: above 0 is odd."""
-        return flag_share(self.score(df, out), out, self.contamination, flag)
+        # The cut needs all scores before the first flag: they are stored, not computed twice.
+        return flag_share(cut_lineage(self.score(df, out)), out, self.contamination, flag)
 
 
 def stage_probability(centred):

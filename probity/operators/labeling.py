@@ -16,6 +16,7 @@ from probity import constants as K
 from probity.functions.text import cut, is_bad
 from probity.operators.ordered import global_row_number
 from probity.schema import LABEL_ANSWERS, MODEL_RESPONSES
+from probity.session import cut_lineage
 from probity.sources.normalise import keep_real_text
 
 
@@ -145,5 +146,6 @@ def label_distribution(labelled: DataFrame) -> DataFrame:
         F.struct(F.lit("provider").alias("kind"), F.col("label_provider").alias("name")),
     )
     counts = labelled.select(F.explode(keys).alias("k")).groupBy("k.kind", "k.name").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
     total = counts.filter("kind = 'class'").agg(F.sum("n").alias("t")).scalar()
     return counts.withColumn("percent", F.col("n") * 100.0 / total)

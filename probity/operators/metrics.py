@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probity.constants import BAD_CLASSES, TEXT_CLASSES
 from probity.functions.vectors import label_array
 from probity.operators.ordered import collapse, running_sums
+from probity.session import cut_lineage
 
 
 def known_labels(df: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
@@ -24,7 +25,7 @@ def label_table(spark: SparkSession, labels) -> DataFrame:
 
 def class_distribution(df: DataFrame, label: str, labels=TEXT_CLASSES) -> DataFrame:
     """Count and percentage of every class, also of classes without rows."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n").alias("t")).scalar()
     out = label_table(df.sparkSession, labels).join(counts, "label", "left").na.fill(0, ["n"])
     return out.select("label", "n", ratio(F.col("n") * 100, total).alias("percent"))

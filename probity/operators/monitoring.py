@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probity import constants as K
 from probity.functions import risk as R
 from probity.operators.metrics import ratio
+from probity.session import cut_lineage
 
 
 def score_bin(p: Column, bins: int = 10) -> Column:
@@ -27,7 +28,7 @@ def calibration_error(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10)
 def stability_index(df: DataFrame, p: str, first: Column, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index of a score between the rows of ``first`` and the others."""
     a, b = F.sum(first.cast("long")), F.sum((~first).cast("long"))
-    per = df.groupBy(score_bin(F.col(p), bins).alias("bin")).agg(a.alias("a"), b.alias("b"))
+    per = cut_lineage(df.groupBy(score_bin(F.col(p), bins).alias("bin")).agg(a.alias("a"), b.alias("b")))
     total = per.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b")).alias("t")).scalar()
     per = per.withColumn("_t", total)
     pa = F.greatest(ratio(F.col("a"), F.col("_t.a")), F.lit(floor))
@@ -41,6 +42,7 @@ def removal_spikes(df: DataFrame, day: Column, removed: Column, y: str = "y") ->
     daily = df.groupBy(day.alias("day")).agg(
         ratio(F.sum((removed & good).cast("long")), F.sum(good.cast("long"))).alias("fpr")
     )
+    daily = cut_lineage(daily)
     line = daily.agg((F.avg("fpr") + 3 * F.stddev_samp("fpr")).alias("l")).scalar()
     return daily.withColumn("alert", F.coalesce(F.col("fpr") > line, F.lit(False)))
 

@@ -10,6 +10,7 @@ from probity.functions import risk as R
 from probity.functions import text as X
 from probity.operators.metrics import ratio
 from probity.operators.ordered import global_row_number
+from probity.session import cut_lineage
 
 DECISION_COLUMNS = {
     "genuine": "genuine", "suspicious": "suspicious", "low_quality": "low-quality", "spam": "high-confidence-spam",
@@ -42,9 +43,9 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 
 def share_table(df: DataFrame, column: str | Column, name: str = "name") -> DataFrame:
-    """Count and percent of the total per value."""
+    """Count and percent of the total per value. The counts are stored, so the rows are read once."""
     col = F.col(column) if isinstance(column, str) else column
-    counts = df.groupBy(col.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(col.alias(name)).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n").alias("t")).scalar()
     return counts.withColumn("percent", ratio(F.col("n") * 100, total))
 
@@ -210,7 +211,8 @@ def daily_trend(df: DataFrame, days: int = 30) -> DataFrame:
         _n(F.col("final_prediction") == "genuine").alias("genuine"),
         _n(F.col("final_prediction") != "genuine").alias("flagged"),
     )
-    last = df.agg(F.max(F.to_date("published_at")).alias("d"))
+    counts = cut_lineage(counts)  # one row per day, read for the last day and for the result
+    last = counts.agg(F.max("day").alias("d"))
     spine = last.select(F.explode(F.sequence(F.date_sub("d", days - 1), F.col("d"))).alias("day"))
     return spine.join(counts, "day", "left").na.fill(0, ["genuine", "flagged"])
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from probity.constants import CATEGORY_TERMS
 from probity.functions import text as X
 from probity.operators.profiles import enrich
+from probity.session import cut_lineage
 
 
 def burst_scores(df: DataFrame, key: str = "place_id", ts: str = "published_at") -> DataFrame:
@@ -42,6 +43,7 @@ def coordination_scores(df: DataFrame, min_others: int = 1) -> DataFrame:
         .groupBy("reviewer_id", "place_id", "stars", "day")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    seen = cut_lineage(seen)
     crowd = seen.groupBy("place_id", "stars", "day").agg(F.count(F.lit(1)).alias("reviewers"))
     shared = seen.join(crowd, ["place_id", "stars", "day"])
     return shared.groupBy("reviewer_id").agg(

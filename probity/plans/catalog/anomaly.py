@@ -11,6 +11,7 @@ from probity.operators import neighbours as N
 from probity.operators import scoring as S
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
+from probity.session import cut_lineage
 
 WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
 
@@ -178,7 +179,7 @@ def register(catalog):
             F.length("text").alias("text_length"),
         )
         names = ["stars", "hour_of_day", "day_of_week", "text_length"]
-        df = A.standardise(A.filled(df, names), names)
+        df = cut_lineage(A.standardise(A.filled(cut_lineage(df), names), names))
         scaled = [f"{n}_scaled" for n in names]
         model = I.IsolationForest(scaled, trees=100, contamination=0.1).fit(df)
         return A.anomaly_summary(model.detect(df), scaled)
