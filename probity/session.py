@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +33,29 @@ def local_session(cores: int = 8, name: str = "probity", **conf) -> SparkSession
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, wherever they run; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="probity-")) / "probity.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Puts the settings that may be changed at run time on a session somebody else made."""
+    """Ships the package and puts the settings that may be changed at run time on a session."""
+    ship_package(spark)
     for k, v in SETTINGS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
