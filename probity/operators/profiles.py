@@ -98,9 +98,9 @@ def deviation(value: Column, centre: Column) -> Column:
     return F.abs(value - centre)
 
 
-def with_profiles(df: DataFrame, with_risk: bool = True) -> DataFrame:
+def with_profiles(df: DataFrame, with_risk: bool = True, heavy_reviewers: list | None = None) -> DataFrame:
     """Rows with both profiles and the deviations from them."""
-    out = enrich(df, reviewer_profile(df, with_risk=with_risk), "reviewer_id")
+    out = enrich(df, reviewer_profile(df, with_risk=with_risk), "reviewer_id", heavy_reviewers)
     out = enrich(out, business_profile(df, with_risk=with_risk), "place_id")
     added = {
         "user_rating_deviation": deviation(F.col("stars"), F.col("user_avg_rating")),

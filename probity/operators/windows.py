@@ -25,6 +25,12 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: int =
     return [r[0] for r in found]
 
 
+def own_rows(key: str, tie: str) -> list[Column]:
+    """Window partition of a key. A row without a key is a partition of its own: such rows have no
+    history, and together they might be the largest group of all."""
+    return [F.col(key), F.when(F.col(key).isNull(), F.col(tie))]
+
+
 def split_by_weight(df: DataFrame, key: str, heavy: list, light_plan, heavy_plan) -> DataFrame:
     if not heavy:
         return light_plan(df)
@@ -48,7 +54,7 @@ def days_since_previous(
     here = micros(F.col(ts))
 
     def light(part: DataFrame) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(*order)
+        w = Window.partitionBy(*own_rows(key, tie)).orderBy(*order)
         return part.withColumn(out, whole_days(here - F.lag(here).over(w)))
 
     def hot(part: DataFrame) -> DataFrame:
@@ -87,6 +93,7 @@ def rolling_stars(
     days=(7, 30),
     heavy: list | None = None,
     buckets: int | None = None,
+    tie: str = "review_id",
 ) -> DataFrame:
     """Past-only rolling statistics in [t - w, t): mean, count, sample deviation and review count.
 
@@ -100,7 +107,7 @@ def rolling_stars(
         part = part.withColumn("_us", here)
         added: dict[str, Column] = {}
         for d in days:
-            w = Window.partitionBy(key).orderBy("_us").rangeBetween(-d * DAY_MICROS, -1)
+            w = Window.partitionBy(*own_rows(key, tie)).orderBy("_us").rangeBetween(-d * DAY_MICROS, -1)
             mean, count, std, reviews = rolling_names(d)
             timed = F.col("_us").isNotNull()
             added[mean] = F.when(timed, F.avg(stars).over(w))

@@ -138,7 +138,7 @@ def features(df: DataFrame) -> DataFrame:
     heavy = W.heavy_keys(out, "reviewer_id")
     out = W.days_since_previous(out, heavy=heavy)
     out = W.rolling_stars(out, heavy=heavy)
-    return P.with_profiles(out)
+    return P.with_profiles(out, heavy_reviewers=heavy)
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:

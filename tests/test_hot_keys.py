@@ -118,3 +118,11 @@ def test_salted_enrich(skewed):
 def test_partition_count_does_not_matter(skewed, parts):
     base = W.rolling_stars(skewed, heavy=[]).select("review_id", "rolling_7d_stars_mean")
     same(base, W.rolling_stars(skewed.repartition(parts), heavy=["hot"], buckets=parts + 1).select("review_id", "rolling_7d_stars_mean"))
+
+
+def test_rows_without_a_key_have_no_history(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(i, None, t + timedelta(days=i), 3.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "review_id long, reviewer_id string, published_at timestamp, stars double")
+    out = W.rolling_stars(W.days_since_previous(df, heavy=[]), heavy=[]).collect()
+    assert all(r.days_since_last_review is None and r.rolling_7d_review_count == 0 for r in out)
