@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probity.llm import decontaminate, mixing, wavelet
+from probity.llm import decontaminate, mixing, neardup, wavelet
 from probity.llm.common import ready, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,3 +39,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.link(table(spark, folder, "documents"), words=3, percent=85)
