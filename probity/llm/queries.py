@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probity.llm import decontaminate, mixing, neardup, wavelet
+from probity.llm import decontaminate, mixing, neardup, pii, quality, urls, wavelet
 from probity.llm.common import ready, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,3 +44,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_duplicates")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.link(table(spark, folder, "documents"), words=3, percent=85)
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept distance".split()
+    return quality.judge(table(spark, folder, "documents")).select(*names)
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+@query("op2_url_filters")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
