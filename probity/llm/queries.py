@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probity.llm import decontaminate, mixing, neardup, pii, quality, urls, wavelet
+from probity.llm import decontaminate, language, mixing, neardup, pii, quality, toxicity, urls, wavelet
 from probity.llm.common import ready, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,3 +60,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_url_filters")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.prototypes(language.learned_rows(docs)))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
