@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probity.llm import decontaminate, language, mixing, neardup, pii, quality, toxicity, urls, wavelet
+from probity.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, toxicity, urls, wavelet
 from probity.llm.common import ready, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,3 +72,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents")).drop("findings")

@@ -30,11 +30,12 @@ from probity.session import checkpoint_dir
 BLOCK = 512
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 
 # Byte-level vocabularies write a byte that is no visible Latin-1 character as the next character from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+LEADING_SPACE = chr(BYTE_LETTERS[0x20])
 
 
 SHARD_SCHEMA = (
@@ -171,7 +172,7 @@ class Encoder:
     """
 
     SURE = re.compile(r"(?<=\S) (?=\S)")
-    COMMON = re.compile(r"[\n\x20-\x7EÀ-ÖØ-öø-ÿ]+")
+    COMMON = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+(?:\n+[\x21-\x7EÀ-ÖØ-öø-ÿ]+)*")
     RUNS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str):
@@ -193,15 +194,25 @@ class Encoder:
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def _run(self, run: str) -> bytes:
-        shown = run.encode().decode("latin-1").translate(BYTE_LETTERS)
+        """Ids of a run that the pre-tokenizer keeps together, by the library's model."""
+        if run.isascii() and run.isalpha():
+            shown = run
+        elif run.isascii() and run[0] == " " and run[1:].isalpha():
+            shown = LEADING_SPACE + run[1:]
+        else:
+            shown = run.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece that follows a cut, its space included; None where white space at an edge makes the cut unsure."""
+        if piece.isalpha():
+            return self.runs[" " + piece]
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return self.runs[" " + piece[:-1]] + self.runs[piece[-1]]
+        if self.COMMON.fullmatch(piece):
+            return b"".join(map(self.runs.__getitem__, self.RUNS.findall(" " + piece)))
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if self.COMMON.fullmatch(piece) and not self.added.search(piece):
-            return b"".join(map(self.runs.__getitem__, self.RUNS.findall(" " + piece)))
         return self._encoded([" " + piece])[0]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -209,6 +220,8 @@ class Encoder:
         return [np.frombuffer(b, dtype=self.kind) for b in (map(self._text, texts) if self.cuts else self._encoded(texts))]
 
     def _text(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self._encoded([text])[0]
         first, *rest = text.split(" ")
         ids = list(map(self.pieces.__getitem__, rest))
         if None in ids or rest and (not first or first[-1].isspace()):
