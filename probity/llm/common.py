@@ -42,7 +42,7 @@ def slim(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 def fold_of(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; null ids count as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % parts
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % parts
 
 
 def range_numbers(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

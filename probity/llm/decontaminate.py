@@ -24,7 +24,7 @@ SHARE = 20
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
 
-FOUND_SCHEMA = "doc_id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>"
+FOUND = ["n_words", "starts", "ends", "items"]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -118,10 +118,10 @@ def _search(batches: Iterable[pa.RecordBatch], items, window: int) -> Iterator[p
             for col, v in zip(out, (len(words), [r[0] for r in runs], [r[1] for r in runs], sorted({*known, *(i for i in found if i is not None)}))):
                 col.append(v)
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["text"], pa.array(out[0], pa.int64()), pa.array(out[1], longs), pa.array(out[2], longs), pa.array(out[3], pa.list_(pa.string()))],
-            names=["doc_id", "text", "n_words", "starts", "ends", "items"],
-        )
+        types = [pa.int64(), longs, longs, pa.list_(pa.string())]
+        before = [n for n in batch.schema.names if n not in FOUND]
+        cols = [*(batch[n] for n in before), *(pa.array(c, t) for c, t in zip(out, types))]
+        yield pa.RecordBatch.from_arrays(cols, names=[*before, *FOUND])
 
 
 def item_blocks(benchmark: DataFrame, id_column="item_id", text_column="text", block_words: int = BLOCK_WORDS) -> list[list[tuple]]:
@@ -135,10 +135,12 @@ def item_blocks(benchmark: DataFrame, id_column="item_id", text_column="text", b
 
 def find(
     docs: DataFrame, benchmark: DataFrame, id_column="doc_id", text_column="text", item_id="item_id", item_text="text", window: int = WINDOW,
-    block_words: int = BLOCK_WORDS,
+    block_words: int = BLOCK_WORDS, keep=(),
 ) -> DataFrame:
     """Every document with ``n_words``, the hit word runs (``starts``, ``ends``) and the ``items`` that occur in it.
 
+    Columns to ``keep`` come back as ``keep0``, ``keep1``, ...
+
     A benchmark larger than a block is searched block by block; between blocks the documents are written once, so a
     task holds one block only. Null and empty texts have no words; null item texts are no patterns; an item
     without id marks words but is not listed; repeated items count once, repeated documents each; empty tables give
@@ -146,12 +148,13 @@ def find(
     """
     spark = ready(docs.sparkSession)
     empty = F.array().cast("array<long>")
-    rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column).withColumns(
+    own = {f"keep{i}": c for i, c in enumerate(keep)}
+    rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column, **own).withColumns(
         {"n_words": F.lit(0).cast("long"), "starts": empty, "ends": empty, "items": F.array().cast("array<string>")}
     )
     for i, items in enumerate(item_blocks(benchmark, item_id, item_text, block_words)):
         sent = _Sent(spark.sparkContext.broadcast(items))
-        rows = (stored(rows) if i else rows).mapInArrow(lambda b, s=sent: _search(b, s, window), FOUND_SCHEMA)
+        rows = (stored(rows) if i else rows).mapInArrow(lambda b, s=sent: _search(b, s, window), rows.schema)
     return rows
 
 
@@ -169,11 +172,12 @@ class _Sent:
         return self.broadcast.value
 
 
-def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
-    """Counts, digest of the items and the verdict: at least one ``share``-th of the words is hit."""
+def judged(found: DataFrame, share: int = SHARE, keep: int = 0) -> DataFrame:
+    """Counts, digest of the items and the verdict: at least one ``share``-th of the words is hit. ``keep``: kept columns to hand on."""
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    own = [f"keep{i}" for i in range(keep)]
+    rows = found.select("doc_id", *own, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
     bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
     return rows.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), bad.alias("contaminated")
+        "doc_id", *own, "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), bad.alias("contaminated")
     )

@@ -179,3 +179,12 @@ def mix(
     return ended.join(goals, ["src_null", "src"]).select(
         "doc_id", "key", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
+
+
+def mixed(docs: DataFrame, id_column="doc_id", text_column="text", source_column="source") -> DataFrame:
+    """The mix itself: every document as often as its copies say, all columns kept. Rows that repeat id and text share theirs."""
+    counts = mix(docs, id_column, text_column, source_column).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    key = F.xxhash64(docs[id_column], F.coalesce(docs[text_column], F.lit("")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"))
+    taken = rows.join(counts.filter("_copies > 0"), "_key").dropDuplicates(["_key"])
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

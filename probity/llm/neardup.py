@@ -30,7 +30,7 @@ KEPT_WORDS = 300_000
 
 _SMALL = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ROW_SCHEMA = "doc_id long, text_key long, n_shingles long, digest binary, signature array<int>"
+_ROW_SCHEMA = "doc_id long, k1 long, k2 long, n_shingles long, digest binary, signature array<int>"
 
 
 class _Words(dict):
@@ -89,8 +89,8 @@ def _signed(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Record
             digests.append(xxhash.xxh3_128_digest(s))
             sigs.append(signature(s).view(np.int32) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-            names=["doc_id", "text_key", "n_shingles", "digest", "signature"],
+            [batch["doc_id"], batch["k1"], batch["k2"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
+            names=["doc_id", "k1", "k2", "n_shingles", "digest", "signature"],
         )
 
 
@@ -201,7 +201,7 @@ def _confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(np.array(u, np.int64)), pa.array(np.array(v, np.int64))], names=["u", "v"])
 
 
-def _tiles(rows: DataFrame, key: str, blocks) -> DataFrame:
+def _tiles(rows: DataFrame, blocks) -> DataFrame:
     """Rows of a group cut into blocks, every two of which meet in a tile; one block is one tile."""
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int")))
@@ -226,51 +226,75 @@ def _posted(nodes: DataFrame, matches: int, block: int) -> DataFrame:
     lists = post.filter(F.col("n") > block).groupBy("key").agg(F.count(F.lit(1)).alias("_length"))
     short = post.filter(F.col("n") <= block).select("node", "key", F.lit(1).alias("_length"))
     long = post.filter(F.col("n") > block).join(lists, "key").select("node", "key", "_length")
-    tiled = _tiles(short.union(long), "key", F.ceil(F.col("_length") / block))
+    tiled = _tiles(short.union(long), F.ceil(F.col("_length") / block))
     return tiled.join(nodes.select("node", "signature"), "node").select("key", "ti", "tj", "node", "signature")
 
 
-def link(
+def row_keys(docs: DataFrame, id_column="doc_id", text_column="text") -> tuple:
+    """Two hashes that name a row by its id and text."""
+    return F.xxhash64(docs[id_column], docs[text_column]), F.xxhash64(docs[text_column], F.lit(1), docs[id_column])
+
+
+def groups(
     docs: DataFrame, id_column="doc_id", text_column="text", words: int = 5, percent: int = 80, list_block: int = LIST_BLOCK, set_block: int = SET_BLOCK,
 ) -> DataFrame:
-    """Near-duplicate groups: ``doc_id, n_shingles, component_id, kept`` for every document.
+    """``doc_id, k1, k2, n_shingles, first`` of every document: ``first`` is the first row (no_id, doc_id, k1, k2) of its group.
 
-    Documents whose sets meet ``100 * intersection >= percent * union`` are linked; a component is all that links
-    reach, named by its smallest id. Texts with the same set are one node throughout, whatever their number, so copies
-    are never paired. Null and empty texts have no shingles and are linked with nothing. Rows with a null id belong to
-    components like others but never name one, unless no row of it has an id (then it is null, and ``kept``);
-    repeated rows stay; rows with a repeated id are all marked. An empty table gives an empty result.
+    ``k1`` and ``k2`` are :func:`row_keys`. See :func:`link` for what a group is.
     """
     ready(docs.sparkSession)
     n = shuffle_partitions(docs)
-    base = slim(docs, doc_id=docs[id_column].cast("long"), text_key=F.xxhash64(docs[text_column]), text=text_column)
+    k1, k2 = row_keys(docs, id_column, text_column)
+    base = slim(docs, doc_id=docs[id_column].cast("long"), k1=k1, k2=k2, text=text_column)
     rows = stored(base.mapInArrow(lambda b: _signed(b, words), _ROW_SCHEMA))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     sets = rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")
+        F.min(own).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")
     )
-    nodes = sets.select("*", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")).drop("first")
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()))
     matches = wanted_matches(percent / 100)
     order = ["key", "ti", "tj"]
     posted = _posted(nodes, matches, list_block).repartition(n, *order).sortWithinPartitions(*order, "node")
     near = posted.select(*order, "node", "signature").mapInArrow(lambda b: _collisions(b, matches), "u long, v long")
-    clusters = stored(components(near).select(F.col("node"), F.col("comp").alias("cluster")).join(nodes.drop("signature", "copies"), "node"))
+    clusters = stored(components(near).select("node", F.col("comp").alias("cluster")).join(nodes.drop("signature", "copies"), "node"))
     # Full sets are made again, for these documents only: keeping the sets of all would be larger than the texts.
-    wanted = clusters.select("first_id", "first_key", "node", "cluster", "digest")
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))).select("node", "cluster", "digest", "text")
+    wanted = clusters.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "node", "cluster", "digest")
+    texts = base.join(wanted, ["k1", "k2"]).select("node", "cluster", "digest", "text")
     full = texts.mapInArrow(lambda b: _with_sets(b, words), "node long, cluster long, shingles binary")
     weight = clusters.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / set_block), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).alias("_size")
     )
     order = ["cluster", "ti", "tj"]
-    tiles = _tiles(full.join(weight, "cluster"), "cluster", F.col("_size")).select(*order, "node", "shingles")
+    tiles = _tiles(full.join(weight, "cluster"), F.col("_size")).select(*order, "node", "shingles")
     tiles = tiles.repartition(n, *order).sortWithinPartitions(*order, "node")
     links = tiles.mapInArrow(lambda b: _confirmed(b, percent), "u long, v long")
-    comps = components(links)
-    named = nodes.select("node", "digest", "first_id", "copies").join(comps, "node", "left")
-    ids = named.filter("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least"))
-    named = named.filter("copies > 1 or comp is not null").join(ids, "comp", "left")
-    named = named.select(F.col("digest").alias("_digest"), F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("_name"), F.lit(True).alias("_found"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
-    name = F.when(F.col("_found"), F.col("_name")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", name.alias("component_id"), name.eqNullSafe(F.col("doc_id")).alias("kept"))
+    named = nodes.select("node", "digest", "first", "copies").join(components(links), "node", "left")
+    least = named.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
+    named = named.filter("copies > 1 or comp is not null").join(least, "comp", "left")
+    named = named.select(F.col("digest").alias("_digest"), F.coalesce("least", "first").alias("_first"))
+    out = rows.drop("signature").join(named, F.col("digest") == F.col("_digest"), "left")
+    return out.select("doc_id", "k1", "k2", "n_shingles", F.coalesce("_first", own).alias("first"))
+
+
+def link(docs: DataFrame, id_column="doc_id", text_column="text", words: int = 5, percent: int = 80, list_block: int = LIST_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
+    """Near-duplicate groups: ``doc_id, n_shingles, component_id, kept`` for every document.
+
+    Documents whose sets meet ``100 * intersection >= percent * union`` are linked; a component is all that links
+    reach, named by its smallest id. Texts with the same set are one node throughout, whatever their number, so copies
+    are never paired. Null and empty texts have no shingles and are linked with nothing. Rows with a null id belong to
+    components like others but never name one, unless no row of it has an id (then it is null, and ``kept``);
+    repeated rows stay; rows with a repeated id are all marked. An empty table gives an empty result.
+    """
+    found = groups(docs, id_column, text_column, words, percent, list_block, set_block)
+    name = F.col("first.doc_id")
+    return found.select("doc_id", "n_shingles", name.alias("component_id"), name.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_column="doc_id", text_column="text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that stay: all columns of one row per group, the first by id. A row that repeats id and text stays once."""
+    found = groups(docs, id_column, text_column, words, percent)
+    stay = found.filter((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    k1, k2 = row_keys(docs, id_column, text_column)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
+    kept = rows.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return kept.select("_row.*")
