@@ -130,7 +130,7 @@ def register(catalog):
         sql(
             "reviews",
             """SELECT review_id, coalesce(stars, 0) AS stars, CAST(coalesce(length(text), 0) AS DOUBLE) AS text_length,
-            CAST(CASE WHEN review_id % 7 = 0 THEN 0 ELSE z0 / (review_id % 7) END AS DOUBLE) AS ratio, 0.0::DOUBLE AS never_seen FROM reviews""",
+            CAST(CASE WHEN review_id % 7 = 0 THEN 0 ELSE logit0 / (review_id % 7) END AS DOUBLE) AS ratio, 0.0::DOUBLE AS never_seen FROM reviews""",
         ),
     )
     def _(spark, folder):
@@ -140,7 +140,7 @@ def register(catalog):
         odd = F.when(part == 0, F.element_at(F.array(F.lit(float("inf")), F.lit(float("-inf")), F.lit(float("nan"))), (F.col("review_id") % 3 + 1).cast("int")))
         df = df.select(
             "review_id", "stars", F.length("text").alias("text_length"),
-            F.coalesce(odd, F.try_divide(F.col("z0"), part)).alias("ratio"),
+            F.coalesce(odd, F.try_divide(F.col("logit0"), part)).alias("ratio"),
         )
         return A.filled(df, ["stars", "text_length", "ratio", "never_seen"])
 
@@ -150,12 +150,12 @@ def register(catalog):
         sql(
             "reviews",
             """SELECT review_id, round((stars - avg(stars) OVER ()) / stddev_pop(stars) OVER (), 6) AS stars_scaled,
-            round((z0 - avg(z0) OVER ()) / stddev_pop(z0) OVER (), 6) AS z0_scaled FROM reviews""",
+            round((logit0 - avg(logit0) OVER ()) / stddev_pop(logit0) OVER (), 6) AS logit0_scaled FROM reviews""",
         ),
     )
     def _(spark, folder):
-        df = A.standardise(P.reviews(spark, folder).select("review_id", "stars", "z0"), ["stars", "z0"])
-        return df.select("review_id", *[F.round(c, 6).alias(c) for c in ("stars_scaled", "z0_scaled")])
+        df = A.standardise(P.reviews(spark, folder).select("review_id", "stars", "logit0"), ["stars", "logit0"])
+        return df.select("review_id", *[F.round(c, 6).alias(c) for c in ("stars_scaled", "logit0_scaled")])
 
     def forest_input(spark, folder):
         df = P.feature_table(spark, folder)
@@ -190,12 +190,12 @@ def register(catalog):
         sql(
             "reviews",
             """SELECT sum(flag)::BIGINT AS anomaly_count, round(avg(flag), 6) AS anomaly_rate FROM
-            (SELECT CAST(z0 > (SELECT quantile_disc(z0, 0.92) FROM reviews) AS INT) AS flag FROM reviews)""",
+            (SELECT CAST(logit0 > (SELECT quantile_disc(logit0, 0.92) FROM reviews) AS INT) AS flag FROM reviews)""",
         ),
     )
     def _(spark, folder):
-        df = A.flag_share(P.reviews(spark, folder).select("review_id", "z0"), "z0", 0.08)
-        return A.anomaly_summary(df, ["z0"]).select("anomaly_count", F.round("anomaly_rate", 6).alias("anomaly_rate"))
+        df = A.flag_share(P.reviews(spark, folder).select("review_id", "logit0"), "logit0", 0.08)
+        return A.anomaly_summary(df, ["logit0"]).select("anomaly_count", F.round("anomaly_rate", 6).alias("anomaly_rate"))
 
     @add(
         "top_flagged_features",
@@ -205,14 +205,14 @@ def register(catalog):
             "SELECT feature, round(importance, 6) AS importance FROM ("
             + " UNION ALL ".join(
                 f"SELECT '{z}' AS feature, abs(avg({z})) AS importance FROM tested WHERE metadata_is_anomaly"
-                for z in [*P.Z, "stars", "enhanced_prob", "relevancy", "p_bad", "text_confidence"]
+                for z in [*P.LOGITS, "stars", "enhanced_prob", "relevancy", "p_bad", "text_confidence"]
             )
             + ") ORDER BY importance DESC, feature LIMIT 10",
         ),
     )
     def _(spark, folder):
         df = P.tested(spark, folder).withColumn("ml_anomaly", F.col("metadata_is_anomaly").cast("int"))
-        out = A.top_features(df, [*P.Z, "stars", "enhanced_prob", "relevancy", "p_bad", "text_confidence"])
+        out = A.top_features(df, [*P.LOGITS, "stars", "enhanced_prob", "relevancy", "p_bad", "text_confidence"])
         return out.withColumn("importance", F.round("importance", 6))
 
     @add(
@@ -220,11 +220,11 @@ def register(catalog):
         "A12",
         sql(
             "ruled",
-            "SELECT review_id, reviewer_id, score, round(p_bad, 6) AS quality_risk FROM (SELECT *, round(z0 + z1 + z2, 6) AS score FROM ruled) ORDER BY score DESC, review_id LIMIT 5",
+            "SELECT review_id, reviewer_id, score, round(p_bad, 6) AS quality_risk FROM (SELECT *, round(logit0 + logit1 + logit2, 6) AS score FROM ruled) ORDER BY score DESC, review_id LIMIT 5",
         ),
     )
     def _(spark, folder):
-        df = S.rule_scores(P.reviews(spark, folder)).withColumn("score", F.round(F.expr("z0 + z1 + z2"), 6))
+        df = S.rule_scores(P.reviews(spark, folder)).withColumn("score", F.round(F.expr("logit0 + logit1 + logit2"), 6))
         return A.top_anomalies(df, "score").select("review_id", "reviewer_id", "score", F.round("p_bad", 6).alias("quality_risk"))
 
     @add(
@@ -288,5 +288,5 @@ def register(catalog):
 
     @add("local_outlier_factor", "D22")
     def _(spark, folder):
-        df = P.reviews(spark, folder).select("review_id", "stars", *P.Z)
-        return N.local_outlier_factor(df, P.Z).select("review_id", F.round("lof", 6).alias("lof"))
+        df = P.reviews(spark, folder).select("review_id", "stars", *P.LOGITS)
+        return N.local_outlier_factor(df, P.LOGITS).select("review_id", F.round("lof", 6).alias("lof"))

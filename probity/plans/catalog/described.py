@@ -86,7 +86,7 @@ def register(catalog):
         c = C.shifted(F.col("p_bad"), F.col("bn") < 100, F.col("un") == 1)
         return df.select("review_id", F.round(c, 6).alias("calibrated"))
 
-    e = ", ".join(f"exp((z{i} - zmax) / 2) AS e{i}" for i in range(7))
+    e = ", ".join(f"exp((logit{i} - zmax) / 2) AS e{i}" for i in range(7))
     total = " + ".join(f"e{i}" for i in range(7))
 
     @add(
@@ -95,13 +95,13 @@ def register(catalog):
         sql(
             "reviews",
             f"""SELECT review_id, round((e2 + e3 + e4 + e5 + e6) / ({total}), 6) AS p_text FROM (SELECT review_id, {e} FROM
-            (SELECT *, greatest(z0,z1,z2,z3,z4,z5,z6) AS zmax FROM reviews))""",
+            (SELECT *, greatest(logit0,logit1,logit2,logit3,logit4,logit5,logit6) AS zmax FROM reviews))""",
         ),
     )
     def _(spark, folder):
         from probity.operators.scoring import logits_scores
 
-        df = logits_scores(P.reviews(spark, folder), F.array(*[F.col(z) for z in P.Z]), temperature=2.0)
+        df = logits_scores(P.reviews(spark, folder), F.array(*[F.col(z) for z in P.LOGITS]), temperature=2.0)
         return df.select("review_id", F.round("p_bad", 6).alias("p_text"))
 
     @add("platt_scaling", "D5")

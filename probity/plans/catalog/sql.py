@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from probity.constants import (
     AD_TERMS,
+    CATEGORY_TERMS,
     EXTREME_TERMS,
     INAPPROPRIATE_TERMS,
     NEGATIVE_TERMS,
+    OFF_TOPIC_TERMS,
     POSITIVE_TERMS,
     SPAM_TERMS,
     TEXT_CLASSES,
 )
 
-REVIEWS = """reviews AS (
+EVENTS = """event_reviews AS (
 SELECT
   e.event_id AS review_id,
   e.user_id AS reviewer_id,
@@ -23,7 +25,7 @@ SELECT
        ELSE CAST(1 + CAST(floor(e.value) AS BIGINT) % 5 AS DOUBLE) END AS stars,
   CASE WHEN e.event_id % 37 = 0 THEN 'n/a'
        ELSE CAST(1 + CAST(floor(e.value) AS BIGINT) % 5 AS STRING) END AS stars_raw,
-  CASE e.event_id % 20
+  CASE (e.event_id + e.event_id // dc.n) % 20
     WHEN 0 THEN d.text || ' buy now click here'
     WHEN 1 THEN d.text || ' best deal, lowest price'
     WHEN 2 THEN 'worst terrible awful visit'
@@ -57,20 +59,10 @@ SELECT
        WHEN l.toxic = 1 THEN 'inappropriate'
        WHEN l.quality = 0 THEN 'spam'
        WHEN floor(e.value) % 5 >= 2 THEN 'genuine_positive'
-       ELSE 'genuine_negative' END AS label,
-  CAST((e.event_id * 7 + 3) % 101 AS DOUBLE) / 20 AS z0,
-  CAST((e.event_id * 11 + 5) % 103 AS DOUBLE) / 20 AS z1,
-  CAST((e.event_id * 13 + 7) % 107 AS DOUBLE) / 20 AS z2,
-  CAST((e.event_id * 17 + 11) % 109 AS DOUBLE) / 20 AS z3,
-  CAST((e.event_id * 19 + 13) % 113 AS DOUBLE) / 20 AS z4,
-  CAST((e.event_id * 23 + 17) % 127 AS DOUBLE) / 20 AS z5,
-  CAST((e.event_id * 29 + 19) % 131 AS DOUBLE) / 20 AS z6,
-  CAST(e.event_id % 97 AS DOUBLE) / 97 AS enhanced_prob,
-  CAST(e.event_id % 89 AS DOUBLE) / 89 AS relevancy,
-  e.event_id % 3 <> 0 AS is_relevant
+       ELSE 'genuine_negative' END AS label
 FROM events e
 CROSS JOIN (SELECT count(*) AS n FROM documents) dc
-JOIN documents d ON d.doc_id = e.event_id % dc.n
+LEFT JOIN documents d ON d.doc_id = e.event_id % dc.n
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 )"""
 
@@ -79,6 +71,30 @@ def hits(column: str, terms) -> str:
     return "(" + " + ".join(f"CAST(contains({column}, '{t}') AS INT)" for t in terms) + ")"
 
 
+_CATEGORY_HITS = " ".join(f"WHEN '{c}' THEN {hits('low', terms)}" for c, terms in CATEGORY_TERMS.items())
+
+# Logits, metadata probability and relevancy, each from the review's own text, stars and time.
+REVIEWS = f"""reviews AS (
+SELECT * EXCLUDE (low, n_words, h_pos, h_neg, h_spam, h_ad, h_ext, h_bad, h_cat),
+  1.0::DOUBLE + 0.9::DOUBLE * h_pos - 0.3::DOUBLE * h_neg AS logit0,
+  0.7::DOUBLE + 0.9::DOUBLE * h_neg - 0.3::DOUBLE * h_pos AS logit1,
+  1.3::DOUBLE * h_spam + 1.6::DOUBLE * CAST(contains(low, 'http') AS INT) AS logit2,
+  0.05::DOUBLE + 1.3::DOUBLE * h_ad AS logit3,
+  2.0::DOUBLE - 3.0::DOUBLE * (n_words / (n_words + 20.0::DOUBLE)) AS logit4,
+  0.1::DOUBLE + 1.1::DOUBLE * h_ext AS logit5,
+  0.15::DOUBLE + 1.7::DOUBLE * h_bad AS logit6,
+  coalesce(0.6::DOUBLE * (CASE WHEN stars <= 1 OR stars >= 5 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END)
+    + 0.2::DOUBLE * CAST(isodow(published_at) >= 6 AS INT) + 0.2::DOUBLE * (hour(published_at) / 23.0::DOUBLE), 0.5::DOUBLE) AS enhanced_prob,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, h_cat)) AS relevancy, greatest(0.0::DOUBLE, least(1.0::DOUBLE, h_cat)) >= 0.4::DOUBLE AS is_relevant
+FROM (SELECT *, len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS n_words,
+    {hits('low', POSITIVE_TERMS)} AS h_pos, {hits('low', NEGATIVE_TERMS)} AS h_neg, {hits('low', SPAM_TERMS)} AS h_spam, {hits('low', AD_TERMS)} AS h_ad,
+    {hits('low', EXTREME_TERMS)} AS h_ext, {hits('low', INAPPROPRIATE_TERMS)} AS h_bad,
+    0.4::DOUBLE + 0.15::DOUBLE * (CASE category {_CATEGORY_HITS} ELSE 0 END)
+      + 0.2::DOUBLE * CAST(coalesce(contains(low, lower(location)), false) AS INT) - 0.3::DOUBLE * {hits('low', OFF_TOPIC_TERMS)} AS h_cat
+  FROM (SELECT *, lower(coalesce(text, '')) AS low FROM event_reviews))
+)"""
+
+
 BAD = "('spam','advertisement','irrelevant','fake_rant','inappropriate')"
 GENUINE = "('genuine_positive','genuine_negative')"
 
@@ -135,17 +151,17 @@ FROM (SELECT *,
   FROM ruled)
 )"""
 
-_E = ", ".join(f"exp(z{i} - zmax) AS e{i}" for i in range(7))
+_E = ", ".join(f"exp(logit{i} - zmax) AS e{i}" for i in range(7))
 _S = " + ".join(f"e{i}" for i in range(7))
 _P = ", ".join(f"e{i} / es AS p{i}" for i in range(7))
-_ARG = " ".join(f"WHEN z{i} = zmax THEN '{c}'" for i, c in enumerate(TEXT_CLASSES))
+_ARG = " ".join(f"WHEN logit{i} = zmax THEN '{c}'" for i, c in enumerate(TEXT_CLASSES))
 
 PROBS = f"""probs AS (
 SELECT *, p2 + p3 + p4 + p5 + p6 AS p_bad, greatest(p0,p1,p2,p3,p4,p5,p6) AS confidence,
   CASE {_ARG} END AS prediction,
   p0 + p1 AS d_genuine, p5 AS d_suspicious, p4 AS d_low, p2 + p3 + p6 AS d_spam
 FROM (SELECT *, {_P} FROM (SELECT *, {_S} AS es FROM (SELECT *, {_E}
-  FROM (SELECT *, greatest(z0,z1,z2,z3,z4,z5,z6) AS zmax FROM reviews))))
+  FROM (SELECT *, greatest(logit0,logit1,logit2,logit3,logit4,logit5,logit6) AS zmax FROM reviews))))
 )"""
 
 # Labelled rows with both predictors and a rounded score.
@@ -165,11 +181,11 @@ FROM tested WHERE text IS NOT NULL AND label IS NOT NULL
 )"""
 
 DEPENDS = {
-    "reviews": [], "hits": ["reviews"], "ruled": ["hits"], "tested": ["ruled"], "served": ["ruled"],
+    "event_reviews": [], "reviews": ["event_reviews"], "hits": ["reviews"], "ruled": ["hits"], "tested": ["ruled"], "served": ["ruled"],
     "probs": ["reviews"], "judged": ["probs"], "rule_judged": ["tested"],
 }
 TEXTS = {
-    "reviews": REVIEWS, "hits": HITS, "ruled": RULED, "tested": TESTED, "served": SERVED,
+    "event_reviews": EVENTS, "reviews": REVIEWS, "hits": HITS, "ruled": RULED, "tested": TESTED, "served": SERVED,
     "probs": PROBS, "judged": JUDGED, "rule_judged": RULE_JUDGED,
 }
 

@@ -115,11 +115,11 @@ def register(catalog):
         sql(
             "probs",
             f"""SELECT review_id, CASE WHEN odd AND prediction = 'inappropriate' THEN 'spam' ELSE prediction END AS prediction,
-            round(confidence, 6) AS confidence, {zs_wide} FROM (SELECT *, review_id % 3 = 0 AS odd FROM probs WHERE z2 <> z6)""",
+            round(confidence, 6) AS confidence, {zs_wide} FROM (SELECT *, review_id % 3 = 0 AS odd FROM probs)""",
         ),
     )
     def _(spark, folder):
-        df = P.with_logits(spark, folder).filter("z2 <> z6")
+        df = P.with_logits(spark, folder)
         odd = F.col("review_id") % 3 == 0
         names = F.array(
             *[F.lit(n) for n in ZERO_SHOT_NAMES[:6]],

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from probity.functions import content as C
 from probity.functions import temporal as D
-from probity.functions.text import is_bad
+from probity.constants import TEXT_CLASSES
+from probity.functions.risk import rating_rule
+from probity.functions.text import is_bad, relevancy_parts, rule_signals, word_count
 from probity.operators import profiles as P
 from probity.operators import scoring as S
 from probity.operators import windows as W
 from probity.session import cut_lineage
 
-Z = [f"z{i}" for i in range(7)]
+SIGNALS = ["spam_hits", "ad_hits", "extreme_hits", "inappropriate_hits", "positive_hits", "negative_hits", "has_link", "rule_length"]
+LOGITS = [f"logit{i}" for i in range(len(TEXT_CLASSES))]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,12 +44,13 @@ def as_reviews(events: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFra
         return F.concat(text, F.lit(s))
 
     place = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    kind = e % 20
-    steps = [(7, 3, 101), (11, 5, 103), (13, 7, 107), (17, 11, 109), (19, 13, 113), (23, 17, 127), (29, 19, 131)]
+    # A document meets another kind with each round of the events over the documents.
+    kind = (e + F.floor(e / n_docs).cast("bigint")) % 20
     # Both sides grow with the data, and the joined text is what later steps work on: a shuffle join by
     # document spreads it over all tasks, a broadcast would leave it in the few tasks of one scan.
-    joined = events.join(docs.hint("merge"), F.col("_doc") == F.col("doc_id"))
-    return joined.select(
+    # An event without a document is a review without text.
+    joined = events.join(docs.hint("merge"), F.col("_doc") == F.col("doc_id"), "left")
+    rows = joined.select(
         e.alias("review_id"),
         F.col("user_id").alias("reviewer_id"),
         place.alias("place_id"),
@@ -92,11 +96,33 @@ def as_reviews(events: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFra
         .when(F.floor("value") % 5 >= 2, "genuine_positive")
         .otherwise("genuine_negative")
         .alias("label"),
-        *[((e * a + b) % m / F.lit(20.0)).alias(z) for z, (a, b, m) in zip(Z, steps)],
-        ((e % 97) / F.lit(97.0)).alias("enhanced_prob"),
-        ((e % 89) / F.lit(89.0)).alias("relevancy"),
-        (e % 3 != 0).alias("is_relevant"),
     )
+    return model_inputs(rows)
+
+
+def model_inputs(rows: DataFrame) -> DataFrame:
+    """What the stages in front of fusion say about each review, from its own text, stars and time.
+
+    Logits grow with the term hits of their class; the metadata probability adds the rating rule, the weekend and the hour;
+    relevancy is the vocabulary score with the place's name to be mentioned.
+    """
+    rows = rule_signals(rows).withColumn("_words", word_count(F.coalesce("text", F.lit(""))))
+    n = F.col("_words")
+    logits = [
+        1.0 + 0.9 * F.col("positive_hits") - 0.3 * F.col("negative_hits"),
+        0.7 + 0.9 * F.col("negative_hits") - 0.3 * F.col("positive_hits"),
+        1.3 * F.col("spam_hits") + 1.6 * F.col("has_link").cast("int"),
+        0.05 + 1.3 * F.col("ad_hits"),
+        2.0 - 3.0 * (n / (n + 20.0)),
+        0.1 + 1.1 * F.col("extreme_hits"),
+        0.15 + 1.7 * F.col("inappropriate_hits"),
+    ]
+    rows = rows.withColumns(dict(zip(LOGITS, logits)))
+    ts = F.col("published_at")
+    metadata = 0.6 * rating_rule(F.col("stars"))["metadata_anomaly_score"] + 0.2 * D.is_weekend(ts) + 0.2 * (D.hour_of_day(ts) / 23.0)
+    rows = relevancy_parts(rows.withColumn("enhanced_prob", F.coalesce(metadata, F.lit(0.5))), name="location")
+    rows = rows.withColumnsRenamed({"relevancy_score": "relevancy", "relevancy_flag": "is_relevant"})
+    return rows.drop(*SIGNALS, "_words", "category_hits", "name_mention", "off_topic_hits")
 
 
 def tested(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +134,7 @@ def served(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_logits(spark: SparkSession, folder: str) -> DataFrame:
-    return S.logits_scores(reviews(spark, folder), F.array(*[F.col(z) for z in Z]))
+    return S.logits_scores(reviews(spark, folder), F.array(*[F.col(z) for z in LOGITS]))
 
 
 def text_part(df: DataFrame) -> DataFrame:
