@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probity.operators.ordered import collapse, running_sums
 from probity import constants as K
 
 EPS = 1e-6
@@ -115,8 +116,8 @@ def top_per_feature(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def model_features(df: DataFrame, others: int = 30, skip=("review_id", "reviewer_id", "place_id")) -> list[str]:
-    """Numeric columns for the model: text-stage ones first, then at most ``others`` more."""
+def model_features(df: DataFrame, others: int | None = None, skip=("review_id", "reviewer_id", "place_id")) -> list[str]:
+    """Numeric columns for the model: text-stage ones first, then the others (all, unless a number is given)."""
     numeric = [
         f.name
         for f in df.schema.fields
@@ -178,7 +179,11 @@ def top_anomalies(df: DataFrame, score: str = "ml_anomaly_score", k: int = 5) ->
 
 def flag_share(df: DataFrame, score: str, contamination: float = 0.08, flag: str = "ml_anomaly") -> DataFrame:
     """Flags the ``contamination`` share with the highest score and centres the score on the cut."""
-    cut = df.agg(F.percentile_approx(score, 1 - contamination, 100_000).alias("c")).scalar()
+    # The exact quantile: running counts over the distinct scores, wherever the score lies.
+    flat = collapse(df.filter(F.col(score).isNotNull()), score, {"n": F.count(F.lit(1))})
+    wanted = F.greatest(F.ceil((1 - contamination) * flat.agg(F.sum("n").alias("t")).scalar()), F.lit(1))
+    steps = running_sums(flat, score, ["n"]).withColumn("_wanted", wanted)
+    cut = steps.filter("cum_n >= _wanted").agg(F.min(score).alias("c")).scalar()
     out = df.withColumn("_cut", cut)
     return out.withColumns(
         {

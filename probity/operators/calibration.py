@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,17 +41,12 @@ def quantile_map(df: DataFrame, score: str, row_key: str = "review_id", out: str
     return df.join(below, score, "left")
 
 
-def isotonic(df: DataFrame, score: str, y: str, out: str = "p_isotonic", grid: int = 10_000) -> DataFrame:
-    """Monotone calibration. The fit sees one weighted row per step of a fixed score grid."""
-    step = F.round(F.col(score) * grid) / grid
-    binned = df.groupBy(step.alias("_s")).agg(
+def isotonic(df: DataFrame, score: str, y: str, out: str = "p_isotonic") -> DataFrame:
+    """Monotone calibration. The fit sees one weighted row per distinct score."""
+    binned = df.groupBy(F.col(score).alias("_s")).agg(
         F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
     )
     fit = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w")
     model = fit.fit(VectorAssembler(inputCols=["_s"], outputCol="_x").transform(binned))
     ready = VectorAssembler(inputCols=[score], outputCol="_x").transform(df)
     return model.setFeaturesCol("_x").setPredictionCol(out).transform(ready).drop("_x")
-
-
-def first_probability(column: str = "probability") -> Column:
-    return F.get(vector_to_array(column), 1)

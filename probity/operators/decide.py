@@ -15,8 +15,8 @@ def moderation_flags(
     """Review, reviewer and business flags from text risk, anomaly flag and mean risks per key."""
     slim = df.select("review_id", "reviewer_id", "place_id", "text_confidence", "p_bad", "metadata_is_anomaly")
     slim = cut_lineage(slim)  # read by both profiles and by the rows themselves
-    users = slim.groupBy("reviewer_id").agg(F.round(F.avg("p_bad"), 9).alias("user_avg_risk"))
-    places = slim.groupBy("place_id").agg(F.round(F.avg("p_bad"), 9).alias("business_avg_risk"))
+    users = slim.groupBy("reviewer_id").agg(F.avg("p_bad").alias("user_avg_risk"))
+    places = slim.groupBy("place_id").agg(F.avg("p_bad").alias("business_avg_risk"))
     out = enrich(enrich(slim, users, "reviewer_id"), places, "place_id")
     return out.withColumns(
         {

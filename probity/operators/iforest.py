@@ -78,16 +78,16 @@ class IsolationForest:
     seed: int = 42
     row_key: str = "review_id"
 
+    def _place(self, tree: Column) -> Column:
+        return _unit(F.col(self.row_key), tree, F.lit(self.seed + 1))
+
     def fit(self, df: DataFrame) -> "ForestModel":
         data = df.select(self.row_key, *[clean(F.col(f)).alias(f) for f in self.features])
         n = data.count()
-        pool_size = self.trees * self.sample * 2
-        if n > pool_size:
-            data = data.filter(_unit(self.row_key, F.lit(self.seed)) < pool_size / n)
-            n = pool_size
         draw = min(1.0, 1.5 * self.sample / max(n, 1))
-        each = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-        each = each.withColumn("_u", _unit(self.row_key, "tree", F.lit(self.seed + 1))).filter(F.col("_u") < draw)
+        # Each tree draws from all rows; a row is only repeated for the trees that drew it.
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: self._place(t) < draw)
+        each = data.withColumn("tree", F.explode(drawn)).withColumn("_u", self._place(F.col("tree")))
         # About 1.5 * sample rows reach a tree, whatever the size of the table.
         w = Window.partitionBy("tree").orderBy("_u", self.row_key)
         each = each.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= self.sample)
@@ -140,10 +140,10 @@ class ForestModel:
         shared = self.spark.sparkContext.broadcast(trees)
 
         @F.pandas_udf("double")
-        def depth_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def depth_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             forest = shared.value
             for series in batches:
-                x = np.stack(series.to_numpy()) if len(series) else np.zeros((0, 1))
+                x = np.column_stack([s.to_numpy(float) for s in series])
                 total = np.zeros(len(x))
                 rows = np.arange(len(x))
                 for feature, cut, left, right, path in forest:
@@ -158,8 +158,7 @@ class ForestModel:
                     total += path[at]
                 yield pd.Series(np.power(2.0, -total / len(forest) / max(expected, 1e-9)))
 
-        vector = F.array(*[clean(F.col(f)) for f in self.features])
-        return df.withColumn(out, depth_score(vector))
+        return df.withColumn(out, depth_score(*[clean(F.col(f)) for f in self.features]))
 
     def detect(self, df: DataFrame, out: str = "ml_anomaly_score", flag: str = "ml_anomaly") -> DataFrame:
         """Score and the contamination cut. ``<out>_centred`` is the score less the cut: above 0 is odd."""

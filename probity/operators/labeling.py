@@ -30,10 +30,11 @@ def in_batches(df: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id",
     ).drop("_rn")
 
 
-def prompts(batches: DataFrame, text: str = "text") -> DataFrame:
-    """One prompt per batch. A batch holds at most its eight reviews, each shown up to 1000 characters."""
+def prompts(batches: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    """One prompt per batch. A batch holds at most its eight reviews, each whole unless a ``limit`` of characters is given."""
+    body = F.col(text) if limit is None else cut(F.col(text), limit)
     shown = F.concat(
-        F.lit("\n"), (F.col("pos") + 1).cast("string"), F.lit('. "'), cut(F.col(text), K.PROMPT_TEXT_LIMIT), F.lit('"\n')
+        F.lit("\n"), (F.col("pos") + 1).cast("string"), F.lit('. "'), body, F.lit('"\n')
     )
     lines = batches.select("batch_id", "pos", shown.alias("line"))
     grouped = lines.groupBy("batch_id").agg(

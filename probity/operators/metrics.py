@@ -197,11 +197,11 @@ def curve_points(df: DataFrame, score: str = "score", y: str = "y") -> DataFrame
     )
 
 
-def class_average_precision(df: DataFrame, truth: str, probs: str, labels=TEXT_CLASSES, places: int = 4) -> DataFrame:
+def class_average_precision(df: DataFrame, truth: str, probs: str, labels=TEXT_CLASSES) -> DataFrame:
     """One-against-rest average precision of every class that occurs, with its support."""
     each = df.select(F.col(truth).alias("truth"), F.posexplode(probs).alias("i", "score"))
     each = each.select(
-        F.element_at(label_array(labels), F.col("i") + 1).alias("label"), F.round("score", places).alias("score"), "truth"
+        F.element_at(label_array(labels), F.col("i") + 1).alias("label"), "score", "truth"
     ).withColumn("y", (F.col("truth") == F.col("label")).cast("int"))
     steps = score_steps(each, "score", "y", by=["label"])
     return (

@@ -70,37 +70,18 @@ def training_profile(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return prof.na.fill(0.0)
 
 
-def enrich(
-    df: DataFrame,
-    profile: DataFrame,
-    key: str,
-    heavy: list | None = None,
-    salts: int = 64,
-    row_key: str = "review_id",
-) -> DataFrame:
-    """Left join of a profile (one row per key).
-
-    Spark picks broadcast or sort-merge by size and splits skewed partitions at run time. Given the
-    heavy keys, their rows are spread over ``salts`` partitions up front and only their profile rows
-    are repeated.
-    """
-    if not heavy:
-        return df.join(profile, key, "left")
-    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    spread = F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int")
-    left = df.withColumn("_salt", F.when(hot, spread).otherwise(F.lit(0)))
-    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = profile.withColumn("_salt", F.explode(copies))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+def enrich(df: DataFrame, profile: DataFrame, key: str) -> DataFrame:
+    """Left join of a profile (one row per key). Spark picks broadcast or sort-merge by size and splits skewed partitions at run time."""
+    return df.join(profile, key, "left")
 
 
 def deviation(value: Column, centre: Column) -> Column:
     return F.abs(value - centre)
 
 
-def with_profiles(df: DataFrame, with_risk: bool = True, heavy_reviewers: list | None = None) -> DataFrame:
+def with_profiles(df: DataFrame, with_risk: bool = True) -> DataFrame:
     """Rows with both profiles and the deviations from them."""
-    out = enrich(df, reviewer_profile(df, with_risk=with_risk), "reviewer_id", heavy_reviewers)
+    out = enrich(df, reviewer_profile(df, with_risk=with_risk), "reviewer_id")
     out = enrich(out, business_profile(df, with_risk=with_risk), "place_id")
     added = {
         "user_rating_deviation": deviation(F.col("stars"), F.col("user_avg_rating")),

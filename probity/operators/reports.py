@@ -251,13 +251,6 @@ def leader_board(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_a", better).withColumn("rank", above + 1).drop("_a")
 
 
-def guard_rows(df: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """Refuses a batch above the limit; looks at no more than ``max_rows + 1`` rows."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows in one batch")
-    return df
-
-
 def anomaly_report(df: DataFrame, categories: dict, features: list[str]) -> DataFrame:
     """The full anomaly report as one JSON document built from bounded summaries."""
     from probity.operators import anomaly as A

@@ -35,7 +35,7 @@ def budgeted(
         {
             "band": band(F.col("p_final"), low, high),
             "gate": gate.cast("int"),
-            "priority": F.round(F.greatest("p_final", "p_meta", "burst"), 6),
+            "priority": F.greatest("p_final", "p_meta", "burst"),
         }
     )
     out = cut_lineage(out)  # counted, ranked and joined back below

@@ -83,26 +83,33 @@ def zero_shot_scores(df: DataFrame, categories: dict, labels: str = "labels", sc
 
 
 FALLBACKS = {
-    # scorer: (prediction, confidence, p_bad, uniform probability of every class)
-    "zero_shot": ("spam", 0.0, 1.0, None),
-    "rules": ("genuine_positive", 0.5, 0.5, 1.0 / 7),
-    "tester": ("error", 0.0, 0.5, None),
+    # scorer: (prediction, confidence, p_bad, probability of every class, model_type)
+    "zero_shot": ("spam", 0.0, 1.0, 0.0, "zero_shot_fallback"),
+    "rules": ("genuine_positive", 0.5, 0.5, 1.0 / 7, "basic_fallback"),
+    "tester": ("error", 0.0, 0.5, 0.0, "error"),
 }
 
 
 def with_fallback(df: DataFrame, scorer: str) -> DataFrame:
-    """Rows whose scorer gave nothing get the scorer's default row and ``is_error`` true."""
-    name, conf, p_bad, _ = FALLBACKS[scorer]
+    """Rows whose scorer gave nothing get the scorer's default row, its probabilities and model type, and ``is_error`` true."""
+    name, conf, p_bad, each, kind = FALLBACKS[scorer]
     failed = F.col("text_prediction").isNull()
     return df.withColumn("is_error", failed).withColumns(
         {
             "text_prediction": F.coalesce("text_prediction", F.lit(name)),
             "text_confidence": F.when(F.col("is_error"), conf).otherwise(F.col("text_confidence")),
             "p_bad": F.when(F.col("is_error"), p_bad).otherwise(F.col("p_bad")),
+            "class_probabilities": F.when(F.col("is_error"), _uniform(each)).otherwise(F.col("class_probabilities")),
+            "model_type": F.when(F.col("is_error"), kind).otherwise(F.col("model_type")),
         }
     )
 
 
+def _uniform(p: float) -> Column:
+    """The same probability for every class, as a map."""
+    return F.map_from_arrays(V.label_array(), F.array_repeat(F.lit(p), len(TEXT_CLASSES)))
+
+
 def choose_scorer(fine_tuned: Callable | None = None, zero_shot: Callable | None = None):
     """First available of fine-tuned model, zero-shot model, rules. Chosen when the plan is built."""
     if fine_tuned is not None:

@@ -1,7 +1,7 @@
 """Windows per reviewer (or any key) that hold when one key owns a large share of the table.
 
-A key with few rows gets the plain window. A heavy key is cut along time: each (key, time bucket)
-is its own window and the carry between buckets is a small table.
+Every key is cut along time: each (key, time bucket) is its own window and the carry between buckets is a small
+table. One plan serves all keys, so a row's result does not change when its key or the table grows.
 """
 
 from __future__ import annotations
@@ -12,68 +12,29 @@ from pyspark.sql import functions as F
 from probity.functions.temporal import DAY_MICROS, micros, whole_days
 from probity.operators.ordered import tie_number, with_buckets
 
-HEAVY_SHARE = 4096
-HEAVY_ROWS = 1_000_000
-
-
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, share: int = HEAVY_SHARE) -> list:
-    """Keys with at least ``min_rows`` rows and 1/``share`` of the table: never more than ``share`` keys."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    floor_rows = F.greatest(F.lit(min_rows), total / share)
-    found = counts.filter(F.col(key).isNotNull() & (F.col("n") >= floor_rows)).select(key).collect()
-    return [r[0] for r in found]
-
-
-def own_rows(key: str, tie: str) -> list[Column]:
-    """Window partition of a key. A row without a key is a partition of its own: such rows have no
-    history, and together they might be the largest group of all."""
-    return [F.col(key), F.when(F.col(key).isNull(), F.col(tie))]
-
-
-def split_by_weight(df: DataFrame, key: str, heavy: list, light_plan, heavy_plan) -> DataFrame:
-    if not heavy:
-        return light_plan(df)
-    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    return light_plan(df.filter(~hot)).unionByName(heavy_plan(df.filter(hot)))
-
-
 def days_since_previous(
     df: DataFrame,
     key: str = "reviewer_id",
     ts: str = "published_at",
     tie: str = "review_id",
     out: str = "days_since_last_review",
-    heavy: list | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Whole days since the key's row before in time; NULL on the first row."""
-    if heavy is None:
-        heavy = heavy_keys(df, key)
-    order = [F.col(ts).asc(), tie_number(df, tie).asc(), F.col(tie).asc()]
+    """Whole days since the key's row before in time; NULL on the first row, and on rows without a key, which have no history."""
     here = micros(F.col(ts))
-
-    def light(part: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*own_rows(key, tie)).orderBy(*order)
-        return part.withColumn(out, whole_days(here - F.lag(here).over(w)))
-
-    def hot(part: DataFrame) -> DataFrame:
-        cut = with_buckets(part, here, tie, buckets)
-        w = Window.partitionBy(key, "_bucket").orderBy(*order)
-        ends = cut.groupBy(key, "_bucket").agg(F.max(here).alias("_last"))
-        step = Window.partitionBy(key).orderBy("_bucket")  # one row per bucket of the key
-        ends = ends.select(key, "_bucket", F.lag("_last").over(step).alias("_before"))
-        return (
-            cut.withColumns({"_prev": F.lag(here).over(w), "_pos": F.row_number().over(w)})
-            .join(ends, [key, "_bucket"])
-            .withColumn(
-                out,
-                whole_days(here - F.when(F.col("_pos") == 1, F.col("_before")).otherwise(F.col("_prev"))),
-            )
-            .drop("_prev", "_pos", "_before", "_bucket")
-        )
-
-    return split_by_weight(df, key, heavy, light, hot)
+    lone = df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast("long"))
+    cut = with_buckets(df.filter(F.col(key).isNotNull()), here, tie, buckets)
+    w = Window.partitionBy(key, "_bucket").orderBy(F.col(ts).asc(), tie_number(df, tie).asc(), F.col(tie).asc())
+    ends = cut.groupBy(key, "_bucket").agg(F.max(here).alias("_last"))
+    step = Window.partitionBy(key).orderBy("_bucket")  # one row per bucket of the key
+    ends = ends.select(key, "_bucket", F.lag("_last").over(step).alias("_before"))
+    found = (
+        cut.withColumns({"_prev": F.lag(here).over(w), "_pos": F.row_number().over(w)})
+        .join(ends, [key, "_bucket"])
+        .withColumn(out, whole_days(here - F.when(F.col("_pos") == 1, F.col("_before")).otherwise(F.col("_prev"))))
+        .drop("_prev", "_pos", "_before", "_bucket")
+    )
+    return found.unionByName(lone)
 
 
 def rolling_names(days: int) -> list[str]:
@@ -91,94 +52,73 @@ def rolling_stars(
     ts: str = "published_at",
     stars: str = "stars",
     days=(7, 30),
-    heavy: list | None = None,
     buckets: int | None = None,
-    tie: str = "review_id",
 ) -> DataFrame:
     """Past-only rolling statistics in [t - w, t): mean, count, sample deviation and review count.
 
-    All spans share one sort of the light keys. Rows without a time get count 0 and NULL statistics.
+    Instants are pre-aggregated, and the sum over a span is the difference of two running sums, so a dense key costs no
+    more per row than a sparse one. Rows without a time or a key get count 0 and NULL statistics.
     """
-    if heavy is None:
-        heavy = heavy_keys(df, key)
-    here = micros(F.col(ts))
-
-    def light(part: DataFrame) -> DataFrame:
-        part = part.withColumn("_us", here)
-        added: dict[str, Column] = {}
-        for d in days:
-            w = Window.partitionBy(*own_rows(key, tie)).orderBy("_us").rangeBetween(-d * DAY_MICROS, -1)
-            mean, count, std, reviews = rolling_names(d)
-            timed = F.col("_us").isNotNull()
-            added[mean] = F.when(timed, F.avg(stars).over(w))
-            added[count] = F.when(timed, F.count(stars).over(w)).otherwise(F.lit(0))
-            added[std] = F.when(timed, F.stddev_samp(stars).over(w))
-            added[reviews] = F.when(timed, F.count(F.lit(1)).over(w)).otherwise(F.lit(0))
-        return part.withColumns(added).drop("_us")
-
-    def hot(part: DataFrame) -> DataFrame:
-        part = part.withColumn("_us", here)
-        s = F.col(stars)
-        sums = {
-            "c": F.count(F.lit(1)),
-            "n": F.count(s),
-            "s1": F.coalesce(F.sum(s), F.lit(0.0)),
-            "s2": F.coalesce(F.sum(s * s), F.lit(0.0)),
-        }
-        moments = part.filter(F.col("_us").isNotNull()).groupBy(key, "_us").agg(
-            *[c.alias(n) for n, c in sums.items()]
+    part = df.withColumn("_us", micros(F.col(ts)))
+    s = F.col(stars)
+    sums = {
+        "c": F.count(F.lit(1)),
+        "n": F.count(s),
+        "s1": F.coalesce(F.sum(s), F.lit(0.0)),
+        "s2": F.coalesce(F.sum(s * s), F.lit(0.0)),
+    }
+    moments = part.filter(F.col("_us").isNotNull() & F.col(key).isNotNull()).groupBy(key, "_us").agg(
+        *[c.alias(n) for n, c in sums.items()]
+    )
+    # Each instant asks for the running sums at its own time and at the start of every span; the
+    # difference of two running sums is the sum over the span.
+    own = F.struct(F.col("_us").alias("pos"), F.lit(0).alias("span"), *[F.col(n) for n in sums])
+    asks = [
+        F.struct(
+            (F.col("_us") - d * DAY_MICROS).alias("pos"),
+            F.lit(d).alias("span"),
+            *[F.lit(0).cast("long" if n in ("c", "n") else "double").alias(n) for n in sums],
         )
-        # Each instant asks for the running sums at its own time and at the start of every span; the
-        # difference of two running sums is the sum over the span.
-        own = F.struct(F.col("_us").alias("pos"), F.lit(0).alias("span"), *[F.col(n) for n in sums])
-        asks = [
-            F.struct(
-                (F.col("_us") - d * DAY_MICROS).alias("pos"),
-                F.lit(d).alias("span"),
-                *[F.lit(0).cast("long" if n in ("c", "n") else "double").alias(n) for n in sums],
-            )
-            for d in days
+        for d in days
+    ]
+    points = moments.select(key, "_us", F.explode(F.array(own, *asks)).alias("p")).select(
+        key, "_us", "p.*"
+    )
+    cut = with_buckets(points, F.col("pos"), None, buckets)
+    totals = cut.groupBy(key, "_bucket").agg(*[F.sum(n).alias(n) for n in sums])
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
+        key,
+        "_bucket",
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
+    )
+    below = (
+        Window.partitionBy(key, "_bucket")
+        .orderBy("pos")
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    running = cut.withColumns(
+        {f"_r_{n}": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in sums}
+    ).join(carry, [key, "_bucket"])
+    spans = [0, *days]
+    at = running.groupBy(key, "_us").agg(
+        *[
+            F.max(F.when(F.col("span") == d, F.col(f"_r_{n}") + F.col(f"_c_{n}"))).alias(f"_{n}_{d}")
+            for d in spans
+            for n in sums
         ]
-        points = moments.select(key, "_us", F.explode(F.array(own, *asks)).alias("p")).select(
-            key, "_us", "p.*"
-        )
-        cut = with_buckets(points, F.col("pos"), None, buckets)
-        totals = cut.groupBy(key, "_bucket").agg(*[F.sum(n).alias(n) for n in sums])
-        earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(
-            key,
-            "_bucket",
-            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
-        )
-        below = (
-            Window.partitionBy(key, "_bucket")
-            .orderBy("pos")
-            .rangeBetween(Window.unboundedPreceding, -1)
-        )
-        running = cut.withColumns(
-            {f"_r_{n}": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in sums}
-        ).join(carry, [key, "_bucket"])
-        spans = [0, *days]
-        at = running.groupBy(key, "_us").agg(
-            *[
-                F.max(F.when(F.col("span") == d, F.col(f"_r_{n}") + F.col(f"_c_{n}"))).alias(f"_{n}_{d}")
-                for d in spans
-                for n in sums
-            ]
-        )
-        stats: list[Column] = []
-        for d in days:
-            c, n, s1, s2 = (F.col(f"_{x}_0") - F.col(f"_{x}_{d}") for x in ("c", "n", "s1", "s2"))
-            mean, count, std, reviews = rolling_names(d)
-            spread = F.greatest(s2 - s1 * s1 / n, F.lit(0.0))
-            stats += [
-                F.when(n > 0, s1 / n).alias(mean),
-                n.alias(count),
-                F.when(n > 1, F.sqrt(spread / (n - 1))).alias(std),
-                c.alias(reviews),
-            ]
-        at = at.select(key, "_us", *stats)
-        zero = [name for d in days for name in (rolling_names(d)[1], rolling_names(d)[3])]
-        return part.join(at, [key, "_us"], "left").drop("_us").na.fill(0, zero)
-
-    return split_by_weight(df, key, heavy, light, hot)
+    )
+    stats: list[Column] = []
+    for d in days:
+        c, n, s1, s2 = (F.col(f"_{x}_0") - F.col(f"_{x}_{d}") for x in ("c", "n", "s1", "s2"))
+        mean, count, std, reviews = rolling_names(d)
+        spread = F.greatest(s2 - s1 * s1 / n, F.lit(0.0))
+        stats += [
+            F.when(n > 0, s1 / n).alias(mean),
+            n.alias(count),
+            F.when(n > 1, F.sqrt(spread / (n - 1))).alias(std),
+            c.alias(reviews),
+        ]
+    at = at.select(key, "_us", *stats)
+    zero = [name for d in days for name in (rolling_names(d)[1], rolling_names(d)[3])]
+    return part.join(at, [key, "_us"], "left").drop("_us").na.fill(0, zero)

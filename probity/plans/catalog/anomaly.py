@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from probity.functions import risk as R
 from probity.operators import anomaly as A
 from probity.operators import iforest as I
-from probity.operators import neighbours as N
 from probity.operators import scoring as S
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
@@ -285,8 +284,3 @@ def register(catalog):
     def _(spark, folder):
         out = A.text_summary(S.rule_scores(P.reviews(spark, folder)))
         return out.withColumns({c: F.round(c, 6) for c in ("avg_confidence", "avg_quality_risk")})
-
-    @add("local_outlier_factor", "D22")
-    def _(spark, folder):
-        df = P.reviews(spark, folder).select("review_id", "stars", *P.LOGITS)
-        return N.local_outlier_factor(df, P.LOGITS).select("review_id", F.round("lof", 6).alias("lof"))

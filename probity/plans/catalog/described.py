@@ -37,7 +37,7 @@ def routed_sql(gate: str) -> str:
       WHEN band = 'grey' THEN 'keep_unrouted' ELSE band END AS action FROM
     (SELECT *, row_number() OVER (PARTITION BY gate = 1 OR band = 'grey' ORDER BY gate * 2 + priority DESC, review_id) AS place, floor(count(*) OVER () * 0.05) AS k FROM
     (SELECT *, CASE WHEN p_final <= 0.3 THEN 'auto_keep' WHEN p_final >= 0.9 THEN 'auto_remove' ELSE 'grey' END AS band, CAST({gate} AS INT) AS gate,
-      round(greatest(p_final, p_meta, burst), 6) AS priority FROM {ROUTED_SRC})))"""
+      greatest(p_final, p_meta, burst) AS priority FROM {ROUTED_SRC})))"""
 
 
 BURST = """days AS (SELECT place_id, CAST(published_at AS DATE) AS day, count(*) AS n FROM reviews GROUP BY 1, 2),

@@ -63,7 +63,7 @@ RANKING = """rank AS (SELECT sum(neg * (bp + pos / 2) / (p * n)) AS roc_auc, sum
 
 CLASS_AP = (
     "each AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS label, round(p{i}, 4) AS score, CAST(truth = '{c}' AS INT) AS y FROM judged" for i, c in enumerate(TEXT_CLASSES))
+    + " UNION ALL ".join(f"SELECT '{c}' AS label, p{i} AS score, CAST(truth = '{c}' AS INT) AS y FROM judged" for i, c in enumerate(TEXT_CLASSES))
     + """), csteps AS (SELECT *, sum(pos) OVER (PARTITION BY label ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY label ORDER BY score DESC) AS cn,
   sum(pos) OVER (PARTITION BY label) AS p FROM (SELECT label, score, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM each GROUP BY label, score)),
 cap AS (SELECT label, sum(pos / p * cp / (cp + cn)) AS pr_auc, max(p)::BIGINT AS support FROM csteps GROUP BY label HAVING max(p) > 0)"""

@@ -218,8 +218,8 @@ def register(catalog):
             "probs",
             """SELECT review_id, CAST(confidence > 0.8 AND p_bad > 0.7 AS INT) AS flag_for_review,
             CAST(ur > 0.5 AND odd AS INT) AS investigate_user, CAST(br > 0.7 AS INT) AS alert_business
-            FROM (SELECT *, coalesce(stars <= 1 OR stars >= 5, false) AS odd, round(avg(p_bad) OVER (PARTITION BY reviewer_id), 9) AS ur,
-            round(avg(p_bad) OVER (PARTITION BY place_id), 9) AS br FROM probs)""",
+            FROM (SELECT *, coalesce(stars <= 1 OR stars >= 5, false) AS odd, avg(p_bad) OVER (PARTITION BY reviewer_id) AS ur,
+            avg(p_bad) OVER (PARTITION BY place_id) AS br FROM probs)""",
         ),
     )
     def _(spark, folder):

@@ -75,7 +75,7 @@ def register(catalog):
         sql(
             "reviews",
             f"""SELECT batch_id, count(*) AS expected, md5('{head}' || string_agg(chr(10) || CAST(pos + 1 AS VARCHAR) || '. "' ||
-            CASE WHEN length(text) > 1000 THEN substring(text, 1, 1000) || '...' ELSE text END || '"' || chr(10), '' ORDER BY pos) || '{tail}') AS prompt_digest
+            text || '"' || chr(10), '' ORDER BY pos) || '{tail}') AS prompt_digest
             FROM batched GROUP BY batch_id""",
             BATCHED,
         ),

@@ -164,9 +164,9 @@ FROM (SELECT *, {_P} FROM (SELECT *, {_S} AS es FROM (SELECT *, {_E}
   FROM (SELECT *, greatest(logit0,logit1,logit2,logit3,logit4,logit5,logit6) AS zmax FROM reviews))))
 )"""
 
-# Labelled rows with both predictors and a rounded score.
+# Labelled rows with both predictors and the score.
 JUDGED = f"""judged AS (
-SELECT review_id, category, language, label AS truth, prediction, confidence, round(p_bad, 4) AS score,
+SELECT review_id, category, language, label AS truth, prediction, confidence, p_bad AS score,
   CAST(label IN {BAD} AS INT) AS y, CAST(prediction IN {BAD} AS INT) AS yhat,
   p0,p1,p2,p3,p4,p5,p6, d_genuine, d_suspicious, d_low, d_spam, p_bad, enhanced_prob, relevancy, is_relevant,
   stars, published_at

@@ -161,10 +161,8 @@ def features(df: DataFrame) -> DataFrame:
     read once, and the shuffles by reviewer and place carry numbers only.
     """
     out = cut_lineage(text_part(df))
-    heavy = W.heavy_keys(out, "reviewer_id")
-    out = W.days_since_previous(out, heavy=heavy)
-    out = W.rolling_stars(out, heavy=heavy)
-    return P.with_profiles(out, heavy_reviewers=heavy)
+    out = W.rolling_stars(W.days_since_previous(out))
+    return P.with_profiles(out)
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,12 +171,12 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled reviews with the prediction from the logits and a score on four places."""
+    """Labelled reviews with the prediction from the logits and the score."""
     df = with_logits(spark, folder).filter("text IS NOT NULL AND label IS NOT NULL")
     return df.select(
         "review_id", "category", "language", "published_at", "stars", "probs", "p_bad", "enhanced_prob", "relevancy",
         "is_relevant", "text_confidence", F.col("text_prediction").alias("prediction"), F.col("label").alias("truth"),
-        F.round("p_bad", 4).alias("score"),
+        F.col("p_bad").alias("score"),
         is_bad(F.col("label")).alias("y"),
         is_bad(F.col("text_prediction")).alias("yhat"),
     )

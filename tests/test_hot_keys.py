@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from probity.functions.temporal import micros
 from probity.operators import ordered as O
-from probity.operators import profiles as G
 from probity.operators import windows as W
 
 
@@ -37,27 +36,24 @@ def same(a, b, keys=("review_id",)):
     assert rows(a) == rows(b)
 
 
-def test_heavy_keys_found_by_share(skewed):
-    assert W.heavy_keys(skewed, "reviewer_id", min_rows=100) == ["hot"]
-    assert W.heavy_keys(skewed, "reviewer_id") == []
-
-
 def test_gap_of_hot_reviewer(skewed):
     timed = skewed.filter("published_at IS NOT NULL")
-    same(W.days_since_previous(timed, heavy=[]), W.days_since_previous(timed, heavy=["hot"], buckets=7))
+    w = Window.partitionBy("reviewer_id").orderBy("published_at", "review_id")
+    here = micros(F.col("published_at"))
+    want = timed.withColumn("days_since_last_review", F.floor((here - F.lag(here).over(w)) / 86_400e6).cast("long"))
+    for buckets in (1, 7):
+        same(W.days_since_previous(timed, buckets=buckets), want)
 
 
-def test_rolling_of_hot_reviewer(skewed):
-    plain = W.rolling_stars(skewed, heavy=[])
-    split = W.rolling_stars(skewed, heavy=["hot"], buckets=7)
-    names = [n for d in (7, 30) for n in W.rolling_names(d)]
-    same(plain.select("review_id", *names), split.select("review_id", *names))
-    assert split.count() == skewed.count()
+def test_rolling_buckets_agree(skewed):
+    one, many = (W.rolling_stars(skewed, buckets=b) for b in (1, 7))
+    same(one, many)
+    assert many.count() == skewed.count()
 
 
 def test_rolling_against_brute_force(skewed):
     rows = [r for r in skewed.collect() if r.published_at is not None]
-    got = {r.review_id: r for r in W.rolling_stars(skewed, heavy=["hot"], buckets=5).collect()}
+    got = {r.review_id: r for r in W.rolling_stars(skewed, buckets=5).collect()}
     for r in rows[::37]:
         past = [
             x.stars for x in rows
@@ -109,20 +105,15 @@ def test_gap_over_whole_table(skewed):
     same(O.gap_to_previous(df, micros(F.col("published_at")), "review_id", 9), want)
 
 
-def test_salted_enrich(skewed):
-    prof = skewed.groupBy("reviewer_id").agg(F.avg("stars").alias("m"))
-    same(G.enrich(skewed, prof, "reviewer_id"), G.enrich(skewed, prof, "reviewer_id", heavy=["hot"], salts=5))
-
-
 @pytest.mark.parametrize("parts", [1, 3, 17])
 def test_partition_count_does_not_matter(skewed, parts):
-    base = W.rolling_stars(skewed, heavy=[]).select("review_id", "rolling_7d_stars_mean")
-    same(base, W.rolling_stars(skewed.repartition(parts), heavy=["hot"], buckets=parts + 1).select("review_id", "rolling_7d_stars_mean"))
+    base = W.rolling_stars(skewed).select("review_id", "rolling_7d_stars_mean")
+    same(base, W.rolling_stars(skewed.repartition(parts), buckets=parts + 1).select("review_id", "rolling_7d_stars_mean"))
 
 
 def test_rows_without_a_key_have_no_history(spark):
     t = datetime(2024, 1, 1)
     rows = [(i, None, t + timedelta(days=i), 3.0) for i in range(4)]
     df = spark.createDataFrame(rows, "review_id long, reviewer_id string, published_at timestamp, stars double")
-    out = W.rolling_stars(W.days_since_previous(df, heavy=[]), heavy=[]).collect()
+    out = W.rolling_stars(W.days_since_previous(df), ).collect()
     assert all(r.days_since_last_review is None and r.rolling_7d_review_count == 0 for r in out)

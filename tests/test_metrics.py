@@ -72,12 +72,6 @@ def test_histogram_of_one_value(spark):
     assert sum(r.n for r in B.histogram(df, "x").collect()) == 2
 
 
-def test_guard(spark):
-    assert B.guard_rows(spark.range(5), 5).count() == 5
-    with pytest.raises(ValueError):
-        B.guard_rows(spark.range(6), 5)
-
-
 def test_stage_error_row(spark):
     def broken():
         raise RuntimeError("no model")
