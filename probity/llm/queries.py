@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probity.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, toxicity, urls, wavelet
+from probity.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, sql, toxicity, urls, wavelet
 from probity.llm.common import ready, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,12 +36,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", sql.DECONTAMINATE)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
-@query("op6_near_duplicates")
+@query("op6_near_duplicates", sql.NEAR_DUPLICATES)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.link(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -52,12 +52,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select(*names)
 
 
-@query("op9_personal_data")
+@query("op9_personal_data", sql.PERSONAL_DATA)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
 
 
-@query("op2_url_filters")
+@query("op2_url_filters", sql.URL_FILTERS)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
