@@ -258,11 +258,14 @@ def error_row(spark: SparkSession, stage: str, message: str) -> DataFrame:
 
 
 def attempt(spark: SparkSession, stage: str, build) -> DataFrame:
-    """The stage's metrics, or its error row when the plan cannot be built."""
+    """The stage's metrics, or its error row when the plan cannot be built or fails while it runs.
+
+    The few metric rows are stored here, so that a failure shows now and not in whatever reads them.
+    """
     try:
-        return build()
+        return cut_lineage(build())
     except Exception as e:  # noqa: BLE001 - any failure becomes a status row
-        return error_row(spark, stage, str(e)[:500])
+        return error_row(spark, stage, str(e))
 
 
 def with_summary_row(stages: DataFrame, metrics: list[str]) -> DataFrame:

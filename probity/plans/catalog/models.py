@@ -41,7 +41,7 @@ def register(catalog):
     @add("text_model", "T19")
     def _(spark, folder):
         rows = cut_lineage(P.reviews(spark, folder).select("review_id", "text", "label"))
-        model = T.train_text_model(rows, iterations=5, features=1 << 12)
+        model = T.train_text_model(rows)
         scored = T.text_model_scores(E.known_labels(rows), model)
         pc = E.per_class(scored, "label", "text_prediction")
         return pc.select("label", "support", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
@@ -49,7 +49,7 @@ def register(catalog):
     @add("text_model_balanced", "T19")
     def _(spark, folder):
         rows = cut_lineage(P.reviews(spark, folder).select("review_id", "text", "label"))
-        model = T.train_text_model(rows, balanced=True, iterations=5, features=1 << 12)
+        model = T.train_text_model(rows, balanced=True)
         scored = T.text_model_scores(E.known_labels(rows), model)
         pc = E.per_class(scored, "label", "text_prediction")
         return pc.select("label", "support", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
@@ -58,8 +58,8 @@ def register(catalog):
     def _(spark, folder):
         rows = cut_lineage(P.reviews(spark, folder).select("text", "label"))
         jobs = {
-            "plain": lambda: T.train_text_model(rows, iterations=2, features=1 << 10),
-            "balanced": lambda: T.train_text_model(rows, balanced=True, iterations=2, features=1 << 10),
+            "plain": lambda: T.train_text_model(rows),
+            "balanced": lambda: T.train_text_model(rows, balanced=True),
         }
         return T.training_runs(spark, jobs).select("model", "success", "path")
 
@@ -69,15 +69,15 @@ def register(catalog):
 
     @add("fusion_forest", "F5 F8")
     def _(spark, folder):
-        return split_accuracy(spark, folder, "random_forest", numTrees=20, maxDepth=6)
+        return split_accuracy(spark, folder, "random_forest")
 
     @add("fusion_neural_network", "F6 F8")
     def _(spark, folder):
-        return split_accuracy(spark, folder, "neural_network", maxIter=30)
+        return split_accuracy(spark, folder, "neural_network")
 
     @add("fusion_logistic", "F7 F8")
     def _(spark, folder):
-        return split_accuracy(spark, folder, "logistic", maxIter=30)
+        return split_accuracy(spark, folder, "logistic")
 
     @add("fusion_cross_validation", "F9")
     def _(spark, folder):
@@ -94,7 +94,7 @@ def register(catalog):
 
     @add("fusion_importances", "F11")
     def _(spark, folder):
-        model = M.FusionModel("random_forest", {"numTrees": 20, "maxDepth": 6}).fit(fusion_rows(spark, folder))
+        model = M.FusionModel("random_forest").fit(fusion_rows(spark, folder))
         return spark.createDataFrame(model.importances(), "feature string, importance double")
 
     weight = " ".join(f"WHEN '{k}' THEN {v}" for k, v in DECISION_CLASS_WEIGHTS.items())

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
-    """CSV with a header; quoted text may hold commas, quotes and line breaks. All columns are text.
+def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; quoted text may hold commas and quotes. All columns are text, or those of the schema.
 
-    A file whose records never span lines should be read with ``multi_line=False``: only then can one
-    large file be split over many tasks.
+    A large file is split over many tasks. With ``multi_line`` quoted text may hold line breaks too, at the price
+    of one task per file.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     if schema is not None:
@@ -19,32 +19,33 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, mult
     return reader.csv(path)
 
 
-def read_json(spark: SparkSession, path, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
-    """A JSON list of records, one object as one row, or JSON lines (splittable) with ``lines``."""
-    reader = spark.read.option("multiLine", not lines)
+def read_json(spark: SparkSession, path, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON lines, split over many tasks; a line may hold a list of records. ``multi_line`` reads one document per file, in one task."""
+    reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
 
 
-def read_parquet(spark: SparkSession, path) -> DataFrame:
-    return spark.read.parquet(*([path] if isinstance(path, str) else path))
+def read_parquet(spark: SparkSession, path, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*([path] if isinstance(path, str) else path))
 
 
 READERS = {
     "csv": read_csv,
     "json": read_json,
-    "jsonl": lambda spark, path: read_json(spark, path, lines=True),
+    "jsonl": read_json,
     "parquet": read_parquet,
 }
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Reader by file suffix; anything unknown is an error."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Reader by file suffix; anything unknown is an error. A given schema saves the pass that looks for one."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path else ""
     if suffix not in READERS:
         raise ValueError(f"unsupported file format: {path}")
-    return READERS[suffix](spark, path)
+    return READERS[suffix](spark, path, schema, multi_line)
 
 
 def read_many(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:

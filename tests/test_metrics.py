@@ -78,3 +78,9 @@ def test_stage_error_row(spark):
 
     r = E.attempt(spark, "Stage 2", broken).first()
     assert r.stage == "Stage 2" and r.error == "no model"
+
+
+def test_stage_that_fails_while_it_runs(spark):
+    late = lambda: spark.range(1).selectExpr("'Stage 3' stage", "assert_true(id > 5, 'lost model') x", "1.0 accuracy")
+    r = E.attempt(spark, "Stage 3", late).first()
+    assert r.stage == "Stage 3" and "lost model" in r.error
