@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probity.constants import DECISIONS, FUSION_FEATURES
@@ -88,13 +88,25 @@ def target_decision(label: Column, row_key: Column) -> Column:
     )
 
 
+FIT_ROWS = 20_000  # documented bound of the labelled rows in a fit
+
+
 def _stable_unit(row_key: str, seed: int = 11) -> Column:
     return F.pmod(F.xxhash64(row_key, F.lit(seed)), F.lit(2**53)).cast("double") / float(2**53)
 
 
-def hash_folds(df: DataFrame, row_key: str, folds: int = 5, out: str = "fold") -> DataFrame:
-    """Fold number by hash of the row: even in every class, and no row has to meet another."""
-    return df.withColumn(out, F.pmod(F.xxhash64(row_key, F.lit(7)), F.lit(folds)).cast("int"))
+def fit_sample(df: DataFrame, row_key: str = "review_id", rows: int = FIT_ROWS) -> DataFrame:
+    """The labelled rows that a model is fitted on: at most ``rows``, those with the smallest hash."""
+    return df.orderBy(F.xxhash64(row_key, F.lit(3)), row_key).limit(rows)
+
+
+def stratified_folds(df: DataFrame, row_key: str, label: str = "code", folds: int = 5, out: str = "fold") -> DataFrame:
+    """Fold number in turn over the rows of each class in hash order, so every fold has the same share of it.
+
+    Meant for the bounded rows of :func:`fit_sample`: a class is ordered in one window.
+    """
+    turn = Window.partitionBy(label).orderBy(F.xxhash64(row_key, F.lit(7)), row_key)
+    return df.withColumn(out, ((F.row_number().over(turn) - 1) % folds).cast("int"))
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight", given: dict | None = None) -> DataFrame:
@@ -106,8 +118,9 @@ def class_weights(df: DataFrame, label: str, out: str = "weight", given: dict |
     weights = counts.withColumn("_t", totals).select(
         label, (F.col("_t.n") / (F.col("_t.k") * F.col("_n"))).alias(out)
     )
-    # One row per class.
-    return df.join(F.broadcast(weights), label)
+    # Rows without a label stay, with weight 1. Spark broadcasts the weights if the labels are few.
+    joined = df.join(weights.withColumnRenamed(label, "_label"), F.col(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    return joined.withColumn(out, F.when(F.col(label).isNull(), 1.0).otherwise(F.col(out)))
 
 
 def assembler(features=FEATURE_COLUMNS) -> list:
@@ -256,7 +269,7 @@ GRIDS = {
 
 
 def cross_validate(df: DataFrame, estimator, grid=None, folds: int = 5, parallelism: int = 4, label: str = "code"):
-    """Cross validation on hash folds. Gives the fitted validator (averages and deviations per setting)."""
+    """Cross validation on stratified folds. Gives the fitted validator (averages and deviations per setting)."""
     return CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid or ParamGridBuilder().build(),
@@ -265,7 +278,7 @@ def cross_validate(df: DataFrame, estimator, grid=None, folds: int = 5, parallel
         foldCol="fold",
         parallelism=parallelism,
         collectSubModels=False,
-    ).fit(hash_folds(df, "review_id", folds))
+    ).fit(cut_lineage(stratified_folds(df, "review_id", label, folds)))
 
 
 def search(df: DataFrame, kind: str, grid: dict, folds: int = 5, parallelism: int = 4) -> DataFrame:
@@ -296,7 +309,7 @@ def search_boosting(df: DataFrame, grid: dict, folds: int = 5) -> DataFrame:
     from itertools import product
 
     spark = df.sparkSession
-    ready = hash_folds(Pipeline(stages=assembler()).fit(df).transform(df), "review_id", folds).cache()
+    ready = cut_lineage(stratified_folds(Pipeline(stages=assembler()).fit(df).transform(df), "review_id", folds=folds))
     rows = []
     names = list(grid)
     for values in product(*grid.values()):
@@ -313,7 +326,6 @@ def search_boosting(df: DataFrame, grid: dict, folds: int = 5) -> DataFrame:
         mean = sum(scores) / len(scores)
         spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
         rows.append((", ".join(f"{k}={p[k]}" for k in sorted(p)), float(mean), float(spread)))
-    ready.unpersist()
     return spark.createDataFrame(rows, "setting string, accuracy double, deviation double").orderBy(
         F.desc("accuracy"), "setting"
     )
