@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from probity.plans.catalog import load  # noqa: E402
-from probity.session import local_session  # noqa: E402
+from probity.session import local_session, release  # noqa: E402
 
 HEADLINE = [
     "overall_analysis", "rule_class", "softmax_probabilities", "content_features", "days_since_last_review",
@@ -42,6 +42,7 @@ def main() -> None:
         catalog.queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
+    release(spark)
     spark.stop()
     print(
         json.dumps(

@@ -6,8 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 from probity.constants import DECISIONS, FUSION_FEATURES
 from probity.functions import risk as R
 from probity.functions.vectors import lookup
+from probity.operators import boosting
 from probity.operators.anomaly import filled, standardise
 from probity.operators.ordered import global_row_number
 from probity.session import cut_lineage
@@ -137,42 +136,33 @@ class OneVsRestBoosting:
     rounds: int = 200
     rate: float = 0.1
     depth: int = 6
-    seed: int = 42
     label: str = "code"
-    models: list[GBTClassificationModel] = field(default_factory=list)
+    trees: list[dict] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> "OneVsRestBoosting":
-        for i in range(len(DECISIONS)):
-            gbt = GBTClassifier(
-                labelCol="_y", featuresCol="features", maxIter=self.rounds, stepSize=self.rate,
-                maxDepth=self.depth, seed=self.seed,
-            )
-            self.models.append(gbt.fit(df.withColumn("_y", (F.col(self.label) == i).cast("double"))))
+        rows = fit_sample(df.select("review_id", vector_to_array("features").alias("x"), self.label))
+        self.trees = boosting.fit(rows, "x", self.label, len(DECISIONS), self.rounds, self.rate, self.depth)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, m in enumerate(self.models):
-            m = m.copy().setPredictionCol(f"_pred{i}").setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}")
-            out = m.transform(out).withColumn(f"_p{i}", F.get(vector_to_array(f"_prob{i}"), 1))
-            out = out.drop(f"_pred{i}", f"_prob{i}", f"_raw{i}")
-        parts = [F.col(f"_p{i}") for i in range(len(self.models))]
-        total = parts[0] + parts[1] + parts[2] + parts[3]
-        out = out.withColumn("decision_probs", F.array(*[p / total for p in parts]))
-        return out.drop(*[f"_p{i}" for i in range(len(self.models))])
+        probs = boosting.probabilities(df.sparkSession, self.trees, len(DECISIONS), self.depth, vector_to_array("features"))
+        return df.withColumn("decision_probs", probs)
 
     def importances(self):
+        """Share of the summed gains per feature, the mean over the classes."""
         import numpy as np
 
-        return np.mean([m.featureImportances.toArray() for m in self.models], axis=0)
+        sums = [np.sum([t["gains"] for t in self.trees if t["cls"] == c], axis=0) for c in range(len(DECISIONS))]
+        return np.mean([s / max(s.sum(), 1e-12) for s in sums], axis=0)
 
-    def save(self, path: str) -> None:
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/class_{i}")
+    def save(self, spark, path: str) -> None:
+        rows = [{**t, "number": i, "depth": self.depth} for i, t in enumerate(self.trees)]
+        spark.createDataFrame(rows, boosting.SCHEMA + ", number int, depth int").coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, path: str) -> "OneVsRestBoosting":
-        return cls(models=[GBTClassificationModel.load(f"{path}/class_{i}") for i in range(len(DECISIONS))])
+    def load(cls, spark, path: str) -> "OneVsRestBoosting":
+        rows = [r.asDict() for r in spark.read.parquet(path).orderBy("number").collect()]
+        return cls(depth=rows[0]["depth"], trees=rows)
 
 
 def make_classifier(kind: str, label: str = "code", **params):
@@ -231,7 +221,7 @@ class FusionModel:
     def save(self, spark, path: str) -> None:
         self.scaler.write().overwrite().save(f"{path}/scaler")
         if self.kind == "boosting":
-            self.model.save(f"{path}/model")
+            self.model.save(spark, f"{path}/model")
         else:
             self.model.write().overwrite().save(f"{path}/model")
         rows = [("kind", self.kind), *[(k, str(v)) for k, v in self.params.items()],
@@ -248,13 +238,13 @@ class FusionModel:
 
         rows = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/parameters").collect()}
         loaders = {
-            "boosting": OneVsRestBoosting,
             "random_forest": RandomForestClassificationModel,
             "neural_network": MultilayerPerceptronClassificationModel,
             "logistic": LogisticRegressionModel,
         }
         kind = rows["kind"]
-        return cls(kind, {}, PipelineModel.load(f"{path}/scaler"), loaders[kind].load(f"{path}/model"))
+        model = OneVsRestBoosting.load(spark, f"{path}/model") if kind == "boosting" else loaders[kind].load(f"{path}/model")
+        return cls(kind, {}, PipelineModel.load(f"{path}/scaler"), model)
 
 
 def accuracy(df: DataFrame, predicted: str = "final_prediction", truth: str = "decision") -> DataFrame:

@@ -65,7 +65,7 @@ def register(catalog):
 
     @add("fusion_boosting", "F4 F8 F12")
     def _(spark, folder):
-        return split_accuracy(spark, folder, "boosting", rounds=5, depth=3)
+        return split_accuracy(spark, folder, "boosting")
 
     @add("fusion_forest", "F5 F8")
     def _(spark, folder):
@@ -94,7 +94,7 @@ def register(catalog):
 
     @add("fusion_importances", "F11")
     def _(spark, folder):
-        model = M.FusionModel("random_forest").fit(fusion_rows(spark, folder))
+        model = M.FusionModel("boosting").fit(fusion_rows(spark, folder))
         return spark.createDataFrame(model.importances(), "feature string, importance double")
 
     weight = " ".join(f"WHEN '{k}' THEN {v}" for k, v in DECISION_CLASS_WEIGHTS.items())

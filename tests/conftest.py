@@ -10,10 +10,11 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from probity.session import local_session
+    from probity.session import local_session, release
 
     session = local_session(8, "tests")
     yield session
+    release(session)
     session.stop()
 
 

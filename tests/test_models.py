@@ -1,6 +1,7 @@
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,22 @@ def test_failed_training_is_a_row(spark):
 
     r = T.training_runs(spark, {"bad": broken}).first()
     assert r.success is False and r.path is None
+
+
+def test_boosting_fits_a_step_and_a_corner():
+    from probity.operators.boosting import ensemble
+
+    rng = np.random.default_rng(3)
+    x = rng.random((1500, 4))
+    y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.7)).astype(float)
+    start, trees = ensemble(x, y, 30, 0.3, 3)
+    total = np.full(len(x), start)
+    for feature, cut, value, _ in trees:
+        for i, row in enumerate(x):
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + 1 + int(row[feature[at]] > cut[at])
+            total[i] += value[at]
+    assert ((total > 0) == (y > 0)).mean() > 0.97
+    gains = np.sum([t[3] for t in trees], axis=0)
+    assert set(np.argsort(gains)[-2:]) == {0, 2}

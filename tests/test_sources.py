@@ -18,11 +18,26 @@ def out():
 def test_csv_with_quotes_and_lines(spark, out):
     with open(f"{out}/a.csv", "w") as f:
         f.write('text,rating,date\n"He said ""hi"",\nthen left",5,2024-01-02\nplain,bad,never\n')
-    df = readers.read_table(spark, f"{out}/a.csv")
+    df = readers.read_table(spark, f"{out}/a.csv", multi_line=True)
     got = N.to_reviews(df).select("text", "stars", F.col("published_at").cast("string").alias("d"), "category").collect()
     assert [tuple(r) for r in got] == [('He said "hi",\nthen left', 5.0, "2024-01-02 00:00:00", None), ("plain", None, None, None)]
 
 
+def test_large_csv_and_json_lines_are_split(spark, out):
+    with open(f"{out}/big.csv", "w") as f:
+        f.write("text,rating\n" + "".join(f'"a, ""{i}""",{i % 5}\n' for i in range(40_000)))
+    with open(f"{out}/big.jsonl", "w") as f:
+        f.write("".join(f'{{"text":"row {i}"}}\n' for i in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        for name, schema in (("big.csv", "text string, rating string"), ("big.jsonl", "text string")):
+            df = readers.read_table(spark, f"{out}/{name}", spark.createDataFrame([], schema).schema)
+            assert df.rdd.getNumPartitions() > 3 and df.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_list_object_and_lines(spark, out):
     for name, body in (("list.json", '[{"text":"a"},{"text":"b"}]'), ("one.json", '{"text":"a"}'), ("rows.jsonl", '{"text":"a"}\n{"text":"b"}\n')):
         with open(f"{out}/{name}", "w") as f:
