@@ -81,7 +81,7 @@ def test_sample_is_stable(spark):
 def test_csv_sink_round_trip(spark, out):
     df = spark.createDataFrame([(1, 'a "q", b\nc', {"k": 0.5})], "review_id long, text string, probs map<string,double>")
     sinks.write_csv(df, f"{out}/res", quote_all=True)
-    r = readers.read_csv(spark, f"{out}/res").first()
+    r = readers.read_csv(spark, f"{out}/res", multi_line=True).first()
     assert r.text == 'a "q", b\nc' and r.probs == '{"k":0.5}'
 
 
