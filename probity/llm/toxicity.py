@@ -30,6 +30,7 @@ SURE = 2.0
 PARTS, HELD_OUT, CALIBRATION = 4, 2, 3
 THRESHOLD = 0.3
 FIT_ROWS = 20_000  # documented bound of the labelled rows that the logistic curve is fitted on
+SENT_LABELS = 1_000_000
 SENT_ENTRIES = 1_000_000  # largest ratio table that is sent to the workers; a larger one is joined
 KEPT_WORDS = 300_000
 
@@ -264,15 +265,19 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     marks = slim(labels, _id=labels[label_id].cast("long"), label=labels[label_column].cast("int")).filter(F.col("label").isin(0, 1)).dropDuplicates(["_id"])
     marks = marks.withColumn("fold", fold_of("_id", PARTS)).filter(F.col("fold") != HELD_OUT)
     rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column).filter(F.col("text").isNotNull())
+    # Labels are a row of two numbers each: up to a million are sent to the texts, so that those need not move; more are joined.
+    marks = stored(marks)
+    marks = F.broadcast(marks) if marks.count() <= SENT_LABELS else marks
     rows = stored(rows.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label", "fold"))
     entries = _entries(stored(word_counts(rows.filter(F.col("fold") != CALIBRATION).select("text", "label"))))
     sent = None
     if entries.count() <= SENT_ENTRIES:
         keys, values = (c.to_pylist() for c in entries.toArrow().columns)
         sent = docs.sparkSession.sparkContext.broadcast(dict(zip(keys, values)))
-    fit = rows.filter(F.col("fold") == CALIBRATION).orderBy(F.xxhash64("doc_id", "text")).limit(FIT_ROWS)
-    marked = fit.select("doc_id", (F.col("label") == 1).alias("held_out"), "text")
-    found = _totals(marked, entries, sent).toPandas()
+    # All rows of the third fold are summed where they are; the bounded choice is among rows of numbers.
+    fit = rows.filter(F.col("fold") == CALIBRATION).select("doc_id", (F.col("label") == 1).alias("held_out"), "text")
+    sums = _totals(fit, entries, sent)
+    found = sums.orderBy(F.xxhash64("doc_id"), *sums.columns).limit(FIT_ROWS).toPandas()
     curve = fit_curve(features(found), found["held_out"].to_numpy(float)) if len(found) else np.array([-5.0, 0.0, 0.0, 0.0])
     return Model(entries, sent, curve)
 
