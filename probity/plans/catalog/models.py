@@ -16,17 +16,23 @@ from probity.session import cut_lineage
 
 
 def fusion_rows(spark, folder):
-    """Labelled reviews with the 20 features and the training decision, stored once for the many fits."""
+    """All labelled reviews with the 20 features and the training decision, stored once for the many passes."""
     df = P.judged(spark, folder).withColumnRenamed("truth", "label")
     df = M.with_fusion_features(df)
     df = df.withColumn("decision", M.target_decision(F.col("label"), F.col("review_id")))
     df = df.withColumn("code", R.decision_code(F.col("decision")).cast("double"))
-    return cut_lineage(M.fit_sample(df.select("review_id", "label", "decision", "code", *M.FEATURE_COLUMNS)))
+    return cut_lineage(df.select("review_id", "label", "decision", "code", *M.FEATURE_COLUMNS))
+
+
+def fit_rows(df):
+    """The bounded rows of a fit, stored once."""
+    return cut_lineage(M.fit_sample(df))
 
 
 def split_accuracy(spark, folder, kind, **params):
+    """Accuracy over all rows of both sides of the split; only the fit is bounded."""
     df = cut_lineage(M.leading_split(fusion_rows(spark, folder), F.col("review_id"), "review_id"))
-    model = M.FusionModel(kind, params).fit(df.filter("is_train"))
+    model = M.FusionModel(kind, params).fit(fit_rows(df.filter("is_train")))
     scored = model.predict(df)
     return scored.groupBy("is_train").agg(
         F.count(F.lit(1)).alias("n"),
@@ -81,7 +87,7 @@ def register(catalog):
 
     @add("fusion_cross_validation", "F9")
     def _(spark, folder):
-        df = fusion_rows(spark, folder)
+        df = fit_rows(fusion_rows(spark, folder))
         ready = Pipeline(stages=M.assembler()).fit(df).transform(df)
         fitted = M.cross_validate(ready, M.make_classifier("random_forest"))
         row = [(float(fitted.avgMetrics[0]), 2 * float(fitted.stdMetrics[0]))]
@@ -90,11 +96,11 @@ def register(catalog):
     @add("fusion_grid_search", "F10")
     def _(spark, folder):
         grid = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [2]}
-        return M.search(fusion_rows(spark, folder), "random_forest", grid, folds=3)
+        return M.search(fit_rows(fusion_rows(spark, folder)), "random_forest", grid, folds=3)
 
     @add("fusion_importances", "F11")
     def _(spark, folder):
-        model = M.FusionModel("boosting").fit(fusion_rows(spark, folder))
+        model = M.FusionModel("boosting").fit(fit_rows(fusion_rows(spark, folder)))
         return spark.createDataFrame(model.importances(), "feature string, importance double")
 
     weight = " ".join(f"WHEN '{k}' THEN {v}" for k, v in DECISION_CLASS_WEIGHTS.items())

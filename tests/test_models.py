@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from probity.operators import anomaly as A
+from probity.operators import fusion as M
 from probity.operators import iforest as I
 from probity.operators import textmodel as T
+from probity.plans.catalog import models
 from probity.session import cut_lineage
 
 NAMES = [f"x{i}" for i in range(8)]
@@ -86,3 +88,14 @@ def test_boosting_fits_a_step_and_a_corner():
     assert ((total > 0) == (y > 0)).mean() > 0.97
     gains = np.sum([t[3] for t in trees], axis=0)
     assert set(np.argsort(gains)[-2:]) == {0, 2}
+
+
+def test_bound_of_a_fit_does_not_bound_the_scored_rows(spark, folder, monkeypatch):
+    rows = models.fusion_rows(spark, folder).count()
+    fitted = []
+    sample, fit = M.fit_sample, M.FusionModel.fit
+    monkeypatch.setattr(M, "fit_sample", lambda df, row_key="review_id": sample(df, row_key, 200))
+    monkeypatch.setattr(M.FusionModel, "fit", lambda self, df: fitted.append(df.count()) or fit(self, df))
+    assert rows > 200
+    got = {r.is_train: r.n for r in models.split_accuracy(spark, folder, "logistic", maxIter=5).collect()}
+    assert fitted == [200] and got == {True: int(0.8 * rows), False: rows - int(0.8 * rows)}
