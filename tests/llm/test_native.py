@@ -121,6 +121,44 @@ def test_quality_edges_and_outliers(spark):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_outliers_up_to_nearly_half_of_a_cell(spark, share):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(1000):
+        bad = i < 1000 * share
+        marks = lambda: rnd.choice(["##", "$%", "*|"]) if bad else ""
+        text = " ".join(rnd.choice(["alpha", "beta", "of", "gamma", "the", "delta"])[:3] + marks() + str(rnd.randrange(9999)) for _ in range(rnd.randrange(200, 400)))
+        rows.append((i, text, "en", "hot"))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in got if got[i].kept] == [i for i in got if i >= 1000 * share]
+
+
+def test_smallest_determinant_of_all_starts_and_steps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(400, 4)) @ np.array([[1, 0.9, 0, 0], [0, 0.3, 0.5, 0], [0, 0, 1, 0.8], [0, 0, 0, 0.3]])
+    a[:150] += [2, -3, 2, -3]
+    rows = spark.createDataFrame([("x", *map(float, p)) for p in a], "cell string, f0 double, f1 double, f2 double, f3 double")
+    got = quality.concentrated(rows).first()
+    floors, best = np.diag(np.square(quality.FLOORS)), np.inf
+    m = np.median(a, axis=0)
+    s = np.maximum(1.4826 * np.median(abs(a - m), axis=0), quality.FLOORS)
+    z = (a - m) / s
+    sign, bent = z / np.linalg.norm(z, axis=1)[:, None], np.tanh(z)
+    for shape in (np.eye(4), 4 * sign.T @ sign / 400, bent.T @ bent / 400 / quality.BENT_SQUARE):
+        centre, c = m, shape * np.outer(s, s)
+        for _ in range(50):
+            y = a - centre
+            d = ((y @ np.linalg.inv(c + floors)) * y).sum(axis=1)
+            near = a[np.argsort(d)[:200]]
+            centre, c = near.mean(axis=0), np.cov(near.T, bias=True)
+            best = min(best, np.linalg.slogdet(c + floors)[1])
+    assert best - 0.05 <= got.volume <= best + 0.05
+
+
 def test_covariance_factor(spark):
     import numpy as np
 
