@@ -1,8 +1,9 @@
 """Secret scans: patterns, and a character convolutional network over every candidate in its surroundings.
 
 Candidates are runs of at least twelve characters that mix kinds. Those that a pattern finds are the labelled findings;
-the others are taken as ordinary. The network reads the characters of a candidate and around it, is trained with numpy
-on a bounded sample, calibrated on another part of it, and its threshold is the highest that keeps the wanted recall there.
+the others are taken as ordinary. The network reads the characters of a candidate and around it and is trained with numpy
+on a bounded sample. All candidates are scored; the calibration and the threshold, the highest that keeps the wanted recall
+of the labelled findings, are taken over all of them.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ PIECE = 64
 WIDTH = AROUND * 2 + PIECE
 SAMPLE_ROWS = 3000  # documented bound of the labelled findings of each class that the network is fitted on
 RECALL = 0.95
-CERTAIN = 0.5  # least calibrated probability of a finding that no pattern makes
+BINS, MOST = 64, 32  # bins a unit of the histogram of the network's answers, and the answer at which it ends
 EMBED, FILTERS, SPAN, EPOCHS, SEED = 8, 24, 5, 6, 11
 
 PASS_SCHEMA = "doc_id long, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,label:int,windows:array<string>>>"
+SCORED_SCHEMA = "doc_id long, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,label:int,z:double>>"
 OUT_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, findings array<struct<kind:string,start:long,end:long,score:double>>"
 
 
@@ -149,48 +151,66 @@ class Network:
 
 @dataclass
 class Model:
-    network: Network
     slope: float
     offset: float
-    threshold: float
+    threshold: float  # least answer of the network for a finding that no pattern makes
 
-    def scores(self, groups: list[list[str]]) -> list[float]:
-        """Calibrated probability of each candidate: that of its likeliest piece."""
-        flat = self.network.logits([w for g in groups for w in g])
-        p = 1 / (1 + np.exp(-np.clip(self.slope * flat + self.offset, -30, 30)))
-        out, at = [], 0
-        for g in groups:
-            out.append(float(p[at : at + len(g)].max()))
-            at += len(g)
-        return out
+    def probability(self, z: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30))))
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the network's answers, with softened labels so that it stays finite."""
-    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+def calibrated(z: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over counted answers of the network, with softened labels so that it stays finite."""
+    good, bad = count[y > 0].sum(), count[y == 0].sum()
+    t = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     x, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    loss = lambda w: count @ (np.logaddexp(0, x @ w) - t * (x @ w)) + 5e-4 * w @ w
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (t - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (count * (t - p)) - 1e-3 * w)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > loss(w):
+            step = step / 2
+        w = w + step
     return float(w[0]), float(w[1])
 
 
-def train(scanned: DataFrame, rows: int = SAMPLE_ROWS, recall: float = RECALL) -> Model | None:
-    """A model from at most ``rows`` different windows of each class, chosen by hash; None if a class is missing.
-
-    Every fourth is kept for the calibration and the threshold.
-    """
+def train(scanned: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
+    """A network from at most ``rows`` different windows of each class, chosen by hash; None if a class is missing."""
     each = scanned.select(F.explode("found").alias("c")).select(F.col("c.label").alias("label"), F.element_at("c.windows", 1).alias("w")).distinct()
     sample = [each.filter(F.col("label") == k).orderBy(F.xxhash64("w"), "w").limit(rows).collect() for k in (0, 1)]
     if not all(len(s) >= 8 for s in sample):
         return None
-    texts, y = [r.w for s in sample for r in s], np.array([float(r.label) for s in sample for r in s])
-    held = np.arange(len(y)) % 4 == 3
-    network = Network().fit([t for t, h in zip(texts, held) if not h], y[~held])
-    z = network.logits([t for t, h in zip(texts, held) if h])
-    slope, offset = calibrated(z, y[held])
-    p = np.sort((1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30))))[y[held] > 0])
-    return Model(network, slope, offset, float(p[int((1 - recall) * len(p))]))
+    return Network().fit([r.w for s in sample for r in s], np.array([float(r.label) for s in sample for r in s]))
+
+
+def _scored(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Candidates with the network's answer for their likeliest piece in place of their windows."""
+    network: Network | None = sent.value
+    cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.int32()), ("z", pa.float64())]))
+    for batch in batches:
+        rows = batch["found"].to_pylist()
+        z = network.logits([w for r in rows for c in r for w in c["windows"]]) if network else None
+        out, at = [], 0
+        for r in rows:
+            out.append([])
+            for c in r:
+                n = len(c["windows"])
+                out[-1].append({"start": c["start"], "end": c["end"], "label": c["label"], "z": float(z[at : at + n].max()) if network else None})
+                at += n
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["base"], pa.array(out, cand)], names=["doc_id", "base", "found"])
+
+
+def settled(scored: DataFrame, recall: float = RECALL) -> Model | None:
+    """Calibration and threshold over all scored candidates, from a histogram of their answers; None without answers of both classes."""
+    c = scored.select(F.explode("found").alias("c")).select("c.label", "c.z").filter("z IS NOT NULL")
+    place = F.floor(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), "z")) * BINS)
+    bins = c.groupBy("label", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("least")).orderBy("label", "bin").collect()
+    good = [r for r in bins if r.label == 1]
+    if not good or len(good) == len(bins):
+        return None
+    slope, offset = calibrated(np.array([(r.bin + 0.5) / BINS for r in bins]), np.array([r.label for r in bins]), np.array([float(r.n) for r in bins]))
+    missed = np.cumsum([r.n for r in good])
+    return Model(slope, offset, good[int(np.searchsorted(missed, (1 - recall) * missed[-1], side="right"))].least)
 
 
 def _judged(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -198,15 +218,13 @@ def _judged(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     finding = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
         rows = batch.to_pylist()
-        groups = [c["windows"] for r in rows for c in r["found"]]
-        scores = iter(model.scores(groups) if model and groups else [0.0] * len(groups))
         out: list[list] = [[] for _ in range(6)]
         for r in rows:
             base = [(s["start"], s["kind"], s["end"], 1.0) for s in r["base"]]
             more = []
-            for c, p in zip(r["found"], scores):
-                if model and not c["label"] and p >= max(model.threshold, CERTAIN):
-                    more.append((c["start"], len(KINDS), c["end"], p))
+            for c in r["found"]:
+                if model and not c["label"] and c["z"] >= model.threshold:
+                    more.append((c["start"], len(KINDS), c["end"], model.probability(c["z"])))
             names = (*KINDS, ADDED)
             told = lambda spans: ",".join(f"{names[k]}:{s}:{e}" for s, k, e, _ in spans)
             every = sorted([*base, *more])
@@ -223,13 +241,15 @@ def _judged(batches: Iterable[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
 def scan(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
     """Pattern counts and digest, and all findings (kind, start, end, score) of every whole text.
 
-    The texts are read once; spans and candidates are written, the network is fitted on a sample of them and judges every
-    candidate. Spans of the patterns always stay. Places count code points, ends exclusive. Null and empty texts have no
+    The texts are read once; spans and candidates are written, the network is fitted on a sample of them and scores every
+    candidate once; the answers are written, and judged by the calibration and threshold over all of them. Spans of the patterns always stay. Places count code points, ends exclusive. Null and empty texts have no
     findings; without enough findings to learn from, the patterns stand alone; repeated rows and null ids are judged each;
     an empty table gives an empty result.
     """
     spark = ready(docs.sparkSession)
     rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column)
     scanned = stored(rows.mapInArrow(_scanned, PASS_SCHEMA))
-    sent = spark.sparkContext.broadcast(train(scanned))
-    return scanned.mapInArrow(lambda b: _judged(b, sent), OUT_SCHEMA)
+    network = spark.sparkContext.broadcast(train(scanned))
+    scored = stored(scanned.mapInArrow(lambda b: _scored(b, network), SCORED_SCHEMA))
+    sent = spark.sparkContext.broadcast(settled(scored))
+    return scored.mapInArrow(lambda b: _judged(b, sent), OUT_SCHEMA)

@@ -60,6 +60,26 @@ def test_secret_edges(spark):
     assert len(got) == len(rows) and secrets.scan(df.limit(0)).count() == 0
 
 
+def test_threshold_keeps_recall_over_all_candidates(spark):
+    # 20,000 candidates, one in 20 a labelled finding, with answers that overlap: the threshold's probability is far below a half.
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(2000):
+        z = [float(v) for v in rng.normal(1.5 if i < 1000 else -1.0, 1.0, 1)] + [float(v) for v in rng.normal(-1.0, 1.0, 9)]
+        rows.append((i, [], [(10 * k, 10 * k + 5, int(i < 1000 and k == 0), v) for k, v in enumerate(z)]))
+    scored = spark.createDataFrame(rows, secrets.SCORED_SCHEMA)
+    model = secrets.settled(scored)
+    each = np.array([(c[2], c[3]) for r in rows for c in r[2]])
+    good, other = each[each[:, 0] == 1, 1], each[each[:, 0] == 0, 1]
+    assert 0.95 <= (good >= model.threshold).mean() < 0.97
+    assert model.probability(model.threshold) < 0.3
+    p = np.array([model.probability(z) for z in each[:, 1]])
+    assert abs(p.mean() - each[:, 0].mean()) < 0.005  # the real share, not that of a balanced sample
+    sent = spark.sparkContext.broadcast(model)
+    got = scored.mapInArrow(lambda b: secrets._judged(b, sent), secrets.OUT_SCHEMA).collect()
+    assert sum(len(r.findings) for r in got) == (other >= model.threshold).sum()
+
+
 def test_network_learns_and_gradients():
     rnd = random.Random(1)
     word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
