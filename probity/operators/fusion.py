@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -148,6 +149,11 @@ class OneVsRestBoosting:
         probs = boosting.probabilities(df.sparkSession, self.trees, len(DECISIONS), self.depth, vector_to_array("features"))
         return df.withColumn("decision_probs", probs)
 
+    def first(self, rounds: int) -> "OneVsRestBoosting":
+        """The ensemble after its first rounds of each class."""
+        trees = [t for c in range(len(DECISIONS)) for t in [t for t in self.trees if t["cls"] == c][:rounds]]
+        return OneVsRestBoosting(rounds, self.rate, self.depth, self.label, trees)
+
     def importances(self):
         """Share of the summed gains per feature, the mean over the classes."""
         import numpy as np
@@ -294,28 +300,36 @@ def search(df: DataFrame, kind: str, grid: dict, folds: int = 5, parallelism: in
     return out.orderBy(F.desc("accuracy"), "setting")
 
 
-def search_boosting(df: DataFrame, grid: dict, folds: int = 5) -> DataFrame:
-    """The same search for the one-against-rest boosting, fold by fold."""
+def search_boosting(df: DataFrame, grid: dict, folds: int = 5, parallelism: int = 2) -> DataFrame:
+    """The same search for the one-against-rest boosting.
+
+    An ensemble's first rounds are the ensemble of fewer rounds, so settings that differ in ``maxIter`` alone share their fits.
+    """
     from itertools import product
+    from multiprocessing.pool import ThreadPool
 
     spark = df.sparkSession
     ready = cut_lineage(stratified_folds(Pipeline(stages=assembler()).fit(df).transform(df), "review_id", folds=folds))
+    rest, rounds = {k: v for k, v in grid.items() if k != "maxIter"}, grid.get("maxIter", [200])
+
+    def fold_scores(job) -> list[float]:
+        p, f = job
+        m = OneVsRestBoosting(max(rounds), p.get("stepSize", 0.1), p.get("maxDepth", 6)).fit(ready.filter(F.col("fold") != f))
+        held = ready.filter(F.col("fold") == f)
+        decided = [m.first(n).transform(held).withColumns(R.argmax_decision(F.col("decision_probs"))) for n in rounds]
+        return [accuracy(d).first()[0] or 0.0 for d in decided]
+
+    settings = [dict(zip(rest, v)) for v in product(*rest.values())]
+    with ThreadPool(parallelism) as pool:
+        each = pool.map(inheritable_thread_target(spark)(fold_scores), [(p, f) for p in settings for f in range(folds)], chunksize=1)
     rows = []
-    names = list(grid)
-    for values in product(*grid.values()):
-        p = dict(zip(names, values))
-        scores = []
-        for f in range(folds):
-            m = OneVsRestBoosting(p.get("maxIter", 200), p.get("stepSize", 0.1), p.get("maxDepth", 6)).fit(
-                ready.filter(F.col("fold") != f)
-            )
-            held = m.transform(ready.filter(F.col("fold") == f)).withColumns(
-                R.argmax_decision(F.col("decision_probs"))
-            )
-            scores.append(accuracy(held).first()[0] or 0.0)
-        mean = sum(scores) / len(scores)
-        spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-        rows.append((", ".join(f"{k}={p[k]}" for k in sorted(p)), float(mean), float(spread)))
+    for i, p in enumerate(settings):
+        for k, n in enumerate(rounds):
+            scores = [s[k] for s in each[i * folds : (i + 1) * folds]]
+            mean = sum(scores) / folds
+            spread = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
+            named = {**p, "maxIter": n} if "maxIter" in grid else p
+            rows.append((", ".join(f"{k}={named[k]}" for k in sorted(named)), float(mean), float(spread)))
     return spark.createDataFrame(rows, "setting string, accuracy double, deviation double").orderBy(
         F.desc("accuracy"), "setting"
     )

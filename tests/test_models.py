@@ -99,3 +99,28 @@ def test_bound_of_a_fit_does_not_bound_the_scored_rows(spark, folder, monkeypatc
     assert rows > 200
     got = {r.is_train: r.n for r in models.split_accuracy(spark, folder, "logistic", maxIter=5).collect()}
     assert fitted == [200] and got == {True: int(0.8 * rows), False: rows - int(0.8 * rows)}
+
+
+def test_grid_search_tries_every_setting(spark, folder, catalog, monkeypatch):
+    from math import prod
+
+    tried = []
+
+    def search(df, kind, grid, folds=5, parallelism=4):
+        tried.append((kind, prod(map(len, grid.values())), folds))
+        return spark.createDataFrame([("x", 0.5, 0.0)], "setting string, accuracy double, deviation double")
+
+    monkeypatch.setattr(M, "search", search)
+    monkeypatch.setattr(M, "search_boosting", lambda df, grid, folds=5: search(df, "boosting", grid, folds))
+    assert catalog.queries["fusion_grid_search"](spark, folder).count() == 3
+    assert tried == [("random_forest", 27, 5), ("boosting", 27, 5), ("neural_network", 12, 5)]
+
+
+def test_boosting_search_shares_the_rounds_of_a_fit(spark, folder):
+    rows = cut_lineage(M.fit_sample(models.fusion_rows(spark, folder), rows=120))
+    grid = {"maxIter": [2, 4], "stepSize": [0.3], "maxDepth": [2]}
+    got = {r.setting: r.accuracy for r in M.search_boosting(rows, grid, folds=2).collect()}
+    for n in grid["maxIter"]:
+        alone = M.search_boosting(rows, {**grid, "maxIter": [n]}, folds=2).first()
+        assert got[alone.setting] == alone.accuracy
+    assert len(got) == 2
