@@ -23,19 +23,29 @@ def stream(spark, folder):
 
 
 PARTS = 4
+FILE_ROWS = 50_000
 
 
 def late_stream(spark, folder):
-    """The events in files by time, the tenth of them that comes late in the last file; one file per micro-batch."""
+    """The events in folders by time, the tenth of them that comes late in the last; one folder per micro-batch.
+
+    Every folder has the same number of files, for the largest part as many as it needs; empty ones fill up a small part.
+    Events without a time are in the first folder.
+    """
     events = P.table(spark, folder, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     ends = events.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    part = F.when(F.col("event_id") % 10 == 0, PARTS).otherwise(F.floor((us - lo) * PARTS / (hi - lo + 1)).cast("int"))
+    part = F.when(F.col("event_id") % 10 == 0, PARTS).otherwise(F.coalesce(F.floor((us - lo) * PARTS / (hi - lo + 1)).cast("int"), F.lit(0)))
     staged = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    most = max((r["count"] for r in events.groupBy(part.alias("part")).count().collect()), default=0)
+    files = max(1, -(-most // FILE_ROWS))
     for i in range(PARTS + 1):
-        events.filter(part == i).coalesce(1).write.mode("append").parquet(staged)
-    rows = J.read_stream(spark, staged, events.schema, files_per_trigger=1)
+        path = f"{staged}/{i}"
+        events.filter(part == i).repartition(files).write.parquet(path)
+        for _ in range(files - len(spark.read.schema(events.schema).parquet(path).inputFiles())):
+            events.limit(0).coalesce(1).write.mode("append").parquet(path)
+    rows = J.read_stream(spark, f"{staged}/*", events.schema, files_per_trigger=files)
     return P.as_reviews(rows, P.table(spark, folder, "documents"), P.table(spark, folder, "labels"))
 
 

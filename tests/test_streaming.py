@@ -63,3 +63,25 @@ def test_progress_restarts(spark, days):
     for _ in range(2):
         J.start_progress(stream(spark, base, df).select("review_id"), f"{out}/rows", f"{out}/check").awaitTermination()
     assert spark.read.parquet(f"{out}/rows").count() == df.count()
+
+
+def test_late_stream_holds_every_event_in_several_files(spark, folder, catalog, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from probity.plans.catalog import streams
+
+    own = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for name in os.listdir(folder):
+        if name != "events.parquet":
+            os.symlink(f"{folder}/{name}", f"{own}/{name}")
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts"))).write.parquet(f"{own}/events.parquet")
+    assert catalog.queries["stream_totals"](spark, own).first().total_processed == events.count()
+
+    want = sorted(map(tuple, catalog.queries["stream_decisions_per_day"](spark, own).collect()))
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    triggers = []
+    read = J.read_stream
+    monkeypatch.setattr(J, "read_stream", lambda *a, **b: triggers.append(b["files_per_trigger"]) or read(*a, **b))
+    assert sorted(map(tuple, catalog.queries["stream_decisions_per_day"](spark, own).collect())) == want
+    assert triggers[0] > 1
