@@ -114,7 +114,7 @@ def _search(batches: Iterable[pa.RecordBatch], items, window: int) -> Iterator[p
         for text, starts, ends, known in zip(c["text"], c["starts"], c["ends"], c["items"]):
             words = words_of(text)
             runs, found = patterns.search(words)
-            runs = merged([*runs, *zip(starts, ends)]) if starts else runs
+            runs = merged([*runs, *map(list, zip(starts, ends))]) if starts else runs
             for col, v in zip(out, (len(words), [r[0] for r in runs], [r[1] for r in runs], sorted({*known, *(i for i in found if i is not None)}))):
                 col.append(v)
         longs = pa.list_(pa.int64())
@@ -124,13 +124,31 @@ def _search(batches: Iterable[pa.RecordBatch], items, window: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays(cols, names=[*before, *FOUND])
 
 
-def item_blocks(benchmark: DataFrame, id_column="item_id", text_column="text", block_words: int = BLOCK_WORDS) -> list[list[tuple]]:
-    """The benchmark in blocks of about ``block_words`` words, the bound of what is sent to every worker at a time."""
+def _pieces(batches: Iterable[pa.RecordBatch], window: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Items cut so that every window of words is whole in one piece; an item below a window is one piece."""
+    for batch in batches:
+        out: list[tuple] = []
+        for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist()):
+            words = words_of(text)
+            for at in range(0, max(1, len(words) - window + 1) if words else 0, size - window + 1):
+                own = words[at : at + size]
+                out.append((item, b" ".join(own).decode("utf-8"), len(own)))
+        cols = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["item", "text", "n"])
+
+
+def item_pieces(benchmark: DataFrame, id_column="item_id", text_column="text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """Pieces of the benchmark's items, each with the number of its ``block``, and the count of blocks of about ``block_words`` words."""
     items = slim(benchmark, item=benchmark[id_column].cast("string"), text=text_column).filter(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / 6 / block_words))
-    at = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    return [[(r.item, r.text) for r in items.filter(at == i).collect()] for i in range(blocks)]
+    size = max(2 * window, block_words // 16)
+    pieces = stored(items.mapInArrow(lambda b: _pieces(b, window, size), "item string, text string, n long"))
+    blocks = max(1, math.ceil((pieces.agg(F.sum("n")).first()[0] or 0) / block_words))
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), blocks
+
+
+def block_items(pieces: DataFrame, block: int) -> list[tuple]:
+    """The pieces of one block, the bound of what the driver holds and every worker gets at a time."""
+    return [(r.item, r.text) for r in pieces.filter(F.col("block") == block).select("item", "text").collect()]
 
 
 def find(
@@ -141,8 +159,8 @@ def find(
 
     Columns to ``keep`` come back as ``keep0``, ``keep1``, ...
 
-    A benchmark larger than a block is searched block by block; between blocks the documents are written once, so a
-    task holds one block only. Null and empty texts have no words; null item texts are no patterns; an item
+    A benchmark larger than a block is searched block by block: a block is collected, sent and searched, and the documents
+    are written once before the next is collected, so the driver and a task hold one block only. Null and empty texts have no words; null item texts are no patterns; an item
     without id marks words but is not listed; repeated items count once, repeated documents each; empty tables give
     empty or unmarked results. Item ids are compared and sorted as strings by code point.
     """
@@ -152,9 +170,13 @@ def find(
     rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column, **own).withColumns(
         {"n_words": F.lit(0).cast("long"), "starts": empty, "ends": empty, "items": F.array().cast("array<string>")}
     )
-    for i, items in enumerate(item_blocks(benchmark, item_id, item_text, block_words)):
-        sent = _Sent(spark.sparkContext.broadcast(items))
-        rows = (stored(rows) if i else rows).mapInArrow(lambda b, s=sent: _search(b, s, window), rows.schema)
+    pieces, blocks = item_pieces(benchmark, item_id, item_text, window, block_words)
+    for i in range(blocks):
+        if i:
+            rows = stored(rows)
+            sent.broadcast.unpersist()
+        sent = _Sent(spark.sparkContext.broadcast(block_items(pieces, i)))
+        rows = rows.mapInArrow(lambda b, s=sent: _search(b, s, window), rows.schema)
     return rows
 
 

@@ -174,3 +174,20 @@ def test_decontaminate_edges_and_blocks(spark, docs):
     assert decontaminate.judged(decontaminate.find(d, b.limit(0))).filter("contaminated or n_items > 0").count() == 0
     assert decontaminate.judged(decontaminate.find(d.limit(0), b)).count() == 0
     assert decontaminate.judged(decontaminate.find(docs, b)).count() == len(ROWS)
+
+
+def test_long_items_are_cut_and_blocks_come_one_at_a_time(spark, monkeypatch):
+    words = [f"w{i}" for i in range(2000)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("é", "Ünder, score!"), ("mid", " ".join(words[500:530]))], "item_id string, text string")
+    texts = [" ".join(words[i : i + 13]) for i in range(0, 1980, 9)] + [" ".join(words[100:112]), "an Ünder SCORE", " ".join(words), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    assert sum(bool(r[4]) for r in want) == len(texts) - 3
+    order = []
+    block, keep = decontaminate.block_items, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "block_items", lambda p, i: order.append(b := block(p, i)) or b)
+    monkeypatch.setattr(decontaminate, "stored", lambda df: order.append("stored") or keep(df))
+    assert sorted(map(tuple, decontaminate.find(docs, bench, block_words=400).collect())) == want
+    # The pieces are stored, then blocks and searched rows take turns.
+    assert len(order) > 10 and all((x == "stored") == (i % 2 == 0) for i, x in enumerate(order))
+    assert max(sum(len(t.split()) for _, t in b) for b in order[1::2]) < 2 * 400
