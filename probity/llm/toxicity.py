@@ -148,6 +148,13 @@ def _entries(words: DataFrame) -> DataFrame:
     return stored(own.union(contexts.select(F.concat(F.lit("c"), "context"), F.col("ratio"))))
 
 
+def _sent(entries: DataFrame) -> Broadcast | None:
+    if entries.count() > SENT_ENTRIES:
+        return None
+    keys, values = (c.to_pylist() for c in entries.toArrow().columns)
+    return entries.sparkSession.sparkContext.broadcast(dict(zip(keys, values)))
+
+
 def _keys(word: str) -> Iterator[str]:
     w = f" {word} "
     for end in range(2, len(w) + 1):
@@ -257,7 +264,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="text", label_column="toxic", label_id="doc_id") -> Model:
-    """Counts from two folds of the labelled rows, the curve from a third; the held-out fold is never read.
+    """The curve from one fold of the labelled rows under the counts of two others, then counts from all three.
+
+    The held-out fold is never read.
 
     Rows without text, id or label teach nothing. With no label of a class the score is 0 or the share of the class.
     """
@@ -269,17 +278,19 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     marks = stored(marks)
     marks = F.broadcast(marks) if marks.count() <= SENT_LABELS else marks
     rows = stored(rows.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label", "fold"))
-    entries = _entries(stored(word_counts(rows.filter(F.col("fold") != CALIBRATION).select("text", "label"))))
-    sent = None
-    if entries.count() <= SENT_ENTRIES:
-        keys, values = (c.to_pylist() for c in entries.toArrow().columns)
-        sent = docs.sparkSession.sparkContext.broadcast(dict(zip(keys, values)))
+    counted = [stored(word_counts(rows.filter(part).select("text", "label"))) for part in (F.col("fold") != CALIBRATION, F.col("fold") == CALIBRATION)]
+    entries = _entries(counted[0])
+    sent = _sent(entries)
     # All rows of the third fold are summed where they are; the bounded choice is among rows of numbers.
     fit = rows.filter(F.col("fold") == CALIBRATION).select("doc_id", (F.col("label") == 1).alias("held_out"), "text")
     sums = _totals(fit, entries, sent)
     found = sums.orderBy(F.xxhash64("doc_id"), *sums.columns).limit(FIT_ROWS).toPandas()
     curve = fit_curve(features(found), found["held_out"].to_numpy(float)) if len(found) else np.array([-5.0, 0.0, 0.0, 0.0])
-    return Model(entries, sent, curve)
+    if sent is not None:
+        sent.unpersist()
+    words = counted[0].union(counted[1]).groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    entries = _entries(stored(words))
+    return Model(entries, _sent(entries), curve)
 
 
 def score(docs: DataFrame, model: Model, id_column="doc_id", text_column="text", threshold: float = THRESHOLD) -> DataFrame:

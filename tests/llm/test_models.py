@@ -217,3 +217,16 @@ def test_toxicity_edges(spark):
     none = toxicity.score(df, toxicity.train(df, labels.limit(0))).collect()
     assert len(none) == len(rows) and not any(r.predicted for r in none)
     assert toxicity.score(df.limit(0), toxicity.train(df, labels)).count() == 0
+
+
+def test_toxicity_counts_every_learnable_fold(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % toxicity.PARTS
+    ids = range(400)
+    text = lambda i: "plain words of a text " + ("idiot" if i % 4 == 0 else "") + (" zqxvarn" if i % 4 == 0 and fold(i) == toxicity.CALIBRATION else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "g zqxva" in model.sent.value and toxicity.WordScores(model.sent.value)["zqxvarn"] > 0
+    asked = spark.createDataFrame([(1, "plain words zqxvarn"), (2, "plain words text")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert score[1] > score[2]
