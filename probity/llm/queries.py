@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probity.llm import decontaminate, language, mixing, neardup, pii, quality, secrets, sql, toxicity, urls, wavelet
+from probity.llm import decontaminate, fim, fingerprint, language, mixing, neardup, pii, quality, runs, secrets, sql, toxicity, urls, wavelet
 from probity.llm.common import ready, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,3 +78,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secret_scan")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents")).drop("findings")
+
+
+@query("op11_periodic_runs", sql.PERIODIC_RUNS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.find(runs.with_periods(table(spark, folder, "documents")))
+    return runs.digest(found)
+
+
+@query("op12_fill_in_middle", sql.FILL_IN_MIDDLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    changed = fim.transform(table(spark, folder, "documents"))
+    restored = fim.restore(changed.withColumn("output_sha256", F.sha2("output", 256)))
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return restored.select(*names, F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.digest(fingerprint.beside_next(table(spark, folder, "documents")))
