@@ -31,11 +31,31 @@ PAIR_SCHEMA = (
 )
 
 
+class Codes(dict):
+    """64-bit hashes of the words seen, at most ``KEPT_WORDS`` of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+def gamma_points(width: int = 16) -> np.ndarray:
+    """Quantiles of Gamma(2, 1) at the middles of ``2 ** width`` equal shares, by Newton steps on its distribution."""
+    share = (np.arange(1 << width) + 0.5) / (1 << width)
+    x = np.sqrt(2 * share) * (1 + share)
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - share) / (x * np.exp(-x)), x / 8)
+    return x.astype(np.float32)
+
+
 class Sampler:
-    """Fingerprints of word sequences. One per Python worker; holds the hashes of words seen (at most ``KEPT_WORDS``)."""
+    """Fingerprints of word sequences. One per Python worker."""
 
     def __init__(self, samples: int = SAMPLES, words: int = WORDS):
-        self.samples, self.words, self.known = samples, words, {}
+        self.samples, self.words, self.codes, self.gamma = samples, words, Codes(), gamma_points()
+        self.factors = mix64(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
         seeds = mix64(np.arange(1, 3 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.seeds = (seeds >> np.uint64(32)).astype(np.uint32).reshape(3, samples, 1)
         self.empty = "0" * (DIGITS * samples)
@@ -43,26 +63,32 @@ class Sampler:
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the distinct terms, ascending, and their counts."""
         words = text.encode("utf-8", "surrogatepass").split()
-        known, codes = self.known, np.zeros(len(words) + self.words - 1, np.uint64)
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        codes[self.words - 1 :] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        term = np.zeros(len(words), np.uint64)
+        n = len(words)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        codes = np.zeros(n + self.words - 1, np.uint64)
+        codes[self.words - 1 :] = np.fromiter(map(self.codes.__getitem__, words), np.uint64, n)
         with np.errstate(over="ignore"):
-            for i in range(self.words):
-                term = mix64(term + np.uint64(i + 1)) + codes[i : i + len(words)]
-        return np.unique(mix64(term), return_counts=True)
+            term = codes[:n] * self.factors[0]
+            for i in range(1, self.words):
+                term += codes[i : i + n] * self.factors[i]
+        term.sort()
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        return term[first], np.diff(first, append=n)
 
     def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, ln c and b of every (sample, term): one 32-bit hash for r, two for c, whose lowest bits make b."""
+        """r, ln c and b of every (sample, term): a 32-bit hash for r and b, two for c."""
         low, high = terms.astype(np.uint32), (terms >> np.uint64(32)).astype(np.uint32)
         x, y, z = (_mix32(part ^ seed) for part, seed in zip((low, high, low ^ (high << np.uint32(1))), self.seeds))
-        r = -np.log(_between(x >> np.uint32(16), 16) * _between(x & np.uint32(0xFFFF), 16))
-        ln_c = np.log(-np.log(_between(y >> np.uint32(9), 23) * _between(z >> np.uint32(9), 23)))
-        b = _between((y & np.uint32(0xFF)) << np.uint32(8) | (z & np.uint32(0xFF)), 16)
+        r = self.gamma.take((x >> np.uint32(16)).view(np.int32), mode="clip")
+        x &= np.uint32(0xFFFF)
+        b = _between(x, 16)
+        y >>= np.uint32(9)
+        z >>= np.uint32(9)
+        ln_c = _between(y, 23)
+        ln_c *= _between(z, 23)
+        for step in (np.log, np.negative, np.log):
+            step(ln_c, out=ln_c)
         return r, ln_c, b
 
     def sample(self, *weighted: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -74,7 +100,9 @@ class Sampler:
         for i in range(0, len(union), TERMS):
             part = union[i : i + TERMS]
             r, ln_c, b = self.draws(part)
-            single = ln_c + r * (b - one)  # the rank of a term of weight 1: its step is 0
+            single = b - one  # the rank of a term of weight 1: its step is 0
+            single *= r
+            single += ln_c
             for k, (terms, counts) in enumerate(weighted):
                 lo, hi = np.searchsorted(terms, part[0]), np.searchsorted(terms, part[-1], side="right")
                 at, count = np.searchsorted(part, terms[lo:hi]), counts[lo:hi]
@@ -94,10 +122,12 @@ class Sampler:
                 won = won[better]
                 best[k][better] = least[better]
                 chosen[k][0, better] = part[won]
-                weight = np.ones(len(part), np.float32)
-                weight[at] = np.log(count)
-                weight[at[count == 1]] = 0
-                chosen[k][1, better] = np.floor(weight[won] / r[better, won] + b[better, won]).astype(np.int64).view(np.uint64)
+                if len(many):
+                    times = np.zeros(len(part), np.float32)
+                    times[at] = np.log(count)
+                    chosen[k][1, better] = np.floor(times[won] / r[better, won] + b[better, won]).astype(np.int64).view(np.uint64)
+                else:
+                    chosen[k][1, better] = 0
         with np.errstate(over="ignore"):
             return [(mix64(c[0] + c[1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype(">u2") for c in chosen]
 
