@@ -168,6 +168,7 @@ COLUMN_ALIASES = {
 
 # Labelling texts.
 LABEL_BATCH = 8
+PROMPT_REVIEW_CHARS = 1000
 PROMPT_HEAD = """Sort each customer review below into one class:
 genuine_positive (a real visit, praised), genuine_negative (a real visit, criticised with reasons), spam (made up or generic filler),
 advertisement (promotes something), irrelevant (about something else), fake_rant (rage without substance),

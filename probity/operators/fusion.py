@@ -23,7 +23,7 @@ from probity.functions import risk as R
 from probity.functions.vectors import lookup
 from probity.operators import boosting
 from probity.operators.anomaly import filled, standardise
-from probity.operators.ordered import global_row_number
+from probity.operators.ordered import global_row_number, smallest
 from probity.session import cut_lineage
 
 
@@ -97,7 +97,7 @@ def _stable_unit(row_key: str, seed: int = 11) -> Column:
 
 def fit_sample(df: DataFrame, row_key: str = "review_id", rows: int = FIT_ROWS) -> DataFrame:
     """The labelled rows that a model is fitted on: at most ``rows``, those with the smallest hash."""
-    return df.orderBy(F.xxhash64(row_key, F.lit(3)), row_key).limit(rows)
+    return smallest(df, F.xxhash64(row_key, F.lit(3)), row_key, rows)
 
 
 def stratified_folds(df: DataFrame, row_key: str, label: str = "code", folds: int = 5, out: str = "fold") -> DataFrame:

@@ -30,8 +30,8 @@ def in_batches(df: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id",
     ).drop("_rn")
 
 
-def prompts(batches: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
-    """One prompt per batch. A batch holds at most its eight reviews, each whole unless a ``limit`` of characters is given."""
+def prompts(batches: DataFrame, text: str = "text", limit: int | None = K.PROMPT_REVIEW_CHARS) -> DataFrame:
+    """One prompt per batch of at most eight reviews, each cut after ``limit`` characters with ``...``; whole with ``limit=None``."""
     body = F.col(text) if limit is None else cut(F.col(text), limit)
     shown = F.concat(
         F.lit("\n"), (F.col("pos") + 1).cast("string"), F.lit('. "'), body, F.lit('"\n')

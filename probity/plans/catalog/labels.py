@@ -69,20 +69,25 @@ def register(catalog):
 
     head, tail = K.PROMPT_HEAD.replace("'", "''"), K.PROMPT_TAIL.replace("'", "''")
 
-    @add(
-        "label_prompts",
-        "L2",
-        sql(
+    def prompt_sql(shown):
+        return sql(
             "reviews",
             f"""SELECT batch_id, count(*) AS expected, md5('{head}' || string_agg(chr(10) || CAST(pos + 1 AS VARCHAR) || '. "' ||
-            text || '"' || chr(10), '' ORDER BY pos) || '{tail}') AS prompt_digest
+            {shown} || '"' || chr(10), '' ORDER BY pos) || '{tail}') AS prompt_digest
             FROM batched GROUP BY batch_id""",
             BATCHED,
-        ),
-    )
+        )
+
+    def digests(prompts):
+        return prompts.select("batch_id", "expected", F.md5("prompt").alias("prompt_digest"))
+
+    @add("label_prompts", "L2", prompt_sql("CASE WHEN length(text) > 1000 THEN substr(text, 1, 1000) || '...' ELSE text END"))
+    def _(spark, folder):
+        return digests(L.prompts(L.in_batches(P.reviews(spark, folder))))
+
+    @add("label_prompts_whole_texts", "L2", prompt_sql("text"))
     def _(spark, folder):
-        out = L.prompts(L.in_batches(P.reviews(spark, folder)))
-        return out.select("batch_id", "expected", F.md5("prompt").alias("prompt_digest"))
+        return digests(L.prompts(L.in_batches(P.reviews(spark, folder)), limit=None))
 
     @add(
         "labelled_rows",

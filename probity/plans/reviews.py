@@ -171,15 +171,20 @@ def feature_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled reviews with the prediction from the logits and the score."""
+    """Labelled reviews with the prediction from the logits and the score, stored once without the text.
+
+    Evaluation explodes, filters and counts these rows; conditions on them would otherwise be pushed down to the text rules, with
+    the softmax and its term scans repeated for each.
+    """
     df = with_logits(spark, folder).filter("text IS NOT NULL AND label IS NOT NULL")
-    return df.select(
+    df = df.select(
         "review_id", "category", "language", "published_at", "stars", "probs", "p_bad", "enhanced_prob", "relevancy",
         "is_relevant", "text_confidence", F.col("text_prediction").alias("prediction"), F.col("label").alias("truth"),
         F.col("p_bad").alias("score"),
         is_bad(F.col("label")).alias("y"),
         is_bad(F.col("text_prediction")).alias("yhat"),
     )
+    return cut_lineage(df)
 
 
 def rule_judged(spark: SparkSession, folder: str) -> DataFrame:

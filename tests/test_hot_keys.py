@@ -117,3 +117,19 @@ def test_rows_without_a_key_have_no_history(spark):
     df = spark.createDataFrame(rows, "review_id long, reviewer_id string, published_at timestamp, stars double")
     out = W.rolling_stars(W.days_since_previous(df), ).collect()
     assert all(r.days_since_last_review is None and r.rolling_7d_review_count == 0 for r in out)
+
+
+def test_smallest_hashes(spark):
+    from probity.operators.ordered import smallest
+
+    df = spark.range(0, 40_000, numPartitions=64).withColumnRenamed("id", "review_id")
+    code = F.xxhash64("review_id", F.lit(3))
+    want = [r[0] for r in df.orderBy(code, "review_id").limit(500).collect()]
+    found = smallest(df, code, "review_id", 500)
+    assert [r[0] for r in found.collect()] == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan  # rows above the bound go before the order
+    assert smallest(df.limit(0), code, "review_id", 5).count() == 0
+    assert smallest(df.filter("review_id < 7"), code, "review_id", 500).count() == 7
+    one = df.withColumn("review_id", F.lit(1).cast("long"))  # all rows share a hash
+    assert smallest(one, code, "review_id", 500).count() == 500
