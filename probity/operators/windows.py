@@ -46,6 +46,17 @@ def rolling_names(days: int) -> list[str]:
     ]
 
 
+STAR_DECIMALS = 6
+LIMB = 32
+
+
+def _spread(n: Column, s1: Column, high: Column, low: Column) -> Column:
+    """n times the sum of squared deviations, n * s2 - s1 * s1, taken without rounding; s2 comes in two limbs."""
+    s2 = high.cast("decimal(19,0)") * F.lit(2**LIMB).cast("decimal(10,0)") + low.cast("decimal(19,0)")
+    exact = n.cast("decimal(12,0)") * s2.cast("decimal(30,0)") - s1.cast("decimal(19,0)") * s1.cast("decimal(19,0)")
+    return exact.cast("double") / 10 ** (2 * STAR_DECIMALS)
+
+
 def rolling_stars(
     df: DataFrame,
     key: str = "reviewer_id",
@@ -57,15 +68,18 @@ def rolling_stars(
     """Past-only rolling statistics in [t - w, t): mean, count, sample deviation and review count.
 
     Instants are pre-aggregated, and the sum over a span is the difference of two running sums, so a dense key costs no
-    more per row than a sparse one. Rows without a time or a key get count 0 and NULL statistics.
+    more per row than a sparse one. The sums are integers: stars are read to ``STAR_DECIMALS`` decimals, and squares are
+    summed as two limbs of 32 bits. Integers leave nothing behind when they cancel, so a span's deviation is exact however many rows of
+    the key came before it. Rows without a time or a key get count 0 and NULL statistics. Stars beyond 3000 are an error (overflow).
     """
     part = df.withColumn("_us", micros(F.col(ts)))
-    s = F.col(stars)
+    s = F.round(F.col(stars) * 10**STAR_DECIMALS).cast("long")
     sums = {
         "c": F.count(F.lit(1)),
         "n": F.count(s),
-        "s1": F.coalesce(F.sum(s), F.lit(0.0)),
-        "s2": F.coalesce(F.sum(s * s), F.lit(0.0)),
+        "s1": F.coalesce(F.sum(s), F.lit(0).cast("long")),
+        "high": F.coalesce(F.sum(F.shiftright(s * s, LIMB)), F.lit(0).cast("long")),
+        "low": F.coalesce(F.sum((s * s).bitwiseAND(F.lit(2**LIMB - 1))), F.lit(0).cast("long")),
     }
     moments = part.filter(F.col("_us").isNotNull() & F.col(key).isNotNull()).groupBy(key, "_us").agg(
         *[c.alias(n) for n, c in sums.items()]
@@ -77,7 +91,7 @@ def rolling_stars(
         F.struct(
             (F.col("_us") - d * DAY_MICROS).alias("pos"),
             F.lit(d).alias("span"),
-            *[F.lit(0).cast("long" if n in ("c", "n") else "double").alias(n) for n in sums],
+            *[F.lit(0).cast("long").alias(n) for n in sums],
         )
         for d in days
     ]
@@ -110,13 +124,12 @@ def rolling_stars(
     )
     stats: list[Column] = []
     for d in days:
-        c, n, s1, s2 = (F.col(f"_{x}_0") - F.col(f"_{x}_{d}") for x in ("c", "n", "s1", "s2"))
+        c, n, s1, high, low = (F.col(f"_{x}_0") - F.col(f"_{x}_{d}") for x in sums)
         mean, count, std, reviews = rolling_names(d)
-        spread = F.greatest(s2 - s1 * s1 / n, F.lit(0.0))
         stats += [
-            F.when(n > 0, s1 / n).alias(mean),
+            F.when(n > 0, s1 / n / 10**STAR_DECIMALS).alias(mean),
             n.alias(count),
-            F.when(n > 1, F.sqrt(spread / (n - 1))).alias(std),
+            F.when(n > 1, F.sqrt(_spread(n, s1, high, low) / (n.cast("double") * (n - 1)))).alias(std),
             c.alias(reviews),
         ]
     at = at.select(key, "_us", *stats)

@@ -9,6 +9,7 @@ from probity.constants import CATEGORY_TERMS, DECISIONS, OFF_TOPIC_TERMS, PRAISE
 from probity.functions import risk as R
 from probity.functions import text as X
 from probity.operators import calibration as C
+from probity.operators import collusion as N
 from probity.operators import monitoring as M
 from probity.operators import routing as B
 from probity.operators import signals as G
@@ -156,6 +157,21 @@ def register(catalog):
     def _(spark, folder):
         return r6(G.coordination_scores(P.reviews(spark, folder)), ["coordination"])
 
+    @add(
+        "collusion_score",
+        "D10",
+        sql(
+            "reviews",
+            """SELECT reviewer_id, coalesce(partners, 0) AS partners, businesses, round(coalesce(partners, 0) / businesses::DOUBLE, 6) AS collusion FROM
+            (SELECT reviewer_id, count(DISTINCT place_id) AS businesses FROM own GROUP BY reviewer_id) LEFT JOIN
+            (SELECT reviewer_id, count(*) AS partners FROM (SELECT a.reviewer_id, b.reviewer_id AS other FROM own a JOIN own b USING (place_id, stars)
+              WHERE a.reviewer_id <> b.reviewer_id GROUP BY 1, 2 HAVING count(DISTINCT a.place_id) >= 2) GROUP BY reviewer_id) USING (reviewer_id)""",
+            "own AS (SELECT DISTINCT reviewer_id, place_id, stars FROM reviews WHERE reviewer_id IS NOT NULL AND place_id IS NOT NULL AND stars IS NOT NULL)",
+        ),
+    )
+    def _(spark, folder):
+        return r6(N.partner_counts(P.reviews(spark, folder)), ["collusion"])
+
     @add("budgeted_routing", "D11", sql("judged", "SELECT review_id, band, priority, action FROM routed", routed_sql("false")))
     def _(spark, folder):
         return B.budgeted(routing_input(spark, folder), budget=0.05).select("review_id", "band", "priority", "action")

@@ -133,3 +133,26 @@ def test_smallest_hashes(spark):
     assert smallest(df.filter("review_id < 7"), code, "review_id", 500).count() == 7
     one = df.withColumn("review_id", F.lit(1).cast("long"))  # all rows share a hash
     assert smallest(one, code, "review_id", 500).count() == 500
+
+
+def test_rolling_deviation_is_exact_behind_many_rows(spark):
+    """Fractional stars of a hot key: equal to a two-pass deviation, and exactly 0 where all stars of the span are equal."""
+    import statistics
+
+    start = datetime(2020, 1, 1)
+    early = spark.range(0, 2_000_000, numPartitions=16).select(
+        F.col("id").alias("review_id"), F.lit(1).alias("reviewer_id"), F.timestamp_micros(F.col("id") * 40_000_000 + 1_000_000_000_000_000).alias("published_at"),
+        (F.col("id") % 50 / 10).alias("stars"),
+    )
+    rows = [(10_000_000 + i, 1, start + timedelta(hours=7 * i), [4.3, 4.35, 1.1, 2.7][i % 4] if i < 60 else 4.3) for i in range(200)]
+    late = spark.createDataFrame(rows, "review_id long, reviewer_id int, published_at timestamp, stars double")
+    found = W.rolling_stars(early.unionByName(late), days=(7,)).filter("review_id >= 10000000").collect()
+    assert len(found) == 200
+    for r in found:
+        own = [s for i, (_, _, t, s) in enumerate(rows) if r.published_at - timedelta(days=7) <= t < r.published_at]
+        assert r.rolling_7d_stars_count == len(own)
+        if len(own) > 1:
+            assert abs(r.rolling_7d_stars_std - statistics.stdev(own)) < 1e-9
+            assert len(set(own)) > 1 or r.rolling_7d_stars_std == 0.0
+        if own:
+            assert abs(r.rolling_7d_stars_mean - statistics.fmean(own)) < 1e-9
