@@ -14,6 +14,7 @@ from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
 from probity.session import checkpoint_dir
 from probity.streaming import jobs as J
+from probity.streaming import rings as R
 
 
 def stream(spark, folder):
@@ -120,3 +121,24 @@ def register(catalog):
         return out.select(
             F.to_date("start").cast("string").alias("first_day"), "reviewer_id", "reviews", F.round("stars_mean", 6).alias("stars_mean")
         )
+
+    def span_sql(days):
+        return f"""CAST(sum(reviews) OVER span{days} AS BIGINT) AS reviews_{days}d, round(sum(stars) OVER span{days} / nullif(sum(rated) OVER span{days}, 0), 6) AS stars_mean_{days}d"""
+
+    @add(
+        "stream_rolling_reviewer_days",
+        "X4",
+        sql(
+            "reviews",
+            f"""SELECT CAST(day AS VARCHAR) AS day, reviewer_id, {span_sql(7)}, {span_sql(30)} FROM days
+            WINDOW span7 AS (PARTITION BY reviewer_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW),
+            span30 AS (PARTITION BY reviewer_id ORDER BY day RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)""",
+            on_time("kept", "reviews", "CAST(CAST(x.published_at AS DATE) + INTERVAL 1 DAY AS TIMESTAMP)"),
+            """days AS (SELECT reviewer_id, CAST(published_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS reviews, count(stars) AS rated, sum(stars) AS stars
+            FROM kept WHERE reviewer_id IS NOT NULL GROUP BY 1, 2)""",
+        ),
+    )
+    def _(spark, folder):
+        out = J.run_to_table(R.rolling_reviewer_days(late_stream(spark, folder)))
+        means = [f"stars_mean_{d}d" for d in R.SPANS]
+        return out.withColumn("day", F.date_from_unix_date(F.col("day").cast("int")).cast("string")).withColumns({m: F.round(m, 6) for m in means})
