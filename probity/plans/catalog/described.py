@@ -119,7 +119,20 @@ def register(catalog):
         df = P.judged(spark, folder).select("review_id", "score")
         return C.quantile_map(df, "score").select("review_id", "score", F.round("percentile", 6).alias("percentile"))
 
-    @add("isotonic_calibration", "D7")
+    @add(
+        "isotonic_calibration",
+        "D7",
+        sql(
+            "judged",
+            """SELECT review_id, score, round(p, 6) AS p_isotonic FROM judged JOIN
+            (SELECT i, max(least_mean) AS p FROM (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS least_mean FROM means) GROUP BY i)
+            ON i = (SELECT r.n FROM ranks r WHERE r.score = judged.score)""",
+            """steps AS (SELECT score, row_number() OVER (ORDER BY score) AS n, count(*) AS w, sum(y)::DOUBLE AS s FROM judged GROUP BY score),
+            ranks AS (SELECT score, n FROM steps),
+            sums AS (SELECT n, sum(w) OVER (ORDER BY n) AS cw, sum(s) OVER (ORDER BY n) AS cs, w, s FROM steps),
+            means AS (SELECT a.n AS j, b.n AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM sums a JOIN sums b ON b.n >= a.n)""",
+        ),
+    )
     def _(spark, folder):
         df = P.judged(spark, folder).select("review_id", "score", "y")
         return C.isotonic(df, "score", "y").select("review_id", "score", F.round("p_isotonic", 6).alias("p_isotonic"))
