@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from probity.constants import DECISIONS, FUSION_FEATURES
 from probity.functions import risk as R
 from probity.functions.vectors import lookup
-from probity.operators import boosting
+from probity.operators import boosting, gridsearch
 from probity.operators.anomaly import filled, standardise
 from probity.operators.ordered import global_row_number, smallest
 from probity.session import cut_lineage
@@ -277,62 +276,13 @@ def cross_validate(df: DataFrame, estimator, grid=None, folds: int = 5, parallel
     ).fit(cut_lineage(stratified_folds(df, "review_id", label, folds)))
 
 
-def search(df: DataFrame, kind: str, grid: dict, folds: int = 5, parallelism: int = 4) -> DataFrame:
-    """Mean accuracy of every setting of a grid, best first."""
-    spark = df.sparkSession
-    ready = Pipeline(stages=assembler()).fit(df).transform(df)
-    estimator = make_classifier(kind)
-    build = ParamGridBuilder()
-    for name, values in grid.items():
-        if name == "hidden":
-            sizes = [[len(FEATURE_COLUMNS), *h, len(DECISIONS)] for h in values]
-            build = build.addGrid(estimator.layers, sizes)
-            estimator.setSolver("gd")
-        else:
-            build = build.addGrid(estimator.getParam(name), values)
-    maps = build.build()
-    fitted = cross_validate(ready, estimator, maps, folds, parallelism)
-    rows = [
-        (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(a), float(s))
-        for m, a, s in zip(maps, fitted.avgMetrics, fitted.stdMetrics)
-    ]
-    out = spark.createDataFrame(rows, "setting string, accuracy double, deviation double")
-    return out.orderBy(F.desc("accuracy"), "setting")
-
+def search(df: DataFrame, grids: dict[str, dict] | None = None, folds: int = 5) -> DataFrame:
+    """Every setting of every family in ``grids`` (all of ``GRIDS``) on stratified folds of at most ``FIT_ROWS`` rows, in one job.
 
-def search_boosting(df: DataFrame, grid: dict, folds: int = 5, parallelism: int = 2) -> DataFrame:
-    """The same search for the one-against-rest boosting.
-
-    An ensemble's first rounds are the ensemble of fewer rounds, so settings that differ in ``maxIter`` alone share their fits.
+    Accuracies are those of the bounded rows, each held out once.
     """
-    from itertools import product
-    from multiprocessing.pool import ThreadPool
-
-    spark = df.sparkSession
-    ready = cut_lineage(stratified_folds(Pipeline(stages=assembler()).fit(df).transform(df), "review_id", folds=folds))
-    rest, rounds = {k: v for k, v in grid.items() if k != "maxIter"}, grid.get("maxIter", [200])
-
-    def fold_scores(job) -> list[float]:
-        p, f = job
-        m = OneVsRestBoosting(max(rounds), p.get("stepSize", 0.1), p.get("maxDepth", 6)).fit(ready.filter(F.col("fold") != f))
-        held = ready.filter(F.col("fold") == f)
-        decided = [m.first(n).transform(held).withColumns(R.argmax_decision(F.col("decision_probs"))) for n in rounds]
-        return [accuracy(d).first()[0] or 0.0 for d in decided]
-
-    settings = [dict(zip(rest, v)) for v in product(*rest.values())]
-    with ThreadPool(parallelism) as pool:
-        each = pool.map(inheritable_thread_target(spark)(fold_scores), [(p, f) for p in settings for f in range(folds)], chunksize=1)
-    rows = []
-    for i, p in enumerate(settings):
-        for k, n in enumerate(rounds):
-            scores = [s[k] for s in each[i * folds : (i + 1) * folds]]
-            mean = sum(scores) / folds
-            spread = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
-            named = {**p, "maxIter": n} if "maxIter" in grid else p
-            rows.append((", ".join(f"{k}={named[k]}" for k in sorted(named)), float(mean), float(spread)))
-    return spark.createDataFrame(rows, "setting string, accuracy double, deviation double").orderBy(
-        F.desc("accuracy"), "setting"
-    )
+    rows = cut_lineage(stratified_folds(fit_sample(df), "review_id", folds=folds))
+    return gridsearch.grid_search(rows, grids or GRIDS, list(FEATURE_COLUMNS), "code", len(DECISIONS), folds)
 
 
 def population_scaled(df: DataFrame) -> DataFrame:

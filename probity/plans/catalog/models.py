@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.constants import DECISION_CLASS_WEIGHTS
@@ -98,11 +95,7 @@ def register(catalog):
 
     @add("fusion_grid_search", "F10")
     def _(spark, folder):
-        rows, out = fit_rows(fusion_rows(spark, folder)), []
-        for kind, grid in M.GRIDS.items():
-            found = M.search_boosting(rows, grid) if kind == "boosting" else M.search(rows, kind, grid)
-            out.append(found.select(F.lit(kind).alias("kind"), "setting", "accuracy", "deviation"))
-        return reduce(DataFrame.union, out).orderBy(F.desc("accuracy"), "kind", "setting")
+        return M.search(fusion_rows(spark, folder))
 
     @add("fusion_importances", "F11")
     def _(spark, folder):

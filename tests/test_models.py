@@ -1,5 +1,6 @@
 import random
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from probity.operators import anomaly as A
 from probity.operators import fusion as M
+from probity.operators import gridsearch as G
 from probity.operators import iforest as I
 from probity.operators import textmodel as T
 from probity.plans.catalog import models
@@ -101,26 +103,66 @@ def test_bound_of_a_fit_does_not_bound_the_scored_rows(spark, folder, monkeypatc
     assert fitted == [200] and got == {True: int(0.8 * rows), False: rows - int(0.8 * rows)}
 
 
-def test_grid_search_tries_every_setting(spark, folder, catalog, monkeypatch):
-    from math import prod
+def test_grid_search_tries_every_setting(spark, folder):
+    rows = models.fusion_rows(spark, folder)
+    small = {
+        "random_forest": {"numTrees": [2, 3, 4], "maxDepth": [1, 2, 3], "minInstancesPerNode": [2, 5, 10]},
+        "boosting": {"maxIter": [1, 2, 3], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [1, 2, 3]},
+        "neural_network": {"hidden": [(2,), (3,), (3, 2), (4, 2)], "stepSize": [0.001, 0.01, 0.1]},
+    }
+    assert {k: {n: len(v) for n, v in g.items()} for k, g in small.items()} == {k: {n: len(v) for n, v in g.items()} for k, g in M.GRIDS.items()}
+    found = M.search(rows, small).collect()
+    assert Counter(r.kind for r in found) == {"random_forest": 27, "boosting": 27, "neural_network": 12}
+    assert len({(r.kind, r.setting) for r in found}) == 66 and all(0 <= r.accuracy <= 1 and r.deviation >= 0 for r in found)
+    assert found == M.search(rows, small).collect()  # reruns agree
+    assert len(G.jobs_of(M.GRIDS, 5)) == 5 * (3 + 9 + 12)
 
-    tried = []
 
-    def search(df, kind, grid, folds=5, parallelism=4):
-        tried.append((kind, prod(map(len, grid.values())), folds))
-        return spark.createDataFrame([("x", 0.5, 0.0)], "setting string, accuracy double, deviation double")
-
-    monkeypatch.setattr(M, "search", search)
-    monkeypatch.setattr(M, "search_boosting", lambda df, grid, folds=5: search(df, "boosting", grid, folds))
-    assert catalog.queries["fusion_grid_search"](spark, folder).count() == 3
-    assert tried == [("random_forest", 27, 5), ("boosting", 27, 5), ("neural_network", 12, 5)]
-
-
-def test_boosting_search_shares_the_rounds_of_a_fit(spark, folder):
-    rows = cut_lineage(M.fit_sample(models.fusion_rows(spark, folder), rows=120))
-    grid = {"maxIter": [2, 4], "stepSize": [0.3], "maxDepth": [2]}
-    got = {r.setting: r.accuracy for r in M.search_boosting(rows, grid, folds=2).collect()}
-    for n in grid["maxIter"]:
-        alone = M.search_boosting(rows, {**grid, "maxIter": [n]}, folds=2).first()
-        assert got[alone.setting] == alone.accuracy
-    assert len(got) == 2
+@pytest.fixture(scope="module")
+def numbers():
+    draw = np.random.default_rng(8)
+    x = np.round(draw.random((600, 6)), 2)
+    y = (x[:, 0] > 0.5).astype(int) + 2 * ((x[:, 1] + 0.2 * draw.random(600)) > 0.7)
+    return x, G.binned(x), y
+
+
+def test_settings_that_share_a_fit(numbers):
+    _, codes, y = numbers
+    train, test = (codes[:400], y[:400]), (codes[400:], y[400:])
+    shared = G.boosting_scores(train, test, 4, [2, 5, 9], 0.3, 3)
+    assert all(G.boosting_scores(train, test, 4, [n], 0.3, 3) == {n: a} for n, a in shared.items()) and shared[9] > 0.8
+    forest = G.forest_scores(train, test, 4, [3, 8], [1, 3, 7], 2, seed=1)
+    assert all(G.forest_scores(train, test, 4, [n], [d], 2, seed=1) == {(n, d): a} for (n, d), a in forest.items()) and forest[8, 7] > 0.8
+
+
+def test_tree_with_subtracted_histograms_equals_plain_search(numbers):
+    """Every split of a tree has the best gain that counting the node's own rows anew finds."""
+    _, codes, y = numbers
+    grad, hess = (y == 1) - 0.3, np.full(len(y), 0.21)
+    levels, step = G.boosted_tree(codes + np.arange(6) * G.BINS, codes, grad, hess, 4)
+    nodes = [np.arange(len(y))]
+    for feature, split, value, child in levels:
+        below = {}
+        for i, rows in enumerate(nodes):
+            g, h = grad[rows].sum(), hess[rows].sum()
+            assert value[i] == pytest.approx(g / (h + G.SHRINK))
+            gains = {}
+            for f in range(6):
+                for c in range(G.BINS):
+                    left = rows[codes[rows, f] <= c]
+                    if 0 < len(left) < len(rows):
+                        gl, hl = grad[left].sum(), hess[left].sum()
+                        gains[f, c] = gl**2 / (hl + G.SHRINK) + (g - gl) ** 2 / (h - hl + G.SHRINK) - g**2 / (h + G.SHRINK)
+            if feature[i] >= 0:
+                assert gains[feature[i], split[i]] == pytest.approx(max(gains.values()))
+                right = codes[rows, feature[i]] > split[i]
+                below[child[i]], below[child[i] + 1] = rows[~right], rows[right]
+            else:
+                assert child is None or max(gains.values(), default=0) <= 1e-6
+                assert step[rows] == pytest.approx(value[i])
+        nodes = [below[k] for k in sorted(below)]
+
+
+def test_network_learns(numbers):
+    x, _, y = numbers
+    assert G.network_score((x[:400], y[:400]), (x[400:], y[400:]), 4, (20,), 0.01, seed=3) > 0.8
