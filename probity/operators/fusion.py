@@ -96,7 +96,7 @@ def _stable_unit(row_key: str, seed: int = 11) -> Column:
 
 def fit_sample(df: DataFrame, row_key: str = "review_id", rows: int = FIT_ROWS) -> DataFrame:
     """The labelled rows that a model is fitted on: at most ``rows``, those with the smallest hash."""
-    return smallest(df, F.xxhash64(row_key, F.lit(3)), row_key, rows)
+    return smallest(df, F.xxhash64(row_key, F.lit(3)), rows, row_key)
 
 
 def stratified_folds(df: DataFrame, row_key: str, label: str = "code", folds: int = 5, out: str = "fold") -> DataFrame:

@@ -101,21 +101,21 @@ def global_row_number(
     )
 
 
-def smallest(df: DataFrame, code: Column, tie: str, rows: int) -> DataFrame:
-    """The ``rows`` rows with the smallest 64-bit hash ``code`` (ties by column), for a ``rows`` that one task can order.
+def smallest(df: DataFrame, code: Column, rows: int, *ties: str) -> DataFrame:
+    """The ``rows`` rows with the smallest 64-bit hash ``code`` (then by ``ties``), for a ``rows`` that one task can order.
 
     The hash is spread evenly, so the share of rows wanted is the share of its range that holds them. Rows above that bound go before
     anything is ordered: about ``5 / 4 * rows`` reach the ordering task, however many rows and partitions there are. The bound is
-    widened until it holds enough rows. Rows with equal ``tie`` share a hash and pass or go together.
+    widened until it holds enough rows. Rows that share a hash pass or go together.
     """
     total = df.count()
     share = (1.25 * rows + 100) / max(total, 1)
     while share < 1:
         near = df.filter(code <= F.lit(int(share * 2**64) - 2**63))
         if near.count() >= rows:
-            return near.orderBy(code, tie).limit(rows)
+            return near.orderBy(code, *ties).limit(rows)
         share *= 2
-    return df.orderBy(code, tie).limit(rows)
+    return df.orderBy(code, *ties).limit(rows)
 
 
 def collapse(df: DataFrame, value: str, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:

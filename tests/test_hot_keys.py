@@ -125,14 +125,14 @@ def test_smallest_hashes(spark):
     df = spark.range(0, 40_000, numPartitions=64).withColumnRenamed("id", "review_id")
     code = F.xxhash64("review_id", F.lit(3))
     want = [r[0] for r in df.orderBy(code, "review_id").limit(500).collect()]
-    found = smallest(df, code, "review_id", 500)
+    found = smallest(df, code, 500, "review_id")
     assert [r[0] for r in found.collect()] == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan  # rows above the bound go before the order
-    assert smallest(df.limit(0), code, "review_id", 5).count() == 0
-    assert smallest(df.filter("review_id < 7"), code, "review_id", 500).count() == 7
+    assert smallest(df.limit(0), code, 5, "review_id").count() == 0
+    assert smallest(df.filter("review_id < 7"), code, 500, "review_id").count() == 7
     one = df.withColumn("review_id", F.lit(1).cast("long"))  # all rows share a hash
-    assert smallest(one, code, "review_id", 500).count() == 500
+    assert smallest(one, code, 500, "review_id").count() == 500
 
 
 def test_rolling_deviation_is_exact_behind_many_rows(spark):
