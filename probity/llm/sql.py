@@ -12,7 +12,7 @@ def _quoted(s: str) -> str:
 
 
 def _pattern(rule: str) -> str:
-    body, head = (rule[2:], r"^(?:[^/]*\.)?") if rule.startswith("||") else (rule, "")
+    body, head = (rule[2:], r"^(?:[^/?#]*\.)?") if rule.startswith("||") else (rule, "")
     parts = {"*": ".*", "^": "(?:[^a-zA-Z0-9_.%-]|$)"}
     return "(?is)" + head + "".join(parts.get(c, "\\" + c if c in ".+?$(){}[]|\\" else c) for c in body)
 

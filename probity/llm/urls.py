@@ -52,7 +52,7 @@ def _compiled(rules: DataFrame) -> DataFrame:
     plain = F.regexp_replace(body, r"([\\.+?$(){}\[\]|])", r"\\$1")
     plain = F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit("(?:[^a-z0-9_.%-]|$)"))
     # Host rules keep the case of the path; the others ignore it.
-    head = F.when(anchored, F.lit(r"(?s)^(?:[^/]*\.)?")).otherwise(F.lit("(?s)"))
+    head = F.when(anchored, F.lit(r"(?s)^(?:[^/?#]*\.)?")).otherwise(F.lit("(?s)"))
     regex = F.concat(F.when(F.col("is_host"), F.lit("")).otherwise(F.lit("(?i)")), head, plain)
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?<=[^a-z0-9*])[a-z0-9]++(?=[^a-z0-9*])"), F.lit(0))
     return rules.withColumns({"regex": regex, "tokens": F.array_distinct(tokens)})

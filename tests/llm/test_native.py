@@ -232,3 +232,12 @@ def test_added_kinds(spark):
     assert kinds == [["iban"], [], ["iban"], ["ssn"], []]
     s = got[0].spans[0]
     assert texts[0][s.start : s.end] == s.value == "DE89 3704 0044 0532 0130 00" and s.score == 1.0
+
+
+def test_anchored_rule_stays_on_the_host(spark):
+    """A rule for a domain does not fit a query or fragment that names it."""
+    rules = spark.createDataFrame([("||ads.co^", "block", False)], "rule string, verdict string, is_host boolean")
+    rows = ["http://x.ads.co/", "http://a.com?u=x.ads.co", "http://a.com#x.ads.co", "http://ads.co?q", "http://a.com/x.ads.co/", "http://bads.co/"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: r.pattern for r in urls.judge(pages, rules).collect()}
+    assert got == {0: "||ads.co^", 1: None, 2: None, 3: "||ads.co^", 4: None, 5: None}
