@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.common import ready, slim, stored
@@ -159,8 +160,9 @@ def find(
 
     Columns to ``keep`` come back as ``keep0``, ``keep1``, ...
 
-    A benchmark larger than a block is searched block by block: a block is collected, sent and searched, and the documents
-    are written once before the next is collected, so the driver and a task hold one block only. Null and empty texts have no words; null item texts are no patterns; an item
+    A benchmark larger than a block is searched block by block: a block is collected, sent and searched, and only what it finds is
+    written (two hashes of the text, word runs, items), so the driver and a task hold one block only, and the documents are never written. What
+    all blocks found joins the documents once at the end. Null and empty texts have no words; null item texts are no patterns; an item
     without id marks words but is not listed; repeated items count once, repeated documents each; empty tables give
     empty or unmarked results. Item ids are compared and sorted as strings by code point.
     """
@@ -168,16 +170,40 @@ def find(
     empty = F.array().cast("array<long>")
     own = {f"keep{i}": c for i, c in enumerate(keep)}
     rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column, **own).withColumns(
-        {"n_words": F.lit(0).cast("long"), "starts": empty, "ends": empty, "items": F.array().cast("array<string>")}
+        {"n_words": F.lit(0).cast("long"), "starts": empty, "ends": empty, "items": _no_items()}
     )
     pieces, blocks = item_pieces(benchmark, item_id, item_text, window, block_words)
+    if blocks > 1:
+        rows = rows.drop("starts", "ends", "items").join(found_by_block(rows, pieces, blocks, window), text_keys(F.col("text")), "left")
+        rows = rows.select("doc_id", "text", *own, "n_words", *(F.coalesce(c, d).alias(c) for c, d in (("starts", empty), ("ends", empty), ("items", _no_items()))))
+    sent = _Sent(spark.sparkContext.broadcast(block_items(pieces, 0) if blocks == 1 else []))
+    return rows.mapInArrow(lambda b: _search(b, sent, window), rows.schema)
+
+
+def _no_items() -> Column:
+    return F.array().cast("array<string>")
+
+
+def text_keys(text: Column) -> Column:
+    """Equal texts have equal occurrences: what was found joins the rows by two hashes of the text."""
+    return (F.xxhash64(text) == F.col("k1")) & (F.xxhash64(text, F.lit(1)) == F.col("k2"))
+
+
+def found_by_block(rows: DataFrame, pieces: DataFrame, blocks: int, window: int) -> DataFrame:
+    """``k1, k2, starts, ends, items`` of every text with an occurrence in any block."""
+    spark, parts = rows.sparkSession, []
+    empty = F.array().cast("array<long>")
+    texts = rows.filter(F.col("text").isNotNull()).select(
+        F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text", F.lit(0).cast("long").alias("n_words"), empty.alias("starts"),
+        empty.alias("ends"), _no_items().alias("items"),
+    )
     for i in range(blocks):
-        if i:
-            rows = stored(rows)
-            sent.broadcast.unpersist()
         sent = _Sent(spark.sparkContext.broadcast(block_items(pieces, i)))
-        rows = rows.mapInArrow(lambda b, s=sent: _search(b, s, window), rows.schema)
-    return rows
+        found = texts.mapInArrow(lambda b, s=sent: _search(b, s, window), texts.schema).filter(F.size("starts") > 0)
+        parts.append(stored(found.select("k1", "k2", "starts", "ends", "items").dropDuplicates(["k1", "k2"])))
+        sent.broadcast.unpersist()
+    merged_parts = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2")
+    return merged_parts.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))  # at most one list per block
 
 
 class _Sent:
