@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.common import fold_of, ready, slim, stored
+from probity.operators.ordered import smallest
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -268,10 +269,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
     The held-out fold is never read.
 
-    Rows without text, id or label teach nothing. With no label of a class the score is 0 or the share of the class.
+    Rows without text, id or label teach nothing; an id with both labels counts as toxic. With no label of a class the score is 0 or the share of the class.
     """
     ready(docs.sparkSession)
-    marks = slim(labels, _id=labels[label_id].cast("long"), label=labels[label_column].cast("int")).filter(F.col("label").isin(0, 1)).dropDuplicates(["_id"])
+    marks = slim(labels, _id=labels[label_id].cast("long"), label=labels[label_column].cast("int")).filter(F.col("label").isin(0, 1))
+    marks = marks.groupBy("_id").agg(F.max("label").alias("label"))
     marks = marks.withColumn("fold", fold_of("_id", PARTS)).filter(F.col("fold") != HELD_OUT)
     rows = slim(docs, doc_id=docs[id_column].cast("long"), text=text_column).filter(F.col("text").isNotNull())
     # Labels are a row of two numbers each: up to a million are sent to the texts, so that those need not move; more are joined.
@@ -283,8 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     sent = _sent(entries)
     # All rows of the third fold are summed where they are; the bounded choice is among rows of numbers.
     fit = rows.filter(F.col("fold") == CALIBRATION).select("doc_id", (F.col("label") == 1).alias("held_out"), "text")
-    sums = _totals(fit, entries, sent)
-    found = sums.orderBy(F.xxhash64("doc_id"), *sums.columns).limit(FIT_ROWS).toPandas()
+    sums = stored(_totals(fit, entries, sent))
+    found = smallest(sums, F.xxhash64("doc_id"), FIT_ROWS, *sums.columns).toPandas()
     curve = fit_curve(features(found), found["held_out"].to_numpy(float)) if len(found) else np.array([-5.0, 0.0, 0.0, 0.0])
     if sent is not None:
         sent.unpersist()
