@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.common import ready, slim, stored
+from probity.operators.ordered import smallest
 
 KINDS = ("assign", "access", "hex")
 ADDED = "model"
@@ -175,9 +176,10 @@ def calibrated(z: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float,
 
 
 def train(scanned: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network from at most ``rows`` different windows of each class, chosen by hash; None if a class is missing."""
-    each = scanned.select(F.explode("found").alias("c")).select(F.col("c.label").alias("label"), F.element_at("c.windows", 1).alias("w")).distinct()
-    sample = [each.filter(F.col("label") == k).orderBy(F.xxhash64("w"), "w").limit(rows).collect() for k in (0, 1)]
+    """A network from at most ``rows`` different windows of each class, of all pieces of all candidates, chosen by hash; None if a class is missing."""
+    each = scanned.select(F.explode("found").alias("c")).select(F.col("c.label").alias("label"), F.explode("c.windows").alias("w"))
+    each = stored(each.distinct())
+    sample = [smallest(each.filter(F.col("label") == k), F.xxhash64("w"), rows, "w").collect() for k in (0, 1)]
     if not all(len(s) >= 8 for s in sample):
         return None
     return Network().fit([r.w for s in sample for r in s], np.array([float(r.label) for s in sample for r in s]))
