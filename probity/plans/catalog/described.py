@@ -13,6 +13,8 @@ from probity.operators import collusion as N
 from probity.operators import monitoring as M
 from probity.operators import routing as B
 from probity.operators import signals as G
+from probity.operators import similarity as Y
+from probity.operators import thresholds as H
 from probity.operators.anomaly import z_scores
 from probity.operators.profiles import enrich
 from probity.plans import reviews as P
@@ -217,6 +219,24 @@ def register(catalog):
         df = routing_input(spark, folder)
         return r6(B.cost_grid(df, max_route=0.35, min_precision=0.4), ["route_rate", "precision"])
 
+    @add(
+        "exact_thresholds",
+        "D13",
+        sql(
+            "judged",
+            """SELECT low, high, fp, tp, fn, routes, fp * 5.0::DOUBLE + fn * 3.0::DOUBLE + routes AS cost, round(routes / n::DOUBLE, 6) AS route_rate,
+            round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision FROM
+            (SELECT low, high, fn, tp, gone - tp AS fp, n - kept - gone AS routes, n FROM lows, highs, (SELECT count(*) AS n FROM judged) WHERE low < high OR low IS NULL OR high IS NULL)
+            WHERE routes / n::DOUBLE <= 0.35 AND coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) >= 0.4 ORDER BY cost, low NULLS FIRST, high NULLS FIRST LIMIT 1""",
+            "steps AS (SELECT round(p_bad, 6) AS s, count(*) AS n, sum(y) AS bad FROM judged GROUP BY 1)",
+            """lows AS (SELECT s AS low, (sum(n) OVER (ORDER BY s))::BIGINT AS kept, (sum(bad) OVER (ORDER BY s))::BIGINT AS fn FROM steps UNION ALL SELECT NULL, 0, 0),
+            highs AS (SELECT s AS high, (sum(n) OVER (ORDER BY s DESC))::BIGINT AS gone, (sum(bad) OVER (ORDER BY s DESC))::BIGINT AS tp FROM steps UNION ALL SELECT NULL, 0, 0)""",
+        ),
+    )
+    def _(spark, folder):
+        df = routing_input(spark, folder).withColumn("p_final", F.round("p_final", 6))
+        return r6(H.exact_thresholds(df, max_route=0.35, min_precision=0.4), ["route_rate", "precision"])
+
     @add(
         "best_thresholds",
         "D13",
@@ -355,6 +375,40 @@ def register(catalog):
             F.round(F.max("category_cosine"), 6).alias("max_cosine"),
         )
 
+    @add(
+        "business_similarity",
+        "D21",
+        sql(
+            "reviews",
+            """SELECT r.review_id, round(s.cosine, 6) AS business_similarity FROM reviews r LEFT JOIN
+            (SELECT review_id, CASE WHEN vv > 0 AND others > 1e-9 * cc THEN least(1, greatest(0, vc - vv) / sqrt(vv * others)) ELSE 0 END AS cosine FROM
+              (SELECT review_id, vc, vv, cc, cc - 2 * vc + vv AS others FROM
+                (SELECT review_id, place_id, sum(w * c) AS vc, sum(w * w) AS vv FROM weighted JOIN centre USING (place_id, term) GROUP BY ALL)
+                JOIN (SELECT place_id, sum(c * c) AS cc FROM centre GROUP BY ALL) USING (place_id))) s USING (review_id)""",
+            """counted AS (SELECT review_id, place_id, term, count(*) AS tf FROM
+              (SELECT review_id, place_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM reviews WHERE place_id IS NOT NULL) GROUP BY ALL)""",
+            """weights AS (SELECT term, ln(((SELECT count(DISTINCT review_id) FROM counted) + 1)::DOUBLE / (count(*) + 1)::DOUBLE) AS idf FROM counted GROUP BY term)""",
+            "weighted AS (SELECT review_id, place_id, term, tf * idf AS w FROM counted JOIN weights USING (term))",
+            "centre AS (SELECT place_id, term, sum(w) AS c FROM weighted GROUP BY ALL)",
+        ),
+    )
+    def _(spark, folder):
+        rows = P.reviews(spark, folder).select("review_id", "place_id", "text")
+        return r6(Y.business_similarity(rows), ["business_similarity"]).select("review_id", "business_similarity")
+
+    @add(
+        "name_links",
+        "D21",
+        """WITH names AS (SELECT doc_id, nullif(trim(regexp_replace(lower(regexp_extract(text, '^[^.,\\n]{0,80}')), '[^a-z0-9]+', ' ', 'g')), '') AS name FROM documents),
+        classes AS (SELECT name, min(doc_id) AS name_class FROM names WHERE name IS NOT NULL GROUP BY name)
+        SELECT doc_id, name_class, coalesce(n, 0) AS links FROM names LEFT JOIN classes USING (name) LEFT JOIN
+        (SELECT a.name, count(*) AS n FROM classes a JOIN classes b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 0.2 * greatest(length(a.name), length(b.name)) + 1e-9
+          AND levenshtein(a.name, b.name) <= 0.2::DOUBLE * greatest(length(a.name), length(b.name)) + 1e-9 GROUP BY a.name) USING (name)""",
+    )
+    def _(spark, folder):
+        # No table names businesses under several spellings; the opening phrase of a document stands for such a name.
+        return Y.name_links(P.table(spark, folder, "documents"), "doc_id", F.regexp_extract("text", r"^[^.,\n]{0,80}", 0))
+
     @add(
         "fuzzy_name_match",
         "D21",
