@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,35 +122,13 @@ def model_scores(df: DataFrame, make_model: Callable, batch_size: int = 16, text
     """Scores with any model: ``make_model()`` runs once per Python worker and returns a function
     from an array of texts to an (n, 7) array of logits. Whole texts are handed over."""
     logits = predict_batch_udf(
-        make_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
+        make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
     )
     scored = df.withColumn("_logits", logits(F.coalesce(F.col(text), F.lit(""))))
-    scored = logits_scores(scored, F.col("_logits").cast("array<double>"))
+    scored = logits_scores(scored, F.col("_logits"))
     return scored.drop("_logits").withColumn("model_type", F.lit("fine_tuned"))
 
 
-def term_count_model():
-    """A small stand-in model: logits from how often words of each class occur."""
-    vocab = {
-        "genuine_positive": ("great", "love", "excellent"),
-        "genuine_negative": ("poor", "bad", "not good"),
-        "spam": ("buy now", "click here", "http"),
-        "advertisement": ("best deal", "lowest price", "promo"),
-        "irrelevant": ("meh",),
-        "fake_rant": ("worst", "terrible", "awful"),
-        "inappropriate": ("offensive", "vulgar"),
-    }
-    terms = [vocab[c] for c in TEXT_CLASSES]
-
-    def predict(texts: np.ndarray) -> np.ndarray:
-        low = [str(t).lower() for t in texts.reshape(-1)]
-        return np.array(
-            [[float(sum(t.count(w) for w in group)) for group in terms] for t in low], dtype=np.float32
-        )
-
-    return predict
-
-
 def tester_scores(df: DataFrame, text: str = "text", stars: str = "stars") -> DataFrame:
     """The path every review takes: rules, rating rule, weighted fusion, tier."""
     out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text)).drop(*SCRATCH)

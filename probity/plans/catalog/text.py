@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from probity.constants import TEXT_CLASSES, ZERO_SHOT_CATEGORIES
 from probity.functions import text as X
 from probity.functions import vectors as V
+from probity.operators import linear as L
 from probity.operators import scoring as S
+from probity.operators import textmodel as T
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import BAD, GENUINE, sql
+from probity.session import cut_lineage
 
 ZERO_SHOT_NAMES = [*ZERO_SHOT_CATEGORIES, "something else"]
 
@@ -91,7 +94,8 @@ def register(catalog):
 
     @add("model_scoring", "T8")
     def _(spark, folder):
-        df = S.model_scores(P.reviews(spark, folder), S.term_count_model)
+        rows = cut_lineage(P.reviews(spark, folder).select("review_id", "text", "label"))
+        df = L.sparse_scores(rows, T.train_text_model(rows, iterations=10))
         return df.groupBy("text_prediction", "model_type").agg(
             F.count(F.lit(1)).alias("n"), F.round(F.avg("p_bad"), 4).alias("avg_p_bad")
         )
