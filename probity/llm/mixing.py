@@ -13,7 +13,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probity.llm.common import SPACES, range_numbers, ready, shuffle_partitions, slim, stored
@@ -26,12 +26,19 @@ FAN_IN = 16
 SMALL_SOURCES = 20_000
 EPS = 1e-12
 
-ROUND_SCHEMA = "doc_id long, src string, src_null boolean, size long, key long, copies long, part double, bucket long"
-FIELDS = ["doc_id", "src", "src_null", "size", "key", "copies", "part", "bucket"]
+ROUND_SCHEMA = "doc_id long, src string, src_null boolean, size long, key long, row_key long, copies long, part double, bucket long"
+FIELDS = ["doc_id", "src", "src_null", "size", "key", "row_key", "copies", "part", "bucket"]
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls told apart; with ``key`` it names a row, and rows that share both are alike."""
+    types = dict(docs.dtypes)
+    values = [F.to_json(docs[c]) if "map<" in types[c] else docs[c] for c in docs.columns]
+    return F.xxhash64(F.lit(1), *[x for v in values for x in (v.isNull(), v)])
 
 
 def sizes(docs: DataFrame, id_column="doc_id", text_column="text", source_column="source") -> DataFrame:
-    """Id, source, words of the whole text and a hash of the text; nothing of the text itself moves on."""
+    """Id, source, words of the whole text and hashes of text and row; nothing of the text itself moves on."""
     text = F.coalesce(docs[text_column], F.lit(""))
     return slim(
         docs,
@@ -40,6 +47,7 @@ def sizes(docs: DataFrame, id_column="doc_id", text_column="text", source_column
         src_null=docs[source_column].isNull(),
         size=F.regexp_count(text, F.lit(f"[^{SPACES}]++")).cast("long"),
         key=F.xxhash64(docs[id_column], text),
+        row_key=row_key(docs),
     )
 
 
@@ -100,21 +108,21 @@ def _rounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*out)) if out else [[] for _ in FIELDS]
-        types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=FIELDS)
 
     def settle(d: list) -> None:
-        size, key, copies, part, doc, src, null, bucket = d
-        out.append((doc, src, null, size, key, copies, part, bucket))
+        size, key, copies, part, doc, src, null, row, bucket = d
+        out.append((doc, src, null, size, key, row, copies, part, bucket))
 
     for batch in batches:
         c = batch.to_pydict()
-        for doc, src, null, size, key, copies, part, bucket in zip(*(c[f] for f in FIELDS)):
+        for doc, src, null, size, key, row, copies, part, bucket in zip(*(c[f] for f in FIELDS)):
             if (null, src, bucket) != group:
                 if open_doc:
                     settle(open_doc)
                 group, open_doc = (null, src, bucket), None
-            d = [size, key, copies, part, doc, src, null, bucket]
+            d = [size, key, copies, part, doc, src, null, row, bucket]
             if open_doc is None:
                 open_doc = d
             else:
@@ -140,7 +148,7 @@ def rounded(rows: DataFrame, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -
     rest = rest.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     while True:
         order = ["src_null", "src", "bucket"]
-        level = rest.repartition(n, *order).sortWithinPartitions(*order, "key", "doc_id", "size").select(*FIELDS)
+        level = rest.repartition(n, *order).sortWithinPartitions(*order, "key", "row_key", "doc_id", "size").select(*FIELDS)
         level = stored(level.mapInArrow(_rounded, ROUND_SCHEMA))
         done.append(level.filter(~is_open))
         rest = level.filter(is_open)
@@ -161,8 +169,8 @@ def mix(
 ) -> DataFrame:
     """Copies of every document so that the words of each source meet its target.
 
-    Returns ``doc_id, key, size, source_size, target, copies, taken``; ``key`` is a hash of id and text. Copies are whole, at
-    most ``most``. A null source is a source of its own (last in order); null and empty texts have size 0 and
+    Returns ``doc_id, key, row_key, size, source_size, target, copies, taken``; ``key`` is a hash of id and text, ``row_key`` one of
+    all columns. Copies are whole, at most ``most``. A null source is a source of its own (last in order); null and empty texts have size 0 and
     take nothing; repeated rows are rows of their own; ids may be null or repeated; an empty table gives an empty result.
     """
     ready(docs.sparkSession)
@@ -177,14 +185,19 @@ def mix(
     copies = F.col("copies") + F.col("part").cast("long") * (F.col("size") > 0).cast("long")
     goals = goals if goals.count() > SMALL_SOURCES else F.broadcast(goals)
     return ended.join(goals, ["src_null", "src"]).select(
-        "doc_id", "key", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+        "doc_id", "key", "row_key", "size", F.col("source_size").cast("long"), "target", copies.alias("copies"),
+        (copies * F.col("size")).cast("long").alias("taken"),
+    )
 
 
 def mixed(docs: DataFrame, id_column="doc_id", text_column="text", source_column="source") -> DataFrame:
-    """The mix itself: every document as often as its copies say, all columns kept. Rows that repeat id and text share theirs."""
-    counts = mix(docs, id_column, text_column, source_column).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    """The mix itself: every row as often as its copies say, all columns kept.
+
+    Rows that agree in every column are alike, so theirs are added up; rows that share id and text but not the rest keep their own.
+    """
+    counts = mix(docs, id_column, text_column, source_column).groupBy(F.col("key").alias("_key"), F.col("row_key").alias("_row_key"))
+    counts = counts.agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
     key = F.xxhash64(docs[id_column], F.coalesce(docs[text_column], F.lit("")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"))
-    taken = rows.join(counts.filter("_copies > 0"), "_key").dropDuplicates(["_key"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"), row_key(docs).alias("_row_key"))
+    taken = rows.join(counts, ["_key", "_row_key"]).dropDuplicates(["_key", "_row_key"])
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

@@ -74,14 +74,22 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def _sums_before(lengths: str) -> Column:
-    """Running sums before each element, by way of sums of blocks, so that long arrays stay cheap."""
+    """Running sums before each element: one pass over blocks appends their running sums, elements add up inside their block.
+
+    The sums of the blocks are bound to a variable, so that they are made once and not once per element.
+    """
     zero, add = F.lit(0).cast("long"), lambda a, x: a + x
     total = lambda a: F.aggregate(a, zero, add)
-    block = F.floor((F.size(lengths) - 1) / PREFIX_BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), block), lambda b: total(F.slice(lengths, b * PREFIX_BLOCK + 1, F.lit(PREFIX_BLOCK))))
-    at = lambda i: F.floor(i / PREFIX_BLOCK).cast("int")
-    before = F.transform(lengths, lambda _, i: total(F.slice(blocks, F.lit(1), at(i))) + total(F.slice(lengths, at(i) * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)))
-    return F.when(F.size(lengths) <= PREFIX_BLOCK, F.transform(lengths, lambda _, i: total(F.slice(lengths, F.lit(1), i)))).otherwise(before)
+    within = lambda b: F.slice(lengths, b * PREFIX_BLOCK + 1, F.lit(PREFIX_BLOCK))
+    last = F.floor((F.size(lengths) - 1) / PREFIX_BLOCK).cast("int")
+    run = lambda done, b: F.concat(done, F.array(F.element_at(done, -1) + total(within(b))))
+    begins = F.aggregate(F.sequence(F.lit(0), last), F.array(zero), run)
+    place = lambda i: F.floor(i / PREFIX_BLOCK).cast("int")
+    sums = lambda at: F.transform(
+        lengths, lambda _, i: F.get(at, place(i)) + total(F.slice(lengths, place(i) * PREFIX_BLOCK + 1, i % PREFIX_BLOCK))
+    )
+    short = F.transform(lengths, lambda _, i: total(F.slice(lengths, F.lit(1), i)))
+    return F.when(F.size(lengths) <= PREFIX_BLOCK, short).otherwise(F.get(F.transform(F.array(begins), sums), F.lit(0)))
 
 
 def _kind_spans(rows: DataFrame, kind: str, number: int) -> DataFrame:

@@ -135,6 +135,46 @@ def test_language_bundle_is_the_sum_of_bound_letters():
     assert abs(a @ b) < 6 * language.DIMENSIONS**0.5
 
 
+def brute_bundle(text):
+    kept = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    out = np.zeros(language.DIMENSIONS)
+    if not kept.strip():
+        return out
+    seq = [ord(c) for c in " " + " ".join(kept.split(" ")) + " "]
+    seq = [c for i, c in enumerate(seq) if c != 32 or i == 0 or seq[i - 1] != 32]
+    for i in range(len(seq) - 2):
+        a, b, c = (language.letter_vectors(np.array([p], np.uint32))[0].astype(int) for p in seq[i : i + 3])
+        out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_language_against_brute_force(spark):
+    said = {"en": "the cat sat on the mat and then it slept", "de": "die katze saß auf der matte und schlief dann", "fr": "le chat était assis sur le tapis, puis il dormit"}
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(said))
+        words = said[lang].split()
+        rows.append((i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))), lang))
+    rows += [(100, None, "en"), (101, "", "de"), (102, "12 + 3", "fr"), (103, "x", None), (104, "Straße  -- 7 ÉTÉ", None), (105, "die", "de"), (105, "die", "de"), (None, "mat", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i, _, _ in rows}
+    total = {g: sum((brute_bundle(t) for i, t, l in rows if l == g and not held[i]), np.zeros(language.DIMENSIONS)) for g in sorted(said)}
+    got = language.identify(df, language.prototypes(language.learned_rows(df))).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        own = brute_bundle(texts[r.doc_id])
+        assert r.held_out == held[r.doc_id]
+        if not own.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {g: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for g, v in total.items()}
+        best = max(cosine, key=lambda g: (round(cosine[g], 6), [-ord(c) for c in g]))
+        weight = {g: np.exp(language.SHARPNESS * (c - cosine[best])) for g, c in cosine.items()}
+        assert r.lang_pred == best and abs(r.score - weight[best] / sum(weight.values())) < 1e-4
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en", 1.0), (2, "", "en", 1.0), (3, "12 !?", "en", 1.0), (None, "hello there", None, 1.0), (5, "hello there you", "en", 1.0), (5, "hello there you", "en", 1.0), (6, "ß " * 200_000, "de", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")

@@ -224,6 +224,21 @@ def test_personal_data_edges(spark):
     assert pii.digest(pii.find(docs.limit(0))).count() == 0
 
 
+def test_running_sums_of_long_arrays(spark):
+    sizes = [0, 1, 2, 255, 256, 257, 511, 512, 513, 5000]
+    df = spark.createDataFrame([([(i * 7) % 11 for i in range(n)],) for n in sizes], "x array<long>")
+    for r in df.select("x", pii._sums_before("x").alias("s")).collect():
+        assert r.s == [sum(r.x[:i]) for i in range(len(r.x))]
+
+
+def test_text_with_very_many_matches(spark):
+    text = "".join(f"é{i} mail u{i}@ex.org;" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.digest(pii.find(docs)).first()
+    counts, sha, _ = brute_pii(text)
+    assert (r.n_email, r.base_sha256) == (20_000, sha) and counts[0] == 20_000
+
+
 def test_added_kinds(spark):
     texts = ["my IBAN DE89 3704 0044 0532 0130 00 ok", "DE88370400440532013000", "GB82WEST12345698765432,", "ssn: 123-45-6789", "part 123-45-6789"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

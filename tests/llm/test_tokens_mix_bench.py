@@ -3,10 +3,12 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from probity.llm import decontaminate, mixing, wavelet
@@ -118,6 +120,23 @@ def test_mix_tree_and_edges(spark, docs):
     assert (mixing.mix(docs.withColumn("text", docs.text.substr(0, 0))).toPandas().taken == 0).all()
 
 
+def test_mixed_rows_that_share_id_and_text(spark):
+    rows = [(7, "a b c", s, n) for s, n in (("x", 1), ("x", 2), ("y", None), (None, 1), (None, None))]
+    rows += [(7, "a b c", "x", 1)] * 3 + [(None, "a b c", "x", 1), (8, None, "x", 1), (9, "", "y", 1)]
+    rows += [(100 + i, "w " * (1 + i % 5), "xy"[i % 2], i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key long")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.key, r.row_key] += r.copies
+    assert len(want) == len(set(rows))
+    made = docs.withColumns({"k": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "rk": mixing.row_key(docs)}).distinct().collect()
+    wanted = Counter({tuple(r)[:4]: want[r.k, r.rk] for r in made})
+    assert Counter(map(tuple, mixing.mixed(docs).collect())) == +wanted
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.limit(0)).count() == 0
+    mapped = spark.createDataFrame([(1, "a b", "s", {"k": 1}), (1, "a b", "s", {"k": 2})], "doc_id long, text string, source string, m map<string,int>")
+    assert mixing.mix(mapped).select("row_key").distinct().count() == 2
+
+
 def test_transfer_keeps_words_and_expectation():
     gone = 0.0
     for i in range(4000):
