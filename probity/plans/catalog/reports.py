@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from probity.constants import RECOMMEND_HIGH_RISK, RECOMMEND_LOW_RISK, RECOMMEND_MEAN_RISK, TEXT_CLASSES, TIERS
@@ -11,6 +13,9 @@ from probity.operators import reports as B
 from probity.operators import scoring as S
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
+from probity.session import checkpoint_dir
+from probity.sources.readers import read_many
+from probity.sources.sinks import write_csv
 
 BATCH = """batch AS (SELECT *, text IS NULL AS is_error FROM served)"""
 
@@ -391,3 +396,24 @@ def register(catalog):
         from probity.sources.sinks import export_columns
 
         return export_columns(P.served(spark, folder).withColumn("p_bad", F.round("p_bad", 6)))
+
+    @add(
+        "results_per_file",
+        "S9 R1",
+        sql(
+            "tested",
+            """SELECT 'input=' || coalesce(language, 'none') AS input_file, count(*) AS reviews, count(nullif(text, '')) AS with_text,
+            count(*) FILTER (WHERE tier = 'high_risk') AS high_risk, round(avg(risk), 6) AS avg_risk FROM tested GROUP BY ALL""",
+        ),
+    )
+    def _(spark, folder):
+        """The reviews written as one CSV input per language, read together, scored, and summed up per input."""
+        path = f"{checkpoint_dir(spark)}/inputs-{uuid.uuid4().hex}"
+        rows = P.reviews(spark, folder).select("review_id", "text", "stars", F.coalesce("language", F.lit("none")).alias("input"))
+        write_csv(rows, path, partition_by=["input"])
+        found = read_many(spark, path, "review_id long, text string, stars double", multi_line=True, by_folder=True)
+        risk, tier = F.col("fusion_risk_score"), F.col("fusion_prediction")
+        return S.tester_scores(found).groupBy("input_file").agg(
+            F.count(F.lit(1)).alias("reviews"), F.count("text").alias("with_text"), F.count_if(tier == "high_risk").alias("high_risk"),
+            F.round(F.avg(risk), 6).alias("avg_risk"),
+        )

@@ -48,7 +48,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return READERS[suffix](spark, path, schema, multi_line)
 
 
-def read_many(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
-    """Many CSV files in one plan; ``input_file`` tells them apart, so results group by file."""
-    df = read_csv(spark, paths, schema)
-    return df.select("*", F.col("_metadata.file_name").alias("input_file"))
+def read_many(spark: SparkSession, paths, schema: T.StructType | None = None, multi_line: bool = False, by_folder: bool = False) -> DataFrame:
+    """Many CSV files in one plan; ``input_file`` tells them apart, so results group by file.
+
+    An input that a job wrote is a folder of files: with ``by_folder``, ``input_file`` is the name of the folder.
+    As in every CSV read here, an empty text comes back as null.
+    """
+    df = read_csv(spark, paths, schema, multi_line)
+    name = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1) if by_folder else F.col("_metadata.file_name")
+    return df.select("*", name.alias("input_file"))

@@ -29,8 +29,11 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+    """CSV with a header. Spaces at the ends of a text stay; ``partition_by`` writes a folder per value in the same job."""
     writer = flat(df).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.option("quoteAll", quote_all).csv(path)
 
 

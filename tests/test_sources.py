@@ -5,6 +5,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from probity.operators import fusion as M
+from probity.operators import scoring as S
 from probity.plans.catalog.models import fusion_rows
 from probity.sources import normalise as N
 from probity.sources import readers, sinks
@@ -59,6 +60,18 @@ def test_many_files(spark, out):
     assert {r.input_file: r.n for r in df.groupBy("input_file").agg(F.count("*").alias("n")).collect()} == {"a.csv": 2, "b.csv": 1}
 
 
+def test_many_inputs_that_a_job_wrote(spark, out):
+    rows = [(1, " two\nlines, \"quoted\" \\ ", "a"), (2, None, "a"), (3, "", "b"), (4, "  ", "b")]
+    sinks.write_csv(spark.createDataFrame(rows, "id long, text string, part string"), f"{out}/many", partition_by=["part"])
+    df = readers.read_many(spark, f"{out}/many", "id long, text string", multi_line=True, by_folder=True)
+    assert sorted((r.id, r.text, r.input_file) for r in df.collect()) == [(i, t or None, f"part={p}") for i, t, p in rows]
+
+
+def test_empty_and_missing_text_score_alike(spark):
+    scored = S.tester_scores(spark.createDataFrame([(1, None, 1.0), (2, "", 1.0)], "id long, text string, stars double"))
+    assert scored.select("text_prediction", "fusion_risk_score", "fusion_prediction").distinct().count() == 1
+
+
 def test_required_column_message(spark):
     with pytest.raises(ValueError, match="available: a, b"):
         N.require_column(spark.createDataFrame([(1, 2)], "a int, b int"), "text")
