@@ -17,6 +17,7 @@ from probity.constants import TEXT_CLASSES
 from probity.functions import vectors as V
 from probity.operators.fusion import _stable_unit, class_weights
 from probity.operators.metrics import known_labels
+from probity.session import cut_lineage
 
 RUNS = T.StructType(
     [
@@ -32,33 +33,60 @@ RUNS = T.StructType(
 
 def labelled(df: DataFrame, label: str = "label") -> DataFrame:
     code = V.lookup({c: float(i) for i, c in enumerate(TEXT_CLASSES)}, F.col(label), F.lit(None).cast("double"))
-    return known_labels(df, label).withColumn("code", code)
+    known = df.filter(F.col(label).isin(TEXT_CLASSES)) if TERMS in df.columns else known_labels(df, label)
+    return known.withColumn("code", code)
 
 
 def train_text_model(
     df: DataFrame, balanced: bool = False, label: str = "label", features: int = 1 << 16, iterations: int = 20
 ) -> PipelineModel:
-    """Hashed TF-IDF and multinomial logistic regression; ``balanced`` weighs classes by inverse frequency."""
-    rows = labelled(df, label).select("text", label, "code")
+    """Hashed TF-IDF and multinomial logistic regression; ``balanced`` weighs classes by inverse frequency.
+
+    Texts are read and split once: the frequencies and the regression are fitted on the stored term counts (``df`` may bring them
+    along in ``TERMS``, see :func:`with_terms`).
+    """
+    split = term_stages(features)
+    rows = labelled(df, label)
+    if TERMS not in df.columns:
+        rows = cut_lineage(PipelineModel(split).transform(rows).select(TERMS, label, "code"))
+    rows = rows.select(TERMS, label, "code")
     rows = class_weights(rows, label) if balanced else rows.withColumn("weight", F.lit(1.0))
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="features", minDocFreq=2),
+        IDF(inputCol=TERMS, outputCol="features", minDocFreq=2),
         LogisticRegression(
             labelCol="code", featuresCol="features", weightCol="weight", family="multinomial", maxIter=iterations
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    return PipelineModel([*split, *Pipeline(stages=stages).fit(rows).stages])
+
+
+TERMS = "_tf"
+
+
+def term_stages(features: int = 1 << 16) -> list:
+    return [
+        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+"),
+        HashingTF(inputCol="_words", outputCol=TERMS, numFeatures=features),
+    ]
+
+
+def with_terms(df: DataFrame, label: str = "label") -> DataFrame:
+    """Rows with a known label, stored with their term counts in place of the text."""
+    rows = known_labels(df, label)
+    return cut_lineage(PipelineModel(term_stages()).transform(rows).drop("text", "_words"))
 
 
 def text_model_scores(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Class probabilities, first largest class, its confidence and bad mass from a trained model."""
-    ready = df.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    """Class probabilities, first largest class, its confidence and bad mass from a trained model.
+
+    Rows that bring their term counts (:func:`with_terms`) are not split again.
+    """
+    split = TERMS in df.columns
+    ready = df if split else df.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
     probs = vector_to_array("probability")
     # A model trained without the last classes has shorter vectors: they get probability 0.
     padded = F.concat(probs, F.array_repeat(F.lit(0.0), F.lit(len(TEXT_CLASSES)) - F.size(probs)))
-    out = model.transform(ready).withColumn("probs", padded)
+    out = (PipelineModel(model.stages[2:]) if split else model).transform(ready).withColumn("probs", padded)
     out = out.drop("text", "_words", "_tf", "features", "rawPrediction", "probability", "prediction")
     p = F.col("probs")
     return out.withColumnRenamed("_text", "text").withColumns(

@@ -46,23 +46,23 @@ def register(catalog):
 
     @add("text_model", "T19")
     def _(spark, folder):
-        rows = cut_lineage(P.reviews(spark, folder).select("review_id", "text", "label"))
+        rows = T.with_terms(P.reviews(spark, folder).select("review_id", "text", "label"))
         model = T.train_text_model(rows)
-        scored = T.text_model_scores(E.known_labels(rows), model)
+        scored = T.text_model_scores(rows, model)
         pc = E.per_class(scored, "label", "text_prediction")
         return pc.select("label", "support", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
 
     @add("text_model_balanced", "T19")
     def _(spark, folder):
-        rows = cut_lineage(P.reviews(spark, folder).select("review_id", "text", "label"))
+        rows = T.with_terms(P.reviews(spark, folder).select("review_id", "text", "label"))
         model = T.train_text_model(rows, balanced=True)
-        scored = T.text_model_scores(E.known_labels(rows), model)
+        scored = T.text_model_scores(rows, model)
         pc = E.per_class(scored, "label", "text_prediction")
         return pc.select("label", "support", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"))
 
     @add("training_runs", "T20")
     def _(spark, folder):
-        rows = cut_lineage(P.reviews(spark, folder).select("text", "label"))
+        rows = T.with_terms(P.reviews(spark, folder).select("text", "label"))
         jobs = {
             "plain": lambda: T.train_text_model(rows),
             "balanced": lambda: T.train_text_model(rows, balanced=True),
