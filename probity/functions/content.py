@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probity.functions.text import mean_word_length, word_count
+from probity.functions.text import mean_word_length, measure, measured, word_count
 
 
 def has_image(urls: Column) -> Column:
@@ -22,18 +22,19 @@ def language_match(language: Column, original: Column) -> Column:
 
 
 def with_content(df: DataFrame) -> DataFrame:
-    """Adds the content features. Words are counted once and the count is used by what follows."""
-    text, urls = F.col("text"), F.col("review_image_urls")
+    """Adds the content features. Words are counted once and the count is used by what follows; measures of the text are used if there."""
+    text, urls, known = F.col("text"), F.col("review_image_urls"), measured(df, "text")
     out = df.withColumns(
         {
             "has_image": has_image(urls),
             "image_count": image_count(urls),
-            "text_length": F.length(text),
-            "word_count": word_count(text),
+            "text_length": measure("length") if known else F.length(text),
+            "word_count": measure("words") if known else word_count(text),
             "language_match": language_match(F.col("language"), F.col("original_language")),
         }
     )
-    return out.withColumn("avg_word_length", mean_word_length(text, F.col("word_count")))
+    solid = measure("solid") if known else None
+    return out.withColumn("avg_word_length", mean_word_length(text, F.col("word_count"), solid))
 
 
 def content_quality(risk: Column, confidence: Column) -> Column:

@@ -21,7 +21,7 @@ from probity.constants import (
     SPAM_TERMS,
     TEXT_CLASSES,
 )
-from probity.functions.vectors import label_array, lookup
+from probity.functions.vectors import label_array, let, lookup
 
 
 def lexicon_hits(lowered: Column, terms) -> Column:
@@ -32,6 +32,45 @@ def lexicon_hits(lowered: Column, terms) -> Column:
     return total
 
 
+# Every term of the rules and of the topics, each with a bit of its own in its list.
+RULE_TERMS = list(
+    dict.fromkeys([*SPAM_TERMS, *AD_TERMS, *EXTREME_TERMS, *INAPPROPRIATE_TERMS, *POSITIVE_TERMS, *NEGATIVE_TERMS, *OFF_TOPIC_TERMS])
+)
+TOPIC_TERMS = list(dict.fromkeys([*PRAISE_PHRASES, *[t for terms in CATEGORY_TERMS.values() for t in terms]]))
+
+# Columns with these names hold what is known of the column ``text`` of the same rows (see ``plans.reviews``).
+MEASURES = [
+    f"text_measure_{n}"
+    for n in ("rule_bits", "topic_bits", "words", "length", "solid", "upper", "exclamations", "distinct", "digest", "names_location")
+]
+
+
+def term_bits(lowered: Column, terms: list[str]) -> Column:
+    """The terms (at most 63) that occur in the lower-cased text, a bit for each."""
+    total = F.lit(0).cast("long")
+    for i, term in enumerate(terms):
+        total = total + F.contains(lowered, F.lit(term)).cast("long") * F.lit(1 << i).cast("long")
+    return total
+
+
+def bit_mask(terms, among: list[str]) -> int:
+    return sum(1 << among.index(t) for t in set(terms))
+
+
+def bit_hits(bits: Column, terms, among: list[str]) -> Column:
+    """How many of the terms have their bit set."""
+    return F.bit_count(bits.bitwiseAND(F.lit(bit_mask(terms, among)).cast("long")))
+
+
+def measure(name: str) -> Column:
+    return F.col(f"text_measure_{name}")
+
+
+def measured(df, text: str = "text") -> bool:
+    """Do the rows bring measures of this column along?"""
+    return text == "text" and set(MEASURES) <= set(df.columns)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
@@ -48,9 +87,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
-def mean_word_length(text: Column, n_words: Column) -> Column:
-    """Characters outside white space over words; 0 for a text without words."""
-    solid = F.length(F.translate(text, WHITE_SPACE, ""))
+def solid_length(text: Column) -> Column:
+    """Characters outside white space."""
+    return F.length(F.translate(text, WHITE_SPACE, ""))
+
+
+def mean_word_length(text: Column, n_words: Column, solid: Column | None = None) -> Column:
+    """Characters outside white space (``solid``, if known) over words; 0 for a text without words."""
+    solid = solid_length(text) if solid is None else solid
     return F.coalesce(F.try_divide(solid, n_words), F.when(n_words.isNotNull(), F.lit(0.0)))
 
 
@@ -63,7 +107,15 @@ def has_digit(text: Column) -> Column:
 
 
 def rule_signals(df, text: str = "text"):
-    """Adds the hit counts the rule class needs, so that the text is lower-cased once per row."""
+    """Adds the hit counts the rule class needs, so that the text is lower-cased once per row; taken from its measures if the rows have them."""
+    if measured(df, text):
+        hits = {
+            "spam_hits": SPAM_TERMS, "ad_hits": AD_TERMS, "extreme_hits": EXTREME_TERMS, "inappropriate_hits": INAPPROPRIATE_TERMS,
+            "positive_hits": POSITIVE_TERMS, "negative_hits": NEGATIVE_TERMS,
+        }
+        found = {k: bit_hits(measure("rule_bits"), terms, RULE_TERMS) for k, terms in hits.items()}
+        link = bit_hits(measure("rule_bits"), ["http"], RULE_TERMS) > 0
+        return df.withColumns({**found, "has_link": link, "rule_length": F.coalesce(measure("length"), F.lit(0))})
     filled = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_lower", F.lower(filled))
     low = F.col("_lower")
@@ -81,12 +133,12 @@ def rule_signals(df, text: str = "text"):
     ).drop("_lower")
 
 
-def rule_class(text: str = "text") -> Column:
+def rule_class(text: str = "text", n_words: Column | None = None) -> Column:
     """Ordered cascade over the columns of :func:`rule_signals`.
 
-    Words are counted only for a text with three extreme terms.
+    Words are counted only for a text with three extreme terms, unless their number is given.
     """
-    short = word_count(F.coalesce(F.col(text), F.lit(""))) < 20
+    short = (word_count(F.coalesce(F.col(text), F.lit(""))) if n_words is None else n_words) < 20
     return (
         F.when((F.col("spam_hits") >= 2) | F.col("has_link"), "spam")
         .when(F.col("ad_hits") >= 2, "advertisement")
@@ -98,6 +150,12 @@ def rule_class(text: str = "text") -> Column:
     )
 
 
+def with_rule_class(df, text: str = "text"):
+    """Adds the columns of :func:`rule_signals` and ``text_prediction``."""
+    n_words = F.coalesce(measure("words"), F.lit(0)) if measured(df, text) else None
+    return rule_signals(df, text).withColumn("text_prediction", rule_class(text, n_words))
+
+
 def rule_confidence(label: Column) -> Column:
     return lookup({c: RULE_CONFIDENCE[c] for c in BAD_CLASSES}, label, F.lit(RULE_CONFIDENCE["genuine"]))
 
@@ -143,9 +201,14 @@ def cut(text: Column, limit: int) -> Column:
     ).otherwise(text)
 
 
-def upper_share(text: Column) -> Column:
-    n = F.length(text)
-    upper = F.length(F.regexp_replace(text, r"[^A-Z]", ""))
+def upper_letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^A-Z]", ""))
+
+
+def upper_share(text: Column, upper: Column | None = None, length: Column | None = None) -> Column:
+    """Share of the letters A-Z; both counts may be given."""
+    n = F.length(text) if length is None else length
+    upper = upper_letters(text) if upper is None else upper
     return F.when(n > 0, upper / n).otherwise(F.lit(0.0))
 
 
@@ -158,6 +221,12 @@ def repeated_word_share(text: Column) -> Column:
     return F.when(F.size(w) > 0, 1 - F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
 
 
+def spelled(found: Column, among: list[str]) -> Column:
+    """Number of distinct words, and a bit for each of ``among`` that is one of them."""
+    bits = lambda w: sum((F.array_contains(w, x).cast("long") * F.lit(1 << i).cast("long") for i, x in enumerate(among)), F.lit(0).cast("long"))
+    return let(F.array_distinct(found), lambda w: F.struct(F.size(w).alias("distinct"), bits(w).alias("bits")))
+
+
 def praise_hits(text: Column) -> Column:
     return lexicon_hits(F.lower(text), PRAISE_PHRASES)
 
@@ -167,20 +236,26 @@ def relevancy_parts(df, text: str = "text", category: str = "category", name: st
 
     Score = 0.4 + 0.15 per vocabulary hit + 0.2 for the name - 0.3 per off-topic mark, in [0, 1].
     """
-    filled = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_lower", F.lower(filled))
-    low = F.col("_lower")
+    if measured(df, text) and name == "location":
+        found = lambda terms: bit_hits(measure("topic_bits"), terms, TOPIC_TERMS)
+        off_topic = bit_hits(measure("rule_bits"), OFF_TOPIC_TERMS, RULE_TERMS)
+        named = measure("names_location").cast("int")
+    else:
+        df = df.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
+        low = F.col("_lower")
+        found = lambda terms: lexicon_hits(low, terms)
+        off_topic = found(OFF_TOPIC_TERMS)
+        named = F.coalesce(F.contains(low, F.lower(F.col(name))), F.lit(False)).cast("int")
     hits = None
     for cat, terms in CATEGORY_TERMS.items():
         cond = F.col(category) == cat
-        value = lexicon_hits(low, terms)
+        value = found(terms)
         hits = F.when(cond, value) if hits is None else hits.when(cond, value)
-    named = F.coalesce(F.contains(low, F.lower(F.col(name))), F.lit(False)).cast("int")
     df = df.withColumns(
         {
             "category_hits": hits.otherwise(F.lit(0)),
             "name_mention": named,
-            "off_topic_hits": lexicon_hits(low, OFF_TOPIC_TERMS),
+            "off_topic_hits": off_topic,
         }
     ).drop("_lower")
     raw = (

@@ -22,7 +22,11 @@ from probity.sources.normalise import keep_real_text
 
 def in_batches(df: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id", text: str = "text") -> DataFrame:
     """Rows with real text in key order, with batch number and 0-based position in the batch."""
-    rows = keep_real_text(df.select(key, text), text)
+    return numbered(keep_real_text(df.select(key, text), text), size, key)
+
+
+def numbered(rows: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id") -> DataFrame:
+    """All rows in key order, with batch number and 0-based position; where the numbers are all that is wanted, hand over no text."""
     out = global_row_number(rows, F.col(key), key, "_rn")
     at = F.col("_rn") - 1
     return out.withColumns(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probity.functions.text import measure, measured
+
 
 def _stats(stars: str) -> dict[str, Column]:
     return {
@@ -65,7 +67,7 @@ def training_profile(df: DataFrame, key: str, prefix: str) -> DataFrame:
         F.count("stars").cast("double").alias(f"{prefix}_rating_count"),
         F.avg("stars").alias(f"{prefix}_rating_mean"),
         F.stddev_samp("stars").alias(f"{prefix}_rating_std"),
-        F.avg(F.length(F.coalesce("text", F.lit("")))).alias(f"{prefix}_text_length_mean"),
+        F.avg(F.coalesce(measure("length") if measured(df) else F.length("text"), F.lit(0))).alias(f"{prefix}_text_length_mean"),
     )
     return prof.na.fill(0.0)
 

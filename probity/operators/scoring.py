@@ -23,7 +23,7 @@ SCRATCH = [
 def rule_scores(df: DataFrame, text: str = "text", keep_signals: bool = False) -> DataFrame:
     """Adds text_prediction, text_confidence, class_probabilities, p_bad and model_type."""
     label, conf = F.col("text_prediction"), F.col("text_confidence")
-    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text))
+    out = X.with_rule_class(df, text)
     out = out.withColumn("text_confidence", X.rule_confidence(label))
     out = out.withColumn("probs", X.rule_probs(label, conf))
     out = out.withColumn("class_probabilities", V.as_map(F.col("probs")))
@@ -131,7 +131,7 @@ def model_scores(df: DataFrame, make_model: Callable, batch_size: int = 16, text
 
 def tester_scores(df: DataFrame, text: str = "text", stars: str = "stars") -> DataFrame:
     """The path every review takes: rules, rating rule, weighted fusion, tier."""
-    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text)).drop(*SCRATCH)
+    out = X.with_rule_class(df, text).drop(*SCRATCH)
     label, conf = F.col("text_prediction"), F.col("text_confidence")
     out = out.withColumn("text_confidence", X.rule_confidence(label))
     out = out.withColumns(
@@ -155,7 +155,7 @@ def tester_scores(df: DataFrame, text: str = "text", stars: str = "stars") -> Da
 
 def serving_scores(df: DataFrame, text: str = "text") -> DataFrame:
     """The serving path: rules, class to decision, simple fusion, route and nested breakdown."""
-    out = X.rule_signals(df, text).withColumn("text_prediction", X.rule_class(text)).drop(*SCRATCH)
+    out = X.with_rule_class(df, text).drop(*SCRATCH)
     label, conf = F.col("text_prediction"), F.col("text_confidence")
     out = out.withColumn("text_confidence", X.rule_confidence(label))
     out = out.withColumns(

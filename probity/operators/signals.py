@@ -61,6 +61,17 @@ def surface_rules(text: Column) -> dict[str, Column]:
     }
 
 
+def measured_surface() -> dict[str, Column]:
+    """:func:`surface_rules` of rows that bring the measures of their text along; a missing text counts as empty."""
+    n, n_words, distinct = (F.coalesce(X.measure(m), F.lit(0)) for m in ("length", "words", "distinct"))
+    return {
+        "upper_share": X.upper_share(F.lit(""), X.measure("upper"), n),
+        "exclamations": F.coalesce(X.measure("exclamations"), F.lit(0)),
+        "repeated_word_share": F.when(n_words > 0, 1 - distinct / n_words).otherwise(F.lit(0.0)),
+        "praise_hits": X.bit_hits(X.measure("topic_bits"), X.PRAISE_PHRASES, X.TOPIC_TERMS),
+    }
+
+
 GENERIC_NAME = r"^[A-Za-z]+_?[0-9]+$"
 
 

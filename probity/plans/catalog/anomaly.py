@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probity.functions import risk as R
+from probity.functions.text import measure
 from probity.operators import anomaly as A
 from probity.operators import iforest as I
 from probity.operators import scoring as S
@@ -138,7 +139,7 @@ def register(catalog):
         # 1/0, -1/0 and 0/0 as a source may deliver them.
         odd = F.when(part == 0, F.element_at(F.array(F.lit(float("inf")), F.lit(float("-inf")), F.lit(float("nan"))), (F.col("review_id") % 3 + 1).cast("int")))
         df = df.select(
-            "review_id", "stars", F.length("text").alias("text_length"),
+            "review_id", "stars", measure("length").alias("text_length"),
             F.coalesce(odd, F.try_divide(F.col("logit0"), part)).alias("ratio"),
         )
         return A.filled(df, ["stars", "text_length", "ratio", "never_seen"])
@@ -175,7 +176,7 @@ def register(catalog):
     def _(spark, folder):
         df = P.reviews(spark, folder).select(
             "review_id", "stars", F.hour("published_at").alias("hour_of_day"), F.weekday("published_at").alias("day_of_week"),
-            F.length("text").alias("text_length"),
+            measure("length").alias("text_length"),
         )
         names = ["stars", "hour_of_day", "day_of_week", "text_length"]
         df = cut_lineage(A.standardise(A.filled(cut_lineage(df), names), names))

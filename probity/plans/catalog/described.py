@@ -20,6 +20,7 @@ from probity.operators.profiles import enrich
 from probity.plans import reviews as P
 from probity.plans.catalog.fusion import cascade, decided, tiers
 from probity.plans.catalog.sql import hits, sql
+from probity.session import cut_lineage
 
 ROUTED_SRC = "(SELECT review_id, p_bad AS p_final, p_bad AS p_text, enhanced_prob AS p_meta, relevancy AS p_rel, relevancy * 0.5 AS burst, y FROM judged)"
 
@@ -435,10 +436,10 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        t = F.coalesce("text", F.lit(""))
-        df = P.reviews(spark, folder).select("review_id", t.alias("t")).withColumn("n", F.length("t"))
-        df = df.withColumns(G.surface_rules(F.col("t"))).drop("t")
-        z = z_scores(df, ["n"])
+        # The rules written once: the statistics of the lengths make a pass of their own over them.
+        df = P.reviews(spark, folder)
+        df = df.select("review_id", F.coalesce(X.measure("length"), F.lit(0)).alias("n"), *[c.alias(k) for k, c in G.measured_surface().items()])
+        z = z_scores(cut_lineage(df), ["n"])
         return z.select(
             "review_id", F.round("upper_share", 6).alias("upper_share"), "exclamations", F.round("repeated_word_share", 6).alias("repeated_word_share"),
             "praise_hits", (F.col("n_anomaly") > 3).cast("int").alias("length_outlier"),

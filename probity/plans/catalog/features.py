@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from probity.functions import content as C
 from probity.functions import temporal as D
+from probity.functions.text import measure
 from probity.operators import ordered as O
 from probity.operators import profiles as G
 from probity.operators import scoring as S
@@ -42,7 +43,7 @@ def risky(spark, folder, stored=False):
     """Numbers only: the text is reduced to its digest before any shuffle by key."""
     df = S.text_features(S.rule_scores(P.reviews(spark, folder)))
     df = df.select(
-        "review_id", "reviewer_id", "place_id", "stars", F.md5("text").alias("text"),
+        "review_id", "reviewer_id", "place_id", "stars", measure("digest").alias("text"),
         "text_quality_risk", "text_confidence", "text_spam_prob",
     )
     return cut_lineage(df) if stored else df
@@ -142,7 +143,7 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        df = P.reviews(spark, folder).select("review_id", "reviewer_id", "place_id", "stars", F.md5("text").alias("text"))
+        df = P.reviews(spark, folder).select("review_id", "reviewer_id", "place_id", "stars", measure("digest").alias("text"))
         out = G.with_profiles(df, with_risk=False)
         return out.select(
             "review_id",

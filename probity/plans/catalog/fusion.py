@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from probity import constants as K
 from probity.functions import risk as R
+from probity.functions.text import measure
 from probity.operators import decide as D
 from probity.operators import fusion as M
 
@@ -239,7 +240,7 @@ def register(catalog):
     )
     def _(spark, folder):
         df = P.tested(spark, folder)
-        known = F.col("text").isNotNull()
+        known = measure("length").isNotNull()
         df = df.select(
             "review_id",
             F.when(known, F.round("p_bad", 6)).alias("quality_risk"),

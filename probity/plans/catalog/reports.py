@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from probity.constants import RECOMMEND_HIGH_RISK, RECOMMEND_LOW_RISK, RECOMMEND_MEAN_RISK, TEXT_CLASSES, TIERS
+from probity.functions.text import measure
 from probity.operators import anomaly as A
 from probity.operators import metrics as E
 from probity.operators import reports as B
 from probity.operators import scoring as S
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
-from probity.session import checkpoint_dir
+from probity.session import checkpoint_dir, cut_lineage
 from probity.sources.readers import read_many
 from probity.sources.sinks import write_csv
 
@@ -21,7 +22,7 @@ BATCH = """batch AS (SELECT *, text IS NULL AS is_error FROM served)"""
 
 
 def batch(spark, folder):
-    return P.served(spark, folder).withColumn("is_error", F.col("text").isNull())
+    return P.served(spark, folder).withColumn("is_error", measure("length").isNull())
 
 
 def r6(df, names):
@@ -254,7 +255,9 @@ def register(catalog):
         ),
     )
     def _(spark, folder):
-        return B.severity_filter(P.with_logits(spark, folder), "medium").select("review_id", "percent", "severity")
+        # Stored first: the filter would otherwise be pushed down to the term counts and repeat the softmax for every use of the risk.
+        rows = cut_lineage(P.with_logits(spark, folder).select("review_id", "p_bad"))
+        return B.severity_filter(rows, "medium").select("review_id", "percent", "severity")
 
     @add(
         "decision_and_confidence_filter",

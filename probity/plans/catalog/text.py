@@ -169,7 +169,7 @@ def register(catalog):
     )
     def _(spark, folder):
         df = S.rule_scores(P.reviews(spark, folder))
-        lost = F.col("text").isNull()
+        lost = X.measure("length").isNull()
         df = df.withColumns(
             {c: F.when(~lost, F.col(c)) for c in ("text_prediction", "text_confidence", "p_bad")}
         )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probity import constants as K
+from probity.functions.text import measure, measured
 from probity.operators.ordered import global_row_number
 from probity.schema import REVIEW
 
@@ -25,12 +26,12 @@ def drop_missing_text(df: DataFrame, text: str = "text", observation=None) -> Da
         df = df.observe(
             observation, F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col(text).isNull(), 1)).alias("dropped")
         )
-    return df.filter(F.col(text).isNotNull())
+    return df.filter(measure("length").isNotNull() if measured(df, text) else F.col(text).isNotNull())
 
 
 def keep_real_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text is more than white space."""
-    return df.filter(F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) > 0)
+    return df.filter(measure("words") > 0 if measured(df, text) else F.col(text).rlike(r"(?U)\S"))
 
 
 def first_rows(df: DataFrame, n: int, key: str = "review_id") -> DataFrame:
