@@ -46,11 +46,17 @@ MEASURES = [
 
 
 def term_bits(lowered: Column, terms: list[str]) -> Column:
-    """The terms (at most 63) that occur in the lower-cased text, a bit for each."""
-    total = F.lit(0).cast("long")
-    for i, term in enumerate(terms):
-        total = total + F.contains(lowered, F.lit(term)).cast("long") * F.lit(1 << i).cast("long")
-    return total
+    """The terms (at most 63) that occur in the lower-cased text, a bit for each; null for no text.
+
+    The terms are an array that is gone through, with the text named once: written out as a sum, the text is lower-cased again for every
+    term, and the method that Spark makes of it is too long to be compiled.
+    """
+    bits = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(1 << i).cast("long").alias("bit")) for i, t in enumerate(terms)])
+
+    def found(low: Column) -> Column:
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, t: acc + F.contains(low, t["term"]).cast("long") * t["bit"])
+
+    return let(lowered, found)
 
 
 def bit_mask(terms, among: list[str]) -> int:

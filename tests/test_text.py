@@ -118,3 +118,17 @@ def test_lookup_names_key_once(spark):
     assert all(c in TEXT_CLASSES for c in BAD_CLASSES)
     assert [r[0] for r in df.select(R.route_description(F.col("c"))).collect()] == ["Unknown routing decision"] * 3
     assert X.cut is not None
+
+
+def test_terms_name_the_text_once(spark):
+    """Written out as a sum, the text was lower-cased for every term."""
+    df = spark.createDataFrame([("Buy NOW, www.x http",), ("",), (None,)], "text string")
+    got = df.select(X.term_bits(F.lower("text"), X.RULE_TERMS).alias("bits"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+    want = X.bit_mask([t for t in X.RULE_TERMS if t in "buy now, www.x http"], X.RULE_TERMS)
+    assert [r.bits for r in got.collect()] == [want, 0, None]
+
+
+def test_long_methods_are_not_generated(spark):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
