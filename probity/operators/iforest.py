@@ -68,6 +68,34 @@ def grow(points: np.ndarray, columns: np.ndarray, rng: np.random.Generator):
     return feature, cut, left, right, path
 
 
+ROWS = 1024  # rows that walk down the trees together
+
+
+def _flat(row: dict) -> tuple:
+    """A tree without ends to ask for: a leaf leads to itself. Children stand side by side, the left one first."""
+    feature, left, right = (np.asarray(row[k], np.int64) for k in ("feature", "left", "right"))
+    leaf, me = feature < 0, np.arange(len(feature))
+    children = np.column_stack([np.where(leaf, me, left), np.where(leaf, me, right)]).ravel()
+    depth, level = 0, np.zeros(1, np.int64)
+    while not leaf[level].all():
+        inner = level[~leaf[level]]
+        depth, level = depth + 1, np.concatenate([left[inner], right[inner]])
+    return np.maximum(feature, 0), np.asarray(row["cut"], float), children, np.asarray(row["path"], float), depth
+
+
+def _total_path(x: np.ndarray, forest: list[tuple]) -> np.ndarray:
+    """Summed path lengths of the rows of ``x`` over all trees."""
+    n, width = x.shape
+    flat, starts, total = np.ascontiguousarray(x).ravel(), np.arange(n) * width, np.zeros(n)
+    for feature, cut, children, path, depth in forest:
+        at = np.zeros(n, np.int64)
+        for _ in range(depth):
+            right = ~(flat.take(starts + feature.take(at)) <= cut.take(at))
+            at = children.take(2 * at + right)
+        total += path.take(at)
+    return total
+
+
 @dataclass
 class IsolationForest:
     features: list[str]
@@ -78,16 +106,15 @@ class IsolationForest:
     seed: int = 42
     row_key: str = "review_id"
 
-    def _place(self, tree: Column) -> Column:
-        return _unit(F.col(self.row_key), tree, F.lit(self.seed + 1))
-
     def fit(self, df: DataFrame) -> "ForestModel":
         data = df.select(self.row_key, *[clean(F.col(f)).alias(f) for f in self.features])
         n = data.count()
         draw = min(1.0, 1.5 * self.sample / max(n, 1))
-        # Each tree draws from all rows; a row is only repeated for the trees that drew it.
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: self._place(t) < draw)
-        each = data.withColumn("tree", F.explode(drawn)).withColumn("_u", self._place(F.col("tree")))
+        # Each tree draws from all rows, by their keys alone: about 1.5 * sample rows of each tree are left to fetch.
+        drawn = data.select(F.col(self.row_key).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))).alias("tree"))
+        place = _unit(F.col("_key"), F.col("tree"), F.lit(self.seed + 1))
+        drawn = drawn.filter(place < draw).distinct().withColumn("_u", place)
+        each = data.join(F.broadcast(drawn), F.col(self.row_key).eqNullSafe(F.col("_key"))).drop("_key")
         # About 1.5 * sample rows reach a tree, whatever the size of the table.
         w = Window.partitionBy("tree").orderBy("_u", self.row_key)
         each = each.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= self.sample)
@@ -132,10 +159,7 @@ class ForestModel:
 
     def score(self, df: DataFrame, out: str = "ml_anomaly_score") -> DataFrame:
         """Adds 2^(-mean path / expected path): near 1 is odd, 0.5 and below is ordinary."""
-        trees = [
-            tuple(np.asarray(r[k], dtype=t) for k, t in (("feature", int), ("cut", float), ("left", int), ("right", int), ("path", float)))
-            for r in self.rows
-        ]
+        trees = [_flat(r) for r in self.rows]
         expected = float(np.mean([mean_path(r["rows"]) for r in self.rows]))
         shared = self.spark.sparkContext.broadcast(trees)
 
@@ -144,18 +168,7 @@ class ForestModel:
             forest = shared.value
             for series in batches:
                 x = np.column_stack([s.to_numpy(float) for s in series])
-                total = np.zeros(len(x))
-                rows = np.arange(len(x))
-                for feature, cut, left, right, path in forest:
-                    at = np.zeros(len(x), dtype=int)
-                    while True:
-                        f = feature[at]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        down = np.where(x[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at])
-                        at = np.where(inner, down, at)
-                    total += path[at]
+                total = np.concatenate([np.zeros(0), *[_total_path(x[i : i + ROWS], forest) for i in range(0, len(x), ROWS)]])
                 yield pd.Series(np.power(2.0, -total / len(forest) / max(expected, 1e-9)))
 
         return df.withColumn(out, depth_score(*[clean(F.col(f)) for f in self.features]))

@@ -166,3 +166,27 @@ def test_tree_with_subtracted_histograms_equals_plain_search(numbers):
 def test_network_learns(numbers):
     x, _, y = numbers
     assert G.network_score((x[:400], y[:400]), (x[400:], y[400:]), 4, (20,), 0.01, seed=3) > 0.8
+
+
+def test_forest_draws_by_keys_and_walks_flat_trees(spark):
+    """Keys that repeat or are null draw like others, wide rows are fetched only when drawn, and the score is that of a plain walk."""
+    draw = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else i // 2, *map(float, draw.normal(size=2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "review_id long, x0 double, x1 double")
+    forest = I.IsolationForest(["x0", "x1"], trees=5, sample=64)
+    model = forest.fit(df)
+    assert [r["rows"] for r in model.rows] == [64] * 5
+    share = 1.5 * 64 / 400
+    place = I._unit(F.col("review_id"), F.col("tree"), F.lit(forest.seed + 1))
+    every = df.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("tree"))).withColumn("u", place).filter(F.col("u") < share)
+    assert every.groupBy("tree").count().filter("count < 64").count() == 0
+    x = np.array([r[1:] for r in rows])
+
+    def walk(tree, point):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left"][at] if point[tree["feature"][at]] <= tree["cut"][at] else tree["right"][at]
+        return tree["path"][at]
+
+    want = np.array([sum(walk(t, p) for t in model.rows) for p in x])
+    assert I._total_path(x, [I._flat(t) for t in model.rows]) == pytest.approx(want, rel=1e-12)
