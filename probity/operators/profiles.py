@@ -20,17 +20,15 @@ def _stats(stars: str) -> dict[str, Column]:
 def reviewer_profile(
     df: DataFrame, key: str = "reviewer_id", stars: str = "stars", text: str = "text", with_risk: bool = False
 ) -> DataFrame:
-    """Review count, star statistics, unique-text ratio and, on request, the risk profile: one pass.
+    """Review count, star statistics, unique-text ratio and, on request, the risk profile.
 
-    Texts are compared by 128-bit digest, so no text travels through the shuffle.
+    Texts are compared by 128-bit digest, so no text travels through the shuffle. They are counted in a pass of their own: in one with
+    the statistics, each reviewer and text would carry a set of statistics through the shuffle.
     """
-    digest = F.md5(F.col(text))
-    picked = df.withColumn("_digest", digest)
+    texts = df.select(F.col(key).alias("_key"), F.md5(F.col(text)).alias("_digest")).distinct()
+    texts = texts.groupBy("_key").agg(F.count("_digest").alias("_texts"))
     out: list[Column] = [F.count(F.lit(1)).alias("user_review_count")]
     out += [c.alias(f"user_{n}") for n, c in _stats(stars).items()]
-    out.append(
-        (F.count_distinct("_digest") / F.count(F.lit(1))).alias("user_unique_text_ratio")
-    )
     if with_risk:
         out += [
             F.avg("text_quality_risk").alias("user_avg_quality_risk"),
@@ -40,7 +38,11 @@ def reviewer_profile(
             F.min("text_confidence").alias("user_min_confidence"),
             F.avg("text_spam_prob").alias("user_avg_spam_prob"),
         ]
-    return picked.groupBy(key).agg(*out)
+    found = df.groupBy(key).agg(*out).join(texts, F.col(key).eqNullSafe(F.col("_key")))
+    found = found.withColumn("user_unique_text_ratio", F.col("_texts") / F.col("user_review_count"))
+    names = found.columns
+    at = names.index("user_max_rating") + 1
+    return found.select(*names[:at], "user_unique_text_ratio", *[n for n in names[at:] if n not in ("_key", "_texts", "user_unique_text_ratio")])
 
 
 def business_profile(

@@ -156,3 +156,14 @@ def test_rolling_deviation_is_exact_behind_many_rows(spark):
             assert len(set(own)) > 1 or r.rolling_7d_stars_std == 0.0
         if own:
             assert abs(r.rolling_7d_stars_mean - statistics.fmean(own)) < 1e-9
+
+
+def test_texts_of_a_reviewer_are_counted_apart(spark):
+    """Beside the statistics, a distinct count sent a set of them for each reviewer and text. Reviewers without a key are one."""
+    from probity.operators.profiles import reviewer_profile
+
+    rows = [(1, 5.0, "a"), (1, 3.0, "a"), (1, None, None), (2, 4.0, "b"), (None, 1.0, "c"), (None, 2.0, "d"), (3, None, None)]
+    got = reviewer_profile(spark.createDataFrame(rows, "reviewer_id long, stars double, text string"))
+    assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = {r.reviewer_id: (r.user_review_count, r.user_avg_rating, r.user_unique_text_ratio) for r in got.collect()}
+    assert found == {1: (3, 4.0, 1 / 3), 2: (1, 4.0, 1.0), None: (2, 1.5, 1.0), 3: (1, None, 0.0)}
