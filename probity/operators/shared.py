@@ -170,7 +170,7 @@ def _tables(batches: Iterable[pa.RecordBatch], keys: int, endings: Endings, top:
             yield batch_of("chunk long, sums binary", [i // CHUNK], [part.tobytes()])
 
 
-def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk, which follow each other, added up."""
     chunk, total = None, None
     for batch in batches:
@@ -351,6 +351,17 @@ def units_of(rows: DataFrame, texts: DataFrame, endings: list[str]) -> tuple[Dat
     return units.filter("NOT mixed").drop("mixed").unionByName(own), texts.unionByName(mixed.select("_text", "text"))
 
 
+def with_uses(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """``id, text`` (its name), ``whole`` and ``uses``: each text once, with the different uses and how many units have each.
+
+    ``units`` has ``_text``, ``place`` (number of the group), ``_tail`` and ``times``.
+    """
+    uses = units.groupBy("_text", "place", "_tail", "times").agg(F.count(F.lit(1)).alias("units"))
+    uses = uses.groupBy("_text").agg(F.collect_list(F.struct("place", F.col("_tail").alias("tail"), "times", "units")).alias("uses"))
+    used = texts.dropDuplicates(["_text"]).join(uses, "_text")
+    return used.select(F.monotonically_increasing_id().alias("id"), F.col("_text").alias("text"), F.col("text").alias("whole"), "uses")
+
+
 def group_cosines(rows: DataFrame, texts: DataFrame, endings: list[str] = ()) -> DataFrame | None:
     """``_row, _key, score``: TF-IDF cosine of a row's text with the summed texts of all other rows of its group.
 
@@ -370,10 +381,7 @@ def group_cosines(rows: DataFrame, texts: DataFrame, endings: list[str] = ()) ->
     numbered = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], rows.select("_key", F.lit(0).alias("place")).schema)
     units, texts = units_of(rows, texts, endings)
     units = units.join(F.broadcast(numbered), "_key")
-    uses = units.groupBy("_text", "place", "_tail", "times").agg(F.count(F.lit(1)).alias("units"))
-    uses = uses.groupBy("_text").agg(F.collect_list(F.struct("place", F.col("_tail").alias("tail"), "times", "units")).alias("uses"))
-    used = texts.dropDuplicates(["_text"]).join(uses, "_text")
-    used = used.select(F.monotonically_increasing_id().alias("id"), F.col("_text").alias("text"), F.lower("text").alias("low"), "uses")
+    used = with_uses(texts, units).withColumn("low", F.lower("whole")).drop("whole")
     most = min(TOP_TERMS, CELLS // n_keys)
     n_texts = texts.count()
     some = texts.sample(min(1.0, CHOICE / max(n_texts, 1)), seed=1).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})")))).alias("term"))
@@ -387,7 +395,7 @@ def group_cosines(rows: DataFrame, texts: DataFrame, endings: list[str] = ()) ->
 
     parts = records.mapInArrow(lambda b: _tables(b, n_keys, *known.value), "chunk long, sums binary")
     sums = np.zeros((len(top), n_keys + 1), np.int64)
-    for r in parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_added, "chunk long, sums binary").toLocalIterator():
+    for r in parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(added, "chunk long, sums binary").toLocalIterator():
         at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
         sums[at] = np.frombuffer(r["sums"], np.int64).reshape(-1, n_keys + 1)
     weights = Weights(np.log((n + 1.0) / (sums[:, n_keys] + 1.0)), sums[:, :n_keys], table)

@@ -370,11 +370,7 @@ def register(catalog):
 
     @add("category_similarity", "D21")
     def _(spark, folder):
-        out = G.category_cosine(P.reviews(spark, folder).select("review_id", "text", "category"))
-        return out.groupBy("category").agg(
-            F.count(F.lit(1)).alias("n"), F.round(F.avg("category_cosine"), 6).alias("mean_cosine"),
-            F.round(F.max("category_cosine"), 6).alias("max_cosine"),
-        )
+        return r6(G.category_cosine_summary(*P.review_parts(spark, folder)), ["mean_cosine", "max_cosine"])
 
     @add(
         "business_similarity",
