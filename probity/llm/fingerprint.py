@@ -60,14 +60,19 @@ class Sampler:
         self.seeds = (seeds >> np.uint64(32)).astype(np.uint32).reshape(3, samples, 1)
         self.empty = "0" * (DIGITS * samples)
 
-    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the distinct terms, ascending, and their counts."""
+    def codes_of(self, text: str, like: np.ndarray | None = None, known: int = 0) -> np.ndarray:
+        """Hashes of the words; the first ``known`` are those of ``like``."""
         words = text.encode("utf-8", "surrogatepass").split()
+        rest = np.fromiter(map(self.codes.__getitem__, words[known:]), np.uint64, len(words) - known)
+        return np.concatenate([like[:known], rest]) if known else rest
+
+    def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct terms, ascending, and their counts, from the hashes of the words."""
         n = len(words)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         codes = np.zeros(n + self.words - 1, np.uint64)
-        codes[self.words - 1 :] = np.fromiter(map(self.codes.__getitem__, words), np.uint64, n)
+        codes[self.words - 1 :] = words
         with np.errstate(over="ignore"):
             term = codes[:n] * self.factors[0]
             for i in range(1, self.words):
@@ -93,7 +98,7 @@ class Sampler:
 
     def sample(self, *weighted: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
         """16 bits a sample for every given set of (terms, counts). Terms that sets share are drawn for once."""
-        union = weighted[0][0] if len(weighted) == 1 else np.unique(np.concatenate([t for t, _ in weighted]))
+        union = weighted[0][0] if len(weighted) == 1 else merged([t for t, _ in weighted])
         best = [np.full(self.samples, np.inf, np.float32) for _ in weighted]
         chosen = [np.zeros((2, self.samples), np.uint64) for _ in weighted]
         rows, one = np.arange(self.samples), np.float32(1)
@@ -131,12 +136,24 @@ class Sampler:
         with np.errstate(over="ignore"):
             return [(mix64(c[0] + c[1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype(">u2") for c in chosen]
 
-    def fingerprints(self, *texts: str) -> list[str]:
-        weighted = [self.terms(t) for t in texts]
+    def fingerprints(self, *texts: str, same: int = 0) -> list[str]:
+        """Those of some texts that begin with the same ``same`` characters, whose words are looked up once."""
+        words = [self.codes_of(texts[0])]
+        # The last word of what they share may go on in any of them.
+        known = max(0, len(texts[0][:same].encode("utf-8", "surrogatepass").split()) - 1) if same else 0
+        words += [self.codes_of(t, words[0], known) for t in texts[1:]]
+        weighted = [self.terms(w) for w in words]
         found = iter(self.sample(*(w for w in weighted if len(w[0])))) if any(len(w[0]) for w in weighted) else iter(())
         return [next(found).tobytes().hex() if len(w[0]) else self.empty for w in weighted]
 
 
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of ascending arrays; the stable sort merges what is in order already."""
+    every = np.concatenate(runs)
+    every.sort(kind="stable")
+    return every[np.concatenate([[True], every[1:] != every[:-1]])]
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     """A 32-bit finaliser, in place."""
     x ^= x >> np.uint32(16)
@@ -238,7 +255,7 @@ def _beside(batches: Iterable[pa.RecordBatch], samples: int, words: int) -> Iter
             text = text.as_py()
             if held is not None:
                 edited = edit(held[1], text)
-                own, other = make(held[1], edited)
+                own, other = make(held[1], edited, same=len(held[1]) - len(held[1]) // 4)
                 if waiting is not None:
                     out.append((*waiting, own))
                 waiting = held[0], len(held[1]), own, edited, other, doc

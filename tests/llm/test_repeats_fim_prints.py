@@ -224,3 +224,29 @@ def test_neighbours_with_a_hot_id(spark):
     chain = Counter((r.doc_id, r.next_id) for r in rows)
     assert chain[None, None] == chain[3, 3] == 399 and chain[None, 3] == chain[3, 10] == chain[599, None] == 1
     assert all(chain[i, i + 1] == 1 for i in range(10, 599))
+
+
+def test_fingerprints_of_texts_with_the_same_start():
+    """Words of the shared start are looked up once, whichever character it ends at, and give the same fingerprints."""
+    looked_up = []
+
+    class Counted(fingerprint.Codes):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    text, following = "un mot, dé jà  vu\u00a0là et le même mot encore une fois", " autre début tout à fait"
+    plain, counted = fingerprint.Sampler(), fingerprint.Sampler()
+    counted.codes = Counted()
+    for k in range(len(text) + 1):
+        edited = text[:k] + following
+        assert counted.fingerprints(text, edited, same=k) == plain.fingerprints(text) + plain.fingerprints(edited)
+    looked_up.clear()
+    counted.fingerprints(text, text + following, same=len(text))
+    assert len(looked_up) == len(text.encode().split()) + 1 + len(following.split())
+
+
+def test_merged_runs():
+    rng = np.random.default_rng(1)
+    runs = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (300, 1, 200)]
+    assert fingerprint.merged(runs).tolist() == sorted(set(np.concatenate(runs).tolist()))
