@@ -153,7 +153,12 @@ def _sent(entries: DataFrame) -> Broadcast | None:
     if entries.count() > SENT_ENTRIES:
         return None
     keys, values = (c.to_pylist() for c in entries.toArrow().columns)
-    return entries.sparkSession.sparkContext.broadcast(dict(zip(keys, values)))
+    return entries.sparkSession.sparkContext.broadcast(places_of(dict(zip(keys, values))))
+
+
+def places_of(entries: dict[str, float]) -> dict[str, float]:
+    """The value of a place by its n-gram (with that of its context), and by its context alone where the n-gram was not seen."""
+    return {k: v + entries.get("c" + k[1:-1], 0.0) if k[0] == "g" else v for k, v in entries.items()}
 
 
 def _keys(word: str) -> Iterator[str]:
@@ -167,15 +172,19 @@ def _keys(word: str) -> Iterator[str]:
 class WordScores(dict):
     """Ratios of words: the sum over their places. Kept up to a bound."""
 
-    def __init__(self, entries: dict[str, float]):
+    def __init__(self, places: dict[str, float]):
         super().__init__()
-        self.entries = entries
+        self.places = places
 
     def __missing__(self, word: str) -> float:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        get = self.entries.get
-        value = self[word] = sum(get(k, 0.0) for k in _keys(word))
+        w, get, value = f" {word} ", self.places.get, 0.0
+        for end in range(2, len(w) + 1):
+            start = end - ORDER if end > ORDER else 0
+            found = get("g" + w[start:end])
+            value += get("c" + w[start : end - 1], 0.0) if found is None else found
+        self[word] = value
         return value
 
 
@@ -193,7 +202,7 @@ def _summed(batches: Iterable[pa.RecordBatch], sent: Broadcast, number: int) ->
             each = list(map(scores.__getitem__, words_of(text)))
             counts.append(len(each))
             totals.append(math.fsum(each))
-            above.append(math.fsum(x - SURE for x in each if x > SURE))
+            above.append(math.fsum(x - SURE for x in each if x > SURE) if max(each, default=SURE) > SURE else 0.0)
         cols = [batch["doc_id"], batch["held_out"], pa.array(counts, pa.int64()), pa.array(totals, pa.float64()), pa.array(above, pa.float64())]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_words", "total", "excess"])
 

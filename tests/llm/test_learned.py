@@ -270,3 +270,11 @@ def test_toxicity_counts_every_learnable_fold(spark):
     asked = spark.createDataFrame([(1, "plain words zqxvarn"), (2, "plain words text")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
     assert score[1] > score[2]
+
+
+def test_word_scores_by_place():
+    """A place takes its n-gram's value with that of its context, or its context's alone, or nothing."""
+    entries = {"c ": 0.5, "g a": 1.0, "c a": -0.25, "gab": 9.0, "c abcd": 2.0, "cabcde": 0.125, "gabcdef": 4.0}
+    scores = toxicity.WordScores(toxicity.places_of(entries))
+    for word in ["a", "ab", "abcdef", "b", "zzz"]:
+        assert scores[word] == pytest.approx(sum(entries.get(k, 0.0) for k in toxicity._keys(word)))
