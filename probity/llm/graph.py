@@ -9,7 +9,7 @@ from probity.llm.common import stored
 
 
 def _starred(edges: DataFrame, least: DataFrame, far: str) -> DataFrame:
-    return edges.join(least, "u").select(F.col(far).alias("u"), F.col("m").alias("v"))
+    return edges.join(least.hint("merge"), "u").select(F.col(far).alias("u"), F.col("m").alias("v"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ def _with_sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Rec
         keep = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch["digest"].to_pylist())]
         idx = pa.array(np.flatnonzero(keep))
         yield pa.RecordBatch.from_arrays(
-            [batch["node"].take(idx), batch["cluster"].take(idx), pa.array([s.tobytes() for s, k in zip(sets, keep) if k], pa.binary())],
-            names=["node", "cluster", "shingles"],
+            [*(batch[c].take(idx) for c in ("node", "cluster", "_size")), pa.array([s.tobytes() for s, k in zip(sets, keep) if k], pa.binary())],
+            names=["node", "cluster", "_size", "shingles"],
         )
 
 
@@ -214,11 +214,14 @@ def _tiles(rows: DataFrame, blocks) -> DataFrame:
 
 
 def _posted(nodes: DataFrame, matches: int, block: int) -> DataFrame:
-    """The rarest coordinates of each signature, posted with the signature and tiled."""
+    """The rarest coordinates of each signature, posted with the signature and tiled.
+
+    Spark sizes an array as one element, before and after it is exploded: both joins would be broadcast, far above the threshold.
+    """
     key = F.posexplode("signature").alias("at", "value")
     pairs = nodes.select("node", key).select("node", (F.col("at").cast("long") * (1 << 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
     shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = pairs.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
+    found = pairs.join(shared.hint("merge"), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
     # A value that no other document has comes first in the order and takes up its place in the prefix.
     places = COORDINATES - matches + 1 - (COORDINATES - F.size("found"))
     found = found.filter(places > 0).select("node", F.slice("found", 1, places).alias("found"))
@@ -227,7 +230,7 @@ def _posted(nodes: DataFrame, matches: int, block: int) -> DataFrame:
     short = post.filter(F.col("n") <= block).select("node", "key", F.lit(1).alias("_length"))
     long = post.filter(F.col("n") > block).join(lists, "key").select("node", "key", "_length")
     tiled = _tiles(short.union(long), F.ceil(F.col("_length") / block))
-    return tiled.join(nodes.select("node", "signature"), "node").select("key", "ti", "tj", "node", "signature")
+    return tiled.join(nodes.select("node", "signature").hint("merge"), "node").select("key", "ti", "tj", "node", "signature")
 
 
 def row_keys(docs: DataFrame, id_column="doc_id", text_column="text") -> tuple:
@@ -256,23 +259,24 @@ def groups(
     order = ["key", "ti", "tj"]
     posted = _posted(nodes, matches, list_block).repartition(n, *order).sortWithinPartitions(*order, "node")
     near = posted.select(*order, "node", "signature").mapInArrow(lambda b: _collisions(b, matches), "u long, v long")
-    clusters = stored(components(near).select("node", F.col("comp").alias("cluster")).join(nodes.drop("signature", "copies"), "node"))
+    clusters = stored(components(near).select("node", F.col("comp").alias("cluster")).join(nodes.drop("signature", "copies").hint("merge"), "node"))
     # Full sets are made again, for these documents only: keeping the sets of all would be larger than the texts.
-    wanted = clusters.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "node", "cluster", "digest")
-    texts = base.join(wanted, ["k1", "k2"]).select("node", "cluster", "digest", "text")
-    full = texts.mapInArrow(lambda b: _with_sets(b, words), "node long, cluster long, shingles binary")
     weight = clusters.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / set_block), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).alias("_size")
     )
+    wanted = clusters.join(weight.hint("merge"), "cluster")
+    wanted = wanted.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), "node", "cluster", "_size", "digest")
+    texts = base.join(wanted.hint("merge"), ["k1", "k2"]).select("node", "cluster", "_size", "digest", "text")
+    full = texts.mapInArrow(lambda b: _with_sets(b, words), "node long, cluster long, _size long, shingles binary")
     order = ["cluster", "ti", "tj"]
-    tiles = _tiles(full.join(weight, "cluster"), F.col("_size")).select(*order, "node", "shingles")
+    tiles = _tiles(full, F.col("_size")).select(*order, "node", "shingles")
     tiles = tiles.repartition(n, *order).sortWithinPartitions(*order, "node")
     links = tiles.mapInArrow(lambda b: _confirmed(b, percent), "u long, v long")
-    named = nodes.select("node", "digest", "first", "copies").join(components(links), "node", "left")
+    named = nodes.select("node", "digest", "first", "copies").join(components(links).hint("merge"), "node", "left")
     least = named.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
-    named = named.filter("copies > 1 or comp is not null").join(least, "comp", "left")
+    named = named.filter("copies > 1 or comp is not null").join(least.hint("merge"), "comp", "left")
     named = named.select(F.col("digest").alias("_digest"), F.coalesce("least", "first").alias("_first"))
-    out = rows.drop("signature").join(named, F.col("digest") == F.col("_digest"), "left")
+    out = rows.drop("signature").join(named.hint("merge"), F.col("digest") == F.col("_digest"), "left")
     return out.select("doc_id", "k1", "k2", "n_shingles", F.coalesce("_first", own).alias("first"))
 
 
@@ -296,5 +300,6 @@ def one_of_each(docs: DataFrame, id_column="doc_id", text_column="text", words:
     stay = found.filter((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
     k1, k2 = row_keys(docs, id_column, text_column)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
-    kept = rows.join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    # The rows are dealt by these keys in any case, so nothing is gained by a broadcast.
+    kept = rows.join(stay.hint("merge"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     return kept.select("_row.*")

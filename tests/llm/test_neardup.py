@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from probity.llm import neardup
+from probity.llm import graph, neardup
 from probity.llm.queries import QUERIES
 
 
@@ -84,3 +84,21 @@ def test_empty_table(spark):
 
 def test_wanted_matches():
     assert neardup.wanted_matches(0.85) == 17 and neardup.wanted_matches(0.8) < 17
+
+
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    # Small files that hold many array elements look small enough to be sent; only the lengths of the long lists may be.
+    plans = []
+
+    def noted(df, stored=neardup.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(neardup, "stored", noted)
+    monkeypatch.setattr(graph, "stored", noted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(30)) + (" end" if i % 2 else "")) for i in range(20)], "doc_id long, text string")
+    for found in (neardup.groups(docs), neardup.one_of_each(docs)):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 10
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert len(joins) <= 2, joins  # one in each call
