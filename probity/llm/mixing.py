@@ -199,5 +199,6 @@ def mixed(docs: DataFrame, id_column="doc_id", text_column="text", source_column
     counts = counts.agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
     key = F.xxhash64(docs[id_column], F.coalesce(docs[text_column], F.lit("")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"), row_key(docs).alias("_row_key"))
-    taken = rows.join(counts, ["_key", "_row_key"]).dropDuplicates(["_key", "_row_key"])
+    # The rows are dealt by these keys in any case, so nothing is gained by a broadcast.
+    taken = rows.join(counts.hint("merge"), ["_key", "_row_key"]).dropDuplicates(["_key", "_row_key"])
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

@@ -210,3 +210,12 @@ def test_long_items_are_cut_and_blocks_come_one_at_a_time(spark, monkeypatch):
     # The pieces are stored, then blocks and searched rows take turns.
     assert len(order) > 10 and all((x == "stored") == (i % 2 == 0) for i, x in enumerate(order))
     assert max(sum(len(t.split()) for _, t in b) for b in order[1::2]) < 2 * 400
+
+
+def test_mixed_sends_no_counts(spark):
+    docs = spark.createDataFrame([(i, "one two three", "a") for i in range(20)], "doc_id long, text string, source string")
+    found = mixing.mixed(docs)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    at = next(line for line in plan.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in at and "_row_key" in at, plan
