@@ -20,9 +20,13 @@ from probity.session import cut_lineage
 from probity.sources.normalise import keep_real_text
 
 
-def in_batches(df: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id", text: str = "text") -> DataFrame:
-    """Rows with real text in key order, with batch number and 0-based position in the batch."""
-    return numbered(keep_real_text(df.select(key, text), text), size, key)
+def in_batches(df: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id", text: str = "text", instead: list[str] = ()) -> DataFrame:
+    """Rows with real text in key order, with batch number and 0-based position in the batch.
+
+    Columns that name the text may be carried ``instead`` of it, so that no text is ordered.
+    """
+    rows = keep_real_text(df, text).select(key, *instead) if instead else keep_real_text(df.select(key, text), text)
+    return numbered(rows, size, key)
 
 
 def numbered(rows: DataFrame, size: int = K.LABEL_BATCH, key: str = "review_id") -> DataFrame:

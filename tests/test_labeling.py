@@ -1,3 +1,4 @@
+import gc
 import json
 from datetime import datetime
 
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from probity.constants import PROMPT_HEAD, PROMPT_TAIL
 from probity.operators import labeling as L
+from probity.plans import reviews as P
+from probity.plans.catalog import labels
 from probity.schema import MODEL_RESPONSES
 
 
@@ -68,3 +71,25 @@ def test_query_shows_whole_texts(spark, tmp_path, catalog):
     one, two = (catalog.queries["label_prompts"](spark, str(tmp_path / n)).collect() for n in ("one", "two"))
     # The texts differ behind their thousandth character only.
     assert len(one) == len(two) == 1 and one[0].expected == 2 and one[0].prompt_digest != two[0].prompt_digest
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that are on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+
+def test_prompts_in_parts_leave_no_shuffles(spark, folder, catalog, monkeypatch):
+    whole = L.prompts(L.in_batches(P.reviews(spark, folder)), limit=None).select("batch_id", "expected", F.md5("prompt"))
+    wanted = sorted(map(tuple, whole.collect()))
+    gc.collect()
+    monkeypatch.setattr(P, "PART_CHARS", 1)
+    columns, stored = [], labels.cut_lineage
+    monkeypatch.setattr(labels, "cut_lineage", lambda df: columns.append(df.columns) or stored(df))
+    before = shuffled(spark)
+    found = catalog.queries["label_prompts"](spark, folder)
+    assert columns[0] == ["review_id", "_text", "_tail", "_length", "batch_id", "pos"]  # ordered and numbered without texts
+    texts = spark.read.parquet(f"{folder}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    assert len(columns) > 4 and shuffled(spark) - before < texts / 10
+    assert sorted(map(tuple, found.collect())) == wanted
