@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probity.constants import RECOMMEND_HIGH_RISK, RECOMMEND_LOW_RISK, RECOMMEND_MEAN_RISK, TEXT_CLASSES, TIERS
@@ -14,7 +16,7 @@ from probity.operators import reports as B
 from probity.operators import scoring as S
 from probity.plans import reviews as P
 from probity.plans.catalog.sql import sql
-from probity.session import checkpoint_dir, cut_lineage
+from probity.session import checkpoint_dir, cut_lineage, delete, shuffles_go
 from probity.sources.readers import read_many
 from probity.sources.sinks import write_csv
 
@@ -411,12 +413,24 @@ def register(catalog):
     )
     def _(spark, folder):
         """The reviews written as one CSV input per language, read together, scored, and summed up per input."""
-        path = f"{checkpoint_dir(spark)}/inputs-{uuid.uuid4().hex}"
-        rows = P.reviews(spark, folder).select("review_id", "text", "stars", F.coalesce("language", F.lit("none")).alias("input"))
-        write_csv(rows, path, partition_by=["input"])
-        found = read_many(spark, path, "review_id long, text string, stars double", multi_line=True, by_folder=True)
         risk, tier = F.col("fusion_risk_score"), F.col("fusion_prediction")
-        return S.tester_scores(found).groupBy("input_file").agg(
-            F.count(F.lit(1)).alias("reviews"), F.count("text").alias("with_text"), F.count_if(tier == "high_risk").alias("high_risk"),
-            F.round(F.avg(risk), 6).alias("avg_risk"),
-        )
+        docs = P.table(spark, folder, "documents")
+        chars = P.reviews(spark, folder).agg(F.sum(measure("length"))).first()[0] or 0
+        # A review in a file has its whole text, which many share: a part of the reviews is written and summed up at a time.
+        n = P.parts_of(chars, docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+        sums = []
+        with shuffles_go(spark):
+            for i in range(n):
+                events = P.table(spark, folder, "events").filter(F.pmod(F.xxhash64("event_id"), F.lit(n)) == i)
+                rows = P.as_reviews(events, docs, P.table(spark, folder, "labels"))
+                path = f"{checkpoint_dir(spark)}/inputs-{uuid.uuid4().hex}"
+                write_csv(rows.select("review_id", "text", "stars", F.coalesce("language", F.lit("none")).alias("input")), path, partition_by=["input"])
+                found = read_many(spark, path, "review_id long, text string, stars double", multi_line=True, by_folder=True)
+                sums.append(cut_lineage(S.tester_scores(found).groupBy("input_file").agg(
+                    F.count(F.lit(1)).alias("reviews"), F.count("text").alias("with_text"), F.count_if(tier == "high_risk").alias("high_risk"),
+                    F.sum(risk).alias("risk"), F.count(risk).alias("scored"),
+                )))
+                delete(spark, path)
+        return reduce(DataFrame.union, sums).groupBy("input_file").agg(
+            *[F.sum(c).alias(c) for c in ("reviews", "with_text", "high_risk")], F.round(F.try_divide(F.sum("risk"), F.sum("scored")), 6).alias("avg_risk")
+        )

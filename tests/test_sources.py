@@ -1,4 +1,5 @@
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Observation
@@ -6,7 +7,10 @@ from pyspark.sql import functions as F
 
 from probity.operators import fusion as M
 from probity.operators import scoring as S
+from probity.plans import reviews
+from probity.plans.catalog import reports
 from probity.plans.catalog.models import fusion_rows
+from probity.session import checkpoint_dir
 from probity.sources import normalise as N
 from probity.sources import readers, sinks
 
@@ -114,3 +118,15 @@ def test_fusion_model_saved_and_loaded(spark, out, folder, kind, params):
     assert a == {r.review_id: r.final_prediction for r in again.predict(df).collect()}
     probs = model.predict_with_thresholds(df).select("decision_probs").first()[0]
     assert sum(probs) == pytest.approx(1)
+
+
+def test_results_per_file_in_parts(spark, folder, catalog, monkeypatch):
+    def results():
+        return sorted(map(tuple, catalog.queries["results_per_file"](spark, folder).collect()))
+
+    kept = Path(checkpoint_dir(spark).removeprefix("file:"))
+    whole, written = results(), []
+    monkeypatch.setattr(reviews, "PART_CHARS", 1)
+    monkeypatch.setattr(reports, "write_csv", lambda df, path, **more: written.append(path) or sinks.write_csv(df, path, **more))
+    assert results() == whole and len(whole) > 1
+    assert len(written) > 2 and not list(kept.glob("inputs-*"))  # a part's files go before the next are written
